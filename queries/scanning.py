@@ -1,0 +1,68 @@
+"""Queries over corpora: rule matching, scoring, routes, dedup, baselines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from queries import views as v
+from queries.rulebook import CODE_RULES, PAGE_RULES, TEXT_RULES, rules
+from queries.sqlparts import hits_cte, lower, score1, scored_cte, severity_counts
+from riskloom.functions.scoring import with_scores
+from riskloom.operators import findings as fd
+from riskloom.operators import matching as mt
+
+QUERIES: dict = {}
+SQL: dict = {}
+DOC, PAGE, CODE = (v.strip_braces(x) for x in (v.DOC_CORPUS, v.PAGE_CORPUS, v.CODE_CORPUS))
+
+
+def score(name: str):
+    return F.round(F.col(name).cast("double"), 1).alias(name)
+
+
+def hit_rows(df: DataFrame) -> DataFrame:
+    return df.select("path", F.col("id").alias("rule_id"), "severity", "line", "column", "snippet")
+
+
+def code_findings(spark, sf) -> DataFrame:
+    """Scored findings of the small source files."""
+    return mt.scored_findings(v.code_corpus(spark, sf), rules(spark, CODE_RULES))
+
+
+def flat(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").alias("rule_id"), "title", "severity", "file", "line", "column",
+                     "snippet", score("ai_confidence"), score("risk_score"), "category", "cwe_id",
+                     "owasp_category", F.array_join("tags", ",").alias("tags"), "ai_tendency",
+                     "fix_suggestion")
+
+
+_HIT_COLS = 'path, rid AS rule_id, severity, line, "column", snippet'
+_FLAT_COLS = (f'rid AS rule_id, title, severity, path AS file, line, "column", snippet, '
+              f"{score1('ai')} AS ai_confidence, {score1('rs')} AS risk_score, category, cwe_id, "
+              "owasp_category, array_to_string(tags, ',') AS tags, ai_tendency, fix_suggestion")
+
+QUERIES["match_rules"] = lambda spark, sf: hit_rows(
+    mt.match_rules(v.doc_corpus(spark, sf), rules(spark, TEXT_RULES)))
+SQL["match_rules"] = f"{hits_cte(DOC, TEXT_RULES)} SELECT {_HIT_COLS} FROM hits"
+
+QUERIES["match_rules_pages"] = lambda spark, sf: hit_rows(
+    mt.match_rules(v.page_corpus(spark, sf), rules(spark, PAGE_RULES)))
+SQL["match_rules_pages"] = f"{hits_cte(PAGE, PAGE_RULES)} SELECT {_HIT_COLS} FROM hits"
+
+QUERIES["match_rules_code"] = lambda spark, sf: hit_rows(
+    mt.match_rules(v.code_corpus(spark, sf), rules(spark, CODE_RULES)))
+SQL["match_rules_code"] = f"{hits_cte(CODE, CODE_RULES)} SELECT {_HIT_COLS} FROM hits"
+
+QUERIES["scan_code"] = lambda spark, sf: flat(code_findings(spark, sf))
+SQL["scan_code"] = f"{scored_cte(CODE, CODE_RULES)} SELECT {_FLAT_COLS} FROM scored"
+
+QUERIES["scan_documents"] = lambda spark, sf: flat(
+    mt.scored_findings(v.doc_corpus(spark, sf), rules(spark, TEXT_RULES)))
+SQL["scan_documents"] = f"{scored_cte(DOC, TEXT_RULES)} SELECT {_FLAT_COLS} FROM scored"
+
+QUERIES["summarize_findings"] = lambda spark, sf: fd.summarize_findings(code_findings(spark, sf))
+SQL["summarize_findings"] = (f"{hits_cte(CODE, CODE_RULES)} SELECT count(*) AS total, "
+                             f"{severity_counts()} FROM hits")
+
+_ = with_scores, lower
