@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.session import apply_settings
+from riskloom.sources.corpus import spread, with_relative_path
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -158,8 +159,7 @@ def scans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _files(df: DataFrame) -> DataFrame:
-    from riskloom.sources.corpus import with_relative_path
-    return with_relative_path(df, ".").select("path", "file", "language", "content")
+    return spread(with_relative_path(df, ".")).select("path", "file", "language", "content")
 
 
 def doc_corpus(spark: SparkSession, sf: str) -> DataFrame:

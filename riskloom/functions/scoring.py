@@ -56,13 +56,14 @@ def _points(condition: Column, value: float) -> Column:
 
 def long_identifiers(text: Column) -> Column:
     """Number of identifiers of ten or more characters that are not plain numbers."""
-    tokens = F.split(text, "[^A-Za-z0-9_]")
-    return F.size(F.filter(tokens, lambda t: (F.length(t) >= 10) & ~t.rlike("^[0-9]+$")))
+    word = "[A-Za-z0-9_]"
+    return F.regexp_count(text, F.lit(rf"(?<!{word})(?=[0-9]*[A-Za-z_]){word}{{10,}}"))
 
 
 def ai_likelihood(confidence: Column, path: Column, snippet: Column) -> Column:
-    """0-100 likelihood that a hit is generated code, one decimal."""
-    p, s = ascii_lower(path), ascii_lower(snippet)
+    """0-100 likelihood that a hit is generated code, one decimal. Path and snippet are
+    lower-cased."""
+    p, s = path, snippet
     size = F.octet_length(s)
     score = (
         clamp(f32(confidence), f32(0.0), f32(1.0)) * f32(100.0)
@@ -78,8 +79,8 @@ def ai_likelihood(confidence: Column, path: Column, snippet: Column) -> Column:
 
 
 def context_risk(path: Column, category: Column, snippet: Column) -> Column:
-    """How sensitive the surroundings of a hit are, 15-98."""
-    p, s = ascii_lower(path), ascii_lower(snippet)
+    """How sensitive the surroundings of a hit are, 15-98. Path and snippet are lower-cased."""
+    p, s = path, snippet
     by_path = (F.when(contains_any(p, CRITICAL_PATH), f32(30.0))
                .when(contains_any(p, ELEVATED_PATH), f32(12.0)).otherwise(f32(0.0)))
     cat = ascii_lower(category)
@@ -93,9 +94,9 @@ def context_risk(path: Column, category: Column, snippet: Column) -> Column:
 
 def exploitability(rule_id: Column, tags: Column, category: Column, path: Column,
                    snippet: Column) -> Column:
-    """How easily a hit is abused, 20-98."""
+    """How easily a hit is abused, 20-98. Path and snippet are lower-cased."""
     words = ascii_lower(F.concat_ws(" ", tags, category, rule_id))
-    p, s = ascii_lower(path), ascii_lower(snippet)
+    p, s = path, snippet
     base = f32(58.0)
     for word, value in reversed(BASE_BY_WORD):
         base = F.when(words.contains(word), f32(value)).otherwise(base)
@@ -114,13 +115,19 @@ def risk_score(severity: Column, likelihood: Column, context: Column, exploit: C
     return round1_f32(clamp(score, f32(0.0), f32(100.0)))
 
 
+def lowered(df: DataFrame, path: str = "path") -> DataFrame:
+    """Add the lower-cased path ``_p`` and snippet ``_s`` that the scores look at."""
+    return df.withColumns({"_p": ascii_lower(path), "_s": ascii_lower("snippet")})
+
+
 def with_scores(df: DataFrame, path: str = "path") -> DataFrame:
     """Add ``ai_confidence`` and ``risk_score`` to rule hits."""
-    p, s, cat = F.col(path), F.col("snippet"), F.col("category")
-    scored = df.withColumn("ai_confidence", ai_likelihood(F.col("confidence"), p, s))
+    p, s, cat = F.col("_p"), F.col("_s"), F.col("category")
+    scored = lowered(df, path).withColumn(
+        "ai_confidence", ai_likelihood(F.col("confidence"), p, s))
     return scored.withColumn("risk_score", risk_score(
         F.col("severity"), F.col("ai_confidence"), context_risk(p, cat, s),
-        exploitability(F.col("id"), F.col("tags"), cat, p, s)))
+        exploitability(F.col("id"), F.col("tags"), cat, p, s))).drop("_p", "_s")
 
 
 # Blend with a model (X5) ---------------------------------------------------------------------

@@ -47,10 +47,14 @@ def contains_any(c: Column, needles: list[str]) -> Column:
 
 
 def lines_of(c: Column | str) -> Column:
-    """Lines ended by LF or CRLF; the text after a final line end is no line."""
-    parts = F.split(_col(c), "\r?\n", -1)
-    ends_empty = F.element_at(parts, -1) == F.lit("")
-    return F.when(ends_empty, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    """Lines ended by LF or CRLF; the text after a final line end is no line.
+
+    A text without CR is split at a plain character, which needs no regular expression.
+    """
+    col = _col(c)
+    parts = F.split(col, F.when(col.contains("\r"), "\r?\n").otherwise("\n"), -1)
+    open_end = (col.endswith("\n") | (col == "")).cast("int")
+    return F.slice(parts, 1, F.size(parts) - open_end)
 
 
 def byte_column(line: Column, needle: Column) -> Column:

@@ -126,27 +126,39 @@ def candidates(corpus: DataFrame, rules: DataFrame, marker: str = MARKER) -> Dat
     return files.join(F.broadcast(wanted), "_language").where(fits).drop("_tails", "_language")
 
 
+def _positions(lines: Column, keep) -> Column:
+    """0-based positions of the lines for which ``keep`` holds."""
+    found = F.transform(lines, lambda line, i: F.when(keep(line), i))
+    return F.filter(found, lambda i: i.isNotNull())
+
+
 def _hits(pairs: DataFrame, marker: str) -> DataFrame:
-    """Line hits (R1, R2, R4) of (file, rule) pairs."""
-    marked = F.col("_lower").contains(marker)
-    lines = F.transform("_lines", lambda text, i: F.struct(
-        (i + 1).alias("line"), text.alias("text"), ascii_lower(text).alias("lower"),
-        F.when(marked & (i > 0), ascii_lower(F.get(F.col("_lines"), i - 1))).alias("before")))
+    """Line hits (R1, R2, R4) of (file, rule) pairs. Positions are found on the lower-cased lines;
+    the original text is split only for pairs that hit, and suppression is looked up only in files
+    that hold a marker."""
     rid = ascii_lower(F.col("rule.id"))
 
-    def matches(x: Column) -> Column:
-        low = x["lower"]
-        hidden = line_suppressed(low, rid, marker) | F.coalesce(
-            line_suppressed(x["before"], rid, marker), F.lit(False))
-        return (_none_in(F.col("rule.pattern_not"), low)
-                & _all_in(F.col("rule.pattern_all"), low)
-                & _one_in(F.col("rule.pattern_any"), low) & ~(marked & hidden))
-
-    keep = [c for c in pairs.columns if c not in ("_lower", "_lines", "content", "rule")]
-    staged = pairs.withColumn("_lines", lines_of("content"))
-    hits = staged.select(*keep, "rule", F.explode(F.filter(lines, matches)).alias("hit"))
+    def matches(low: Column) -> Column:
+        return (_all_in(F.col("rule.pattern_all"), low) & _one_in(F.col("rule.pattern_any"), low)
+                & _none_in(F.col("rule.pattern_not"), low))
+
+    def shown(i: Column) -> Column:
+        hidden = F.array_contains("_hidden", i) | F.array_contains("_hidden", i - 1)
+        return F.col("_hidden").isNull() | ~hidden
+
+    keep = [c for c in pairs.columns if c not in ("_lower", "content", "rule")]
+    staged = pairs.withColumn("_low", lines_of("_lower"))
+    staged = staged.withColumn("_hidden", F.when(
+        F.col("_lower").contains(marker),
+        _positions(F.col("_low"), lambda low: line_suppressed(low, rid, marker))))
+    staged = staged.withColumn("_hit", F.filter(_positions(F.col("_low"), matches), shown))
+    staged = staged.withColumn("_lines", F.when(F.size("_hit") > 0, lines_of("content")))
+    found = F.when(F.col("_lines").isNotNull(), F.transform("_hit", lambda i: F.struct(
+        (i + 1).alias("line"), F.get(F.col("_low"), i).alias("low"),
+        F.get(F.col("_lines"), i).alias("text"))))
+    hits = staged.select(*keep, "rule", F.explode(found).alias("hit"))
     needles = F.concat("rule.pattern_any", "rule.pattern_all")
-    column = F.array_min(F.transform(needles, lambda n: byte_column(F.col("hit.lower"), n)))
+    column = F.array_min(F.transform(needles, lambda n: byte_column(F.col("hit.low"), n)))
     return hits.select(
         *keep, "rule.id", "rule.title", "rule.severity", F.col("hit.line").cast("int").alias("line"),
         column.cast("int").alias("column"), trim_white(F.col("hit.text")).alias("snippet"),

@@ -83,6 +83,13 @@ def read_corpus(spark: SparkSession, root: str, partitions: int | None = None) -
                               ).select("path", "file", "language", "content")
 
 
+def spread(corpus: DataFrame) -> DataFrame:
+    """Deal a corpus that comes in fewer partitions than there are task slots. Text work is heavy
+    per row, so one big input split must not hold back the rest; larger inputs stay as they are."""
+    slots = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus.repartition(slots) if corpus.rdd.getNumPartitions() < slots else corpus
+
+
 def only_changed(corpus: DataFrame, paths: DataFrame, target: str = ".", path: str = "path"
                  ) -> DataFrame:
     """The files named in a list of changed paths that lie under the target."""
