@@ -1,5 +1,5 @@
 """Registered queries: every operator over the driver tables, with its SQL twin."""
 
-from queries import scanning
+from queries import dashboards, logs, scanning
 
-MODULES = [scanning]
+MODULES = [dashboards, logs, scanning]

@@ -127,13 +127,13 @@ def _tail(x: str, mark: str) -> str:
     return f"{trim(f'ltrim({after}, {chr(39)}:{chr(39)})')}"
 
 
-def _applies(x: str, mark: str) -> str:
+def applies(x: str, mark: str) -> str:
     return (f"(contains({x}, '{mark}') AND ({_tail(x, mark)} = '' OR "
             f"contains({_tail(x, mark)}, {lower('rid')})))")
 
 
 def line_suppressed(x: str) -> str:
-    return f"(NOT contains({x}, '{MARK}-file') AND {_applies(x, MARK)})"
+    return f"(NOT contains({x}, '{MARK}-file') AND {applies(x, MARK)})"
 
 
 def _all(needles: str, text: str) -> str:
@@ -167,7 +167,7 @@ def hits_cte(corpus_sql: str, rules: list[dict]) -> str:
           "lambda n: strlen(split_part(low, n, 1)))) + 1")
     marks = (f"(SELECT path, list({lower('text')}) AS marked FROM file_lines WHERE "
              f"contains({lower('text')}, '{MARK}-file') GROUP BY path)")
-    file_hit = f"len(list_filter(marked, lambda x: {_applies('x', MARK + '-file')})) > 0"
+    file_hit = f"len(list_filter(marked, lambda x: {applies('x', MARK + '-file')})) > 0"
     return f"""WITH {lines_cte(corpus_sql)}, {rules_sql(rules)},
 marks AS {marks},
 hits AS (SELECT numbered.path, language, line::INT AS line, ({at})::INT AS "column",

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom.session import apply_settings
 from riskloom.sources.corpus import spread, with_relative_path
@@ -133,6 +134,60 @@ FROM {orders}
 """
 
 
+# Scanner findings with copies of the same place; the scores are on the 0-100 scale.
+SCANNER = """
+SELECT p_brand AS id, p_type AS title,
+       CASE WHEN l_quantity >= 45 THEN 'critical' WHEN l_quantity >= 30 THEN 'high'
+            WHEN l_quantity >= 15 THEN 'medium' WHEN l_quantity >= 5 THEN 'low'
+            ELSE 'info' END AS severity,
+       'src/Mod_' || CAST(l_partkey % 97 AS STRING) || '.py' AS file, l_linenumber AS line,
+       CAST(l_suppkey % 40 + 1 AS INT) AS col_no,
+       p_name || CASE WHEN l_tax > 0.04 THEN ' -- X' ELSE '  (x)' END AS snippet,
+       CAST(l_discount * 1000 AS FLOAT) AS ai_confidence,
+       CAST(CAST(CAST(floor(l_extendedprice) AS BIGINT) % 1001 AS DOUBLE) / 10 AS FLOAT)
+           AS risk_score,
+       CASE WHEN p_size % 6 = 0 THEN NULL WHEN p_size % 6 = 1 THEN 'Crypto'
+            WHEN p_size % 6 = 2 THEN 'auth' ELSE p_type END AS category,
+       CASE WHEN p_size % 9 = 0 THEN 'CWE-' || CAST(p_size AS STRING) END AS cwe_id,
+       CASE WHEN p_size % 8 = 0 THEN 'A0' || CAST(p_size % 7 AS STRING) || ':2021' END
+           AS owasp_category,
+       CASE WHEN p_size % 5 = 0 THEN 'xss, Secrets ' WHEN p_size % 5 = 1 THEN 'cors,debug'
+            WHEN p_size % 5 = 2 THEN 'other' ELSE '' END AS tags_text,
+       CASE WHEN p_size % 4 = 0 THEN 'ACME' || '-INJ-' || p_brand WHEN p_size % 4 = 1
+            THEN 'ACME-misc-' || p_brand ELSE p_brand END AS long_id,
+       l_returnflag AS flag, l_orderkey AS orderkey, l_tax AS tax
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+"""
+
+# Rules whose ids, languages and needles come from the parts.
+RULES = """
+SELECT 'PART-' || CAST(p_partkey AS STRING) AS id, p_name AS title,
+       CASE WHEN p_size > 40 THEN 'critical' WHEN p_size > 30 THEN 'high'
+            WHEN p_size > 20 THEN 'medium' ELSE 'low' END AS severity,
+       CAST(CAST(p_size AS DOUBLE) / 50 AS FLOAT) AS confidence,
+       split(CASE WHEN p_size % 3 = 0 THEN 'python' WHEN p_size % 3 = 1 THEN 'javascript,go'
+             ELSE 'java,python,rust' END, ',') AS languages,
+       CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_type END AS category,
+       split(CASE WHEN p_size % 4 = 0 THEN 'Auth,' || p_brand ELSE p_brand END, ',') AS tags,
+       split(p_name, ' ') AS pattern_any
+FROM {part}
+"""
+
+# Paths of every kind the language tagger tells apart.
+PATHS = """
+SELECT c_custkey, CASE c_custkey % 24
+  WHEN 0 THEN 'svc/main.py' WHEN 1 THEN 'svc/App.JSX' WHEN 2 THEN 'a/b.tsx' WHEN 3 THEN 'x.mjs'
+  WHEN 4 THEN 'cmd/run.go' WHEN 5 THEN 'src/lib.rs' WHEN 6 THEN 'A.java' WHEN 7 THEN 'P.cs'
+  WHEN 8 THEN 'r.rb' WHEN 9 THEN 'page.phtml' WHEN 10 THEN 'm.kts' WHEN 11 THEN 'v.swift'
+  WHEN 12 THEN 'main.hcl' WHEN 13 THEN 'Dockerfile' WHEN 14 THEN 'img/dockerfile.prod'
+  WHEN 15 THEN '.github/workflows/ci.yml' WHEN 16 THEN 'deploy/Service.YAML'
+  WHEN 17 THEN 'conf/plain.yaml' WHEN 18 THEN 'notes.txt' WHEN 19 THEN 'dir.py/readme'
+  WHEN 20 THEN '.py' WHEN 21 THEN 'a.tar.gz' WHEN 22 THEN 'helm/values.yml' ELSE 'x.d.ts' END
+  AS tail, 'root/' || c_mktsegment || '/' AS head
+FROM {customer}
+"""
+
+
 def strip_braces(sql: str) -> str:
     """The view for the SQL check, where the tables are views of the same name."""
     return re.sub(r"\{(\w+)\}", r"\1", sql)
@@ -174,6 +229,23 @@ def code_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return _files(view(spark, sf, CODE_CORPUS))
 
 
+def scanner_findings(spark: SparkSession, sf: str) -> DataFrame:
+    df = view(spark, sf, SCANNER).withColumnRenamed("col_no", "column")
+    empty = F.lit(None).cast("string")
+    return df.withColumns({"tags": F.split("tags_text", ","), "ai_tendency": empty,
+                           "fix_suggestion": empty})
+
+
+def part_rules(spark: SparkSession, sf: str) -> DataFrame:
+    df = view(spark, sf, RULES)
+    empty, none = F.array().cast("array<string>"), F.lit(None).cast("string")
+    return df.withColumns({
+        "pattern_all": empty, "pattern_not": empty, "negative_patterns": empty, "cwe_id": none,
+        "owasp_category": none, "ai_tendency": none, "fix_suggestion": none})
+
+
+WITH_SCANNER = "scanner AS (" + strip_braces(SCANNER) + ")"
+WITH_RULES = "rules AS (" + strip_braces(RULES) + ")"
 WITH_FINDINGS = "findings AS (" + strip_braces(FINDINGS) + ")"
 WITH_SCANS = "scans AS (" + strip_braces(SCANS) + ")"
 WITH_BOTH = f"WITH {WITH_FINDINGS}, {WITH_SCANS}"

@@ -75,7 +75,8 @@ def category_key(col: str = "category") -> Column:
 
 
 def _best_first() -> list[Column]:
-    return [F.desc("risk_score"), F.desc(rank("severity")), F.desc("ai_confidence"), F.asc("id")]
+    return [F.desc("risk_score"), F.desc(rank("severity")), F.desc("ai_confidence"), F.asc("id"),
+            F.asc("column"), F.asc("title")]
 
 
 def dedup_findings(df: DataFrame, mode: str = "normalized") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.severity import literal_map
 from riskloom.functions.text import ascii_lower, base_name, contains_any, lines_of
 from riskloom.sources.files import as_uri, list_files, read_texts
 
@@ -27,12 +28,13 @@ def language_of(path: Column) -> Column:
     lower = ascii_lower(path)
     name = base_name(lower)
     ext = F.regexp_extract(name, r"(?s)^.+\.([^.]*)$", 1)
-    out = F.when((name == "dockerfile") | name.startswith("dockerfile."), "dockerfile")
-    for language, extensions in EXTENSIONS.items():
-        out = out.when(ext.isin(extensions), language)
-    yaml = ext.isin("yaml", "yml")
-    return (out.when(yaml & contains_any(lower, WORKFLOW_HINTS), "github-actions")
-            .when(yaml & contains_any(lower, K8S_HINTS), "kubernetes"))
+    by_extension = literal_map({e: lang for lang, group in EXTENSIONS.items() for e in group})
+    return F.coalesce(
+        F.when((name == "dockerfile") | name.startswith("dockerfile."), "dockerfile"),
+        F.try_element_at(by_extension, ext),
+        F.when(ext.isin("yaml", "yml"), F.when(
+            contains_any(lower, WORKFLOW_HINTS), "github-actions").when(
+            contains_any(lower, K8S_HINTS), "kubernetes")))
 
 
 def with_language(df: DataFrame, path: str = "path") -> DataFrame:
