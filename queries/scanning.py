@@ -200,6 +200,12 @@ _FLAGS = f"""flagged AS (SELECT *, {_near(rt.PYTHON)} AS py_near,
 _JS_SQL = _route_sql(rt.JS, f"{_HINT} OR js_above")
 _PY_SQL, _JAVA_SQL = _route_sql(rt.PYTHON, "py_near"), _route_sql(rt.JAVA, "java_near")
 
+
+def route_parts() -> str:
+    """flagged and routes: all unguarded routes."""
+    return f"{_FLAGS}, routes AS ({_JS_SQL} UNION ALL {_PY_SQL} UNION ALL {_JAVA_SQL})"
+
+
 for _name, _fn, _sql in [("unguarded_routes_js", rt.unguarded_routes_js, _JS_SQL),
                          ("unguarded_routes_py", rt.unguarded_routes_py, _PY_SQL),
                          ("unguarded_routes_java", rt.unguarded_routes_java, _JAVA_SQL)]:
