@@ -1,5 +1,5 @@
 """Registered queries: every operator over the driver tables, with its SQL twin."""
 
-from queries import dashboards, logs, scanning, selection
+from queries import dashboards, intake, logs, reports, scanning, selection
 
-MODULES = [dashboards, logs, scanning, selection]
+MODULES = [dashboards, logs, scanning, selection, reports, intake]
