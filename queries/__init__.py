@@ -1,5 +1,6 @@
 """Registered queries: every operator over the driver tables, with its SQL twin."""
 
-from queries import dashboards, intake, logs, reports, scanning, selection
+from queries import (
+    dashboards, intake, inventory, logs, models, reports, scanning, selection)
 
-MODULES = [dashboards, logs, scanning, selection, reports, intake]
+MODULES = [dashboards, logs, scanning, selection, reports, intake, inventory, models]

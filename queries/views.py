@@ -201,7 +201,9 @@ def view(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     """A view as a DataFrame over the tables in a folder."""
     apply_settings(spark)
     names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
-    quoted = re.sub(r"\{(?!\w+\})|(?<!\w)\}", lambda m: m.group() * 2, sql)
+    quoted = "".join(part if re.fullmatch(r"\{\w+\}", part)
+                     else part.replace("{", "{{").replace("}", "}}")
+                     for part in re.split(r"(\{\w+\})", sql))
     return spark.sql(quoted, **{n: load(spark, sf, n) for n in names})
 
 
@@ -230,7 +232,7 @@ def code_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scanner_findings(spark: SparkSession, sf: str) -> DataFrame:
-    df = view(spark, sf, SCANNER).withColumnRenamed("col_no", "column")
+    df = spread(view(spark, sf, SCANNER).withColumnRenamed("col_no", "column"))
     empty = F.lit(None).cast("string")
     return df.withColumns({"tags": F.split("tags_text", ","), "ai_tendency": empty,
                            "fix_suggestion": empty})

@@ -128,6 +128,12 @@ def external_findings(df: DataFrame, engine: str, col: str = "payload") -> DataF
     return normalize_external(_RAW[engine](df, col, keep), engine)
 
 
+def parsed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a parsed column behind a one-row explode. A filter on the result would otherwise be
+    pushed below the projection and parse the text again for every field it looks at."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 # Ingest payloads (S7) ------------------------------------------------------------------------
 
 def parse_ingest(df: DataFrame, col: str = "payload") -> DataFrame:
@@ -140,7 +146,7 @@ def parse_ingest(df: DataFrame, col: str = "payload") -> DataFrame:
         ok = ok & c.isNotNull()
     bad = F.exists(F.coalesce(F.col("p.scan_result.findings"), F.array()), lambda f: (
         f["rule_id"].isNull() | f["severity"].isNull() | f["file_path"].isNull()))
-    parsed = df.withColumn("p", F.from_json(col, schemas.INGEST))
+    parsed = parsed_once(df, "p", F.from_json(col, schemas.INGEST))
     return parsed.withColumn("accepted", ok & ~F.coalesce(bad, F.lit(False)))
 
 
@@ -157,8 +163,9 @@ def _mode(ids: Column) -> Column:
 def summarize_report(df: DataFrame, fmt: str = "auto", col: str = "payload") -> DataFrame:
     """History-style summary of a report; ``auto`` tells the two formats apart by shape."""
     keep = [c for c in df.columns if c != col]
-    rows = (df.withColumn("_j", F.from_json(col, schemas.REPORT_JSON))
-            .withColumn("_s", F.from_json(col, schemas.SARIF)))
+    both = F.struct(F.from_json(col, schemas.REPORT_JSON).alias("j"),
+                    F.from_json(col, schemas.SARIF).alias("s"))
+    rows = parsed_once(df, "_r", both).withColumns({"_j": F.col("_r.j"), "_s": F.col("_r.s")})
     findings = F.coalesce(F.col("_j.findings"), F.array())
     results = F.flatten(F.transform(F.coalesce(F.col("_s.runs"), F.array()),
                                     lambda r: F.coalesce(r["results"], F.array())))
