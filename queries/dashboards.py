@@ -149,7 +149,9 @@ _POINTS = ("100 - least((critical * 10 + high * 5 + medium * 2 + low)::DOUBLE /
            "100)")
 
 
-@add("compliance_report", f"""{_BOTH}, n AS (SELECT scan_id, count(*) AS total_findings,
+def report_cte(start: str, end: str) -> str:
+    """j: the compliance report without its score."""
+    return f"""{_BOTH}, n AS (SELECT scan_id, count(*) AS total_findings,
   count(*) FILTER (WHERE severity = 'critical') AS critical,
   count(*) FILTER (WHERE severity = 'high') AS high,
   count(*) FILTER (WHERE severity = 'medium') AS medium,
@@ -161,8 +163,11 @@ j AS (SELECT org_id, coalesce(team_id, 'N/A') AS team_id, coalesce(repo_id, 'N/A
   coalesce(top_cwe_id, 'N/A') AS top_cwe, coalesce(top_owasp_category, 'N/A') AS top_owasp,
   s.scan_id FROM (SELECT * EXCLUDE (total_findings) FROM scans) s LEFT JOIN n ON s.scan_id = n.scan_id
   LEFT JOIN c ON s.scan_id = c.scan_id LEFT JOIN o ON s.scan_id = o.scan_id
-  WHERE org_id = '{ORG}' AND ts >= DATE '2000-01-01'
-    AND ts <= DATE '2000-12-31' + INTERVAL 1 DAY)
+  WHERE org_id = '{ORG}' AND ts >= DATE '{start}'
+    AND ts <= DATE '{end}' + INTERVAL 1 DAY)"""
+
+
+@add("compliance_report", f"""{report_cte('2000-01-01', '2000-12-31')}
 SELECT *, CASE WHEN total_findings <= 0 THEN '100.0%'
   ELSE printf('%.1f%%', {exact(_POINTS, 1)}) END AS compliance_score FROM j""")
 def _(spark, sf):

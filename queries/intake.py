@@ -15,7 +15,6 @@ from queries.sqlparts import hits_cte
 from riskloom.functions import text as tx
 from riskloom.operators import ingest as ig
 from riskloom.operators import matching as mt
-from riskloom.sources.corpus import spread
 from riskloom.sources.reports import parse_ingest
 from riskloom.streaming import streams as st
 
@@ -36,7 +35,7 @@ _SEV = ("CASE WHEN l_quantity >= 45 THEN 'Critical' WHEN l_quantity >= 30 THEN '
 
 
 def _payloads(spark, sf) -> DataFrame:
-    rows = spread(v.view(spark, sf, PAYLOADS))
+    rows = v.view(spark, sf, PAYLOADS, dealt=True)
     one = F.struct(
         F.concat(F.lit("R-"), (F.col("l_partkey") % 30).cast("string")).alias("rule_id"),
         F.expr(_SEV).alias("severity"),

@@ -50,7 +50,7 @@ _PREV = f"timestamp >= {AS_OF - 2 * DAYS * 86400} AND timestamp < {AS_OF - DAYS
 
 
 def history(spark, sf):
-    return parse_history(v.view(spark, sf, _SPARK_LOG))
+    return parse_history(v.view(spark, sf, _SPARK_LOG, dealt=True))
 
 
 def recent(spark, sf):

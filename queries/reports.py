@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queries import views as v
-from queries.dashboards import AS_OF, ORG
+from queries.dashboards import AS_OF, ORG, report_cte
 from queries.scanning import score
 from queries.selection import _SCANNER
-from queries.sqlparts import rank, score1
+from queries.sqlparts import exact, rank, score1
 from riskloom.operators import analytics as an
 from riskloom.operators import findings as fd
 from riskloom.sinks import documents as doc
@@ -265,6 +265,14 @@ UNION ALL SELECT 'summary: total=' || count(*) || ' dedup_mode=none original_tot
 QUERIES["compliance_csv"] = lambda spark, sf: compliance_table(an.compliance_report(
     v.findings(spark, sf), v.scans(spark, sf), ORG, "2001-01-01", AS_OF))
 
+_POINTS = "100 - least((critical * 10 + high * 5 + medium * 2 + low)::DOUBLE / total_findings, 100)"
+SQL["compliance_csv"] = f"""{report_cte('2001-01-01', AS_OF)} SELECT org_id AS "Organization",
+  team_id AS "Team", repo_id AS "Repository", strftime(scanned_at, '%Y-%m-%d %H:%M:%S') AS "Scan Date",
+  total_findings::VARCHAR AS "Total Findings", critical::VARCHAR AS "Critical", high::VARCHAR AS "High",
+  medium::VARCHAR AS "Medium", low::VARCHAR AS "Low", top_cwe AS "Top CWE", top_owasp AS "Top OWASP",
+  CASE WHEN total_findings <= 0 THEN '100.0%' ELSE printf('%.1f%%', {exact(_POINTS, 1)}) END
+  AS "Compliance Score" FROM j"""
+
 QUERIES["alert_payload"] = lambda spark, sf: nt.alert_payload(
     v.scanner_findings(spark, sf), "high", "src/", 1_700_000_000, 97, 25).select(
     *[F.get_json_object("payload", f"$.{p}").alias(n) for p, n in [

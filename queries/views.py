@@ -16,6 +16,8 @@ from riskloom.sources.corpus import spread, with_relative_path
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+SMALL = {"region", "nation", "part", "customer", "supplier"}
+
 FINDINGS = """
 SELECT CAST(l_orderkey AS STRING) AS scan_id, l_linenumber AS line_number, p_brand AS rule_id,
        p_type AS rule_title, 'src/mod_' || CAST(l_partkey % 97 AS STRING) || '.py' AS file_path,
@@ -197,14 +199,18 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf: str, sql: str) -> DataFrame:
-    """A view as a DataFrame over the tables in a folder."""
+def view(spark: SparkSession, sf: str, sql: str, dealt: bool = False) -> DataFrame:
+    """A view as a DataFrame over the tables in a folder. ``dealt`` spreads tables that come in
+    fewer splits than there are task slots, for views with much work per row."""
     apply_settings(spark)
     names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
     quoted = "".join(part if re.fullmatch(r"\{\w+\}", part)
                      else part.replace("{", "{{").replace("}", "}}")
                      for part in re.split(r"(\{\w+\})", sql))
-    return spark.sql(quoted, **{n: load(spark, sf, n) for n in names})
+    tables = {n: load(spark, sf, n) for n in names}
+    if dealt:
+        tables = {n: t if n in SMALL else spread(t) for n, t in tables.items()}
+    return spark.sql(quoted, **tables)
 
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -216,23 +222,23 @@ def scans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _files(df: DataFrame) -> DataFrame:
-    return spread(with_relative_path(df, ".")).select("path", "file", "language", "content")
+    return with_relative_path(df, ".").select("path", "file", "language", "content")
 
 
 def doc_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return _files(view(spark, sf, DOC_CORPUS))
+    return _files(view(spark, sf, DOC_CORPUS, dealt=True))
 
 
 def page_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return _files(view(spark, sf, PAGE_CORPUS))
+    return _files(view(spark, sf, PAGE_CORPUS, dealt=True))
 
 
 def code_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return _files(view(spark, sf, CODE_CORPUS))
+    return _files(view(spark, sf, CODE_CORPUS, dealt=True))
 
 
 def scanner_findings(spark: SparkSession, sf: str) -> DataFrame:
-    df = spread(view(spark, sf, SCANNER).withColumnRenamed("col_no", "column"))
+    df = view(spark, sf, SCANNER, dealt=True).withColumnRenamed("col_no", "column")
     empty = F.lit(None).cast("string")
     return df.withColumns({"tags": F.split("tags_text", ","), "ai_tendency": empty,
                            "fix_suggestion": empty})

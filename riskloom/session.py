@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution does the run-time work: it merges small shuffle blocks, splits skewed
 # join partitions and turns a shuffled join into a broadcast one once a side is measured small.
@@ -47,3 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="riskloom-checkpoint-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows behind a table written to the shared folder. Results that are read several
+    times (a report needs counts, an order and the rows) are computed once, and a lost executor
+    does not bring the whole lineage back."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/riskloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

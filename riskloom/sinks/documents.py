@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.severity import RANKS, rank
 from riskloom.operators.findings import mode_rule
+from riskloom.session import stored
 
 PER_DOC = 5_000
 TOOL = "riskloom"
@@ -67,6 +68,7 @@ def report_json(findings: DataFrame, scanned_files: int = 0, matched_rules: int
                 dedup_mode: str = "normalized", original_total: Column | None = None,
                 per_doc: int = PER_DOC) -> DataFrame:
     """K2: native JSON reports as ``doc, document``; the summary is that of all findings."""
+    findings = stored(findings)
     dealt, docs = _documents(findings, ["id", "file", "line", "column", "snippet"], per_doc)
     counts = findings.agg(
         F.count("*").alias("total"), F.count_if(F.col("ai_confidence") >= 70).alias("ai"),
@@ -94,6 +96,7 @@ def report_json(findings: DataFrame, scanned_files: int = 0, matched_rules: int
 def report_sarif(findings: DataFrame, dedup_mode: str = "normalized",
                  original_total: Column | None = None, per_doc: int = PER_DOC) -> DataFrame:
     """K3: SARIF 2.1.0 documents as ``doc, document``, each with the rules of its results."""
+    findings = stored(findings)
     dealt, docs = _documents(findings, ["id", "file", "line", "column", "snippet"], per_doc)
     total = findings.agg(F.count("*")).scalar()
     text = lambda c: F.struct(_clean(c).alias("text"))
@@ -143,7 +146,7 @@ def _package_order() -> list[Column]:
 def sbom_spdx(packages: DataFrame, created: str, namespace: str, name: str = "inventory",
               per_doc: int = PER_DOC) -> DataFrame:
     """K7: SPDX 2.3 documents of packages that have ``purl`` and ``spdx_id``."""
-    dealt, docs = _documents(packages, _PACKAGE_ID, per_doc)
+    dealt, docs = _documents(stored(packages), _PACKAGE_ID, per_doc)
     entry = F.struct(
         F.col("spdx_id").alias("SPDXID"), F.col("name"), F.col("version").alias("versionInfo"),
         F.lit("NOASSERTION").alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"),
@@ -166,7 +169,7 @@ def sbom_spdx(packages: DataFrame, created: str, namespace: str, name: str = "in
 
 def sbom_cyclonedx(packages: DataFrame, created: str, per_doc: int = PER_DOC) -> DataFrame:
     """K7: CycloneDX 1.5 documents of packages that have ``purl``."""
-    dealt, docs = _documents(packages, _PACKAGE_ID, per_doc)
+    dealt, docs = _documents(stored(packages), _PACKAGE_ID, per_doc)
     entry = F.struct(F.lit("library").alias("type"), F.col("name"), F.col("version"), F.col("purl"))
     lists = dealt.groupBy("doc").agg(_listed(entry, _package_order()).alias("components"))
     empty = F.array().cast(lists.schema["components"].dataType)

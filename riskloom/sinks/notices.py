@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.severity import min_severity, rank, severity_counts
 from riskloom.functions.text import escape_annotation_message, escape_annotation_property
+from riskloom.session import stored
 
 ANNOTATION_LIMIT = 200
 ALERT_LIMIT = 20
@@ -55,6 +56,7 @@ def alert_payload(findings: DataFrame, severity: str = "high", target: str = "."
                   ) -> DataFrame:
     """K8: one JSON payload with totals and the 20 strongest findings at or above a severity; no
     row when there are none."""
+    findings = stored(findings)
     loud = min_severity(findings, severity)
     top = _strongest(loud, ALERT_LIMIT).select(F.struct(
         (-F.col("risk_score")).alias("o1"), (-rank("severity")).alias("o2"),

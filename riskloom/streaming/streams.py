@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -46,10 +47,12 @@ def ingest_writer(path: str, col: str = "payload", received: str = "received_at"
     leaves the same rows.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        parts = ingest(batch, col, received)
+        rows = batch.persist(StorageLevel.DISK_ONLY)  # three outputs, one read of the source
+        parts = ingest(rows, col, received)
         for name, df in (("scans", parts.scans), ("findings", parts.findings),
                          ("rejects", parts.rejects)):
             df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        rows.unpersist()
     return write
 
 
