@@ -21,8 +21,12 @@ def ranked_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         *keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
     cuts = counts.agg(F.percentile_approx(
         "v", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).scalar()
-    placed = counts.withColumn("_cuts", cuts).withColumn(
-        "b", F.size(F.filter("_cuts", lambda x: x < F.col("v")))).drop("_cuts")
+    step = 16
+    coarse = F.array(*[F.get("_cuts", F.lit(i)) for i in range(step - 1, BUCKETS - 1, step)])
+    below = lambda points: F.size(F.filter(points, lambda x: x < F.col("v")))
+    placed = counts.withColumn("_cuts", cuts).withColumn("_block", below(coarse) * step)
+    placed = placed.withColumn("b", F.col("_block") + below(
+        F.slice("_cuts", F.col("_block") + 1, step))).drop("_cuts", "_block")
     per_bucket = placed.groupBy(*keys, "b").agg(F.sum("c").alias("bc"))
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = by_key.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)

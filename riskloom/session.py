@@ -50,10 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="riskloom-checkpoint-")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows behind a table written to the shared folder. Results that are read several
-    times (a report needs counts, an order and the rows) are computed once, and a lost executor
-    does not bring the whole lineage back."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The same rows behind a table written to the shared folder, in one folder per value of
+    ``by``. Results that are read several times (a report needs counts, an order and the rows) are
+    computed once, and a lost executor does not bring the whole lineage back."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/riskloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
