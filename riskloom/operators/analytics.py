@@ -39,17 +39,26 @@ def scoped(df: DataFrame, **ids: str | None) -> DataFrame:
     return df
 
 
+def _from(df: DataFrame, bound: Column, ts: str) -> DataFrame:
+    """Read only the day folders from a moment on, where the table is stored by day."""
+    if ts == "timestamp" and "scan_date" in df.columns:
+        return df.where(F.col("scan_date") >= F.to_date(bound))
+    return df
+
+
 def window_days(df: DataFrame, as_of: str | datetime, start: int, end: int = 0,
                 ts: str = "timestamp") -> DataFrame:
     """Later than ``start`` days ago and not later than ``end`` days ago."""
-    return df.where((F.col(ts) > _back(as_of, start)) & (F.col(ts) <= _back(as_of, end)))
+    rows = _from(df, _back(as_of, start), ts)
+    return rows.where((F.col(ts) > _back(as_of, start)) & (F.col(ts) <= _back(as_of, end)))
 
 
 def since_days(df: DataFrame, as_of: str | datetime, days: int, inclusive: bool = False,
                ts: str = "timestamp") -> DataFrame:
     """P11, one-sided: later than N days ago, or from N days ago on."""
     bound = _back(as_of, days)
-    return df.where(F.col(ts) >= bound if inclusive else F.col(ts) > bound)
+    rows = _from(df, bound, ts)
+    return rows.where(F.col(ts) >= bound if inclusive else F.col(ts) > bound)
 
 
 def _joined(findings: DataFrame, scans: DataFrame, *cols: str) -> DataFrame:

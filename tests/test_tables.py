@@ -259,6 +259,18 @@ def test_hot_scan(spark):
     assert daily == 3000
 
 
+def test_windows_read_only_their_days(spark, tmp_path, capsys):
+    scans = seed.seed_scans(spark, 80).withColumn("scan_date", F.to_date("timestamp"))
+    tb.write_by_date(scans, str(tmp_path / "scans"))
+    stored = spark.read.parquet(str(tmp_path / "scans"))
+    recent = an.org_rollup(stored, "2025-01-31", 5)
+    recent.explain("formatted")
+    assert "PartitionFilters: [isnotnull(scan_date" in capsys.readouterr().out
+    want = an.org_rollup(scans.drop("scan_date"), "2025-01-31", 5)
+    key = lambda rows: sorted((r["org_id"], r["scans"], r["findings"]) for r in rows)
+    assert key(recent.collect()) == key(want.collect())
+
+
 # Packages ------------------------------------------------------------------------------------
 
 def test_manifest_tree(spark, tmp_path):
