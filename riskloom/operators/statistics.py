@@ -2,7 +2,8 @@
 
 Exact order statistics of a group of any size: equal values are counted first, the distinct values
 are cut into buckets at approximate quantiles, and ranks are running sums inside a bucket plus the
-size of the buckets before it. A group with a third of all rows is spread over its buckets.
+size of the buckets before it. A group with a third of all rows is spread over its buckets. The
+counted values are stored, so the samples themselves are read once.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import stored
+
 BUCKETS = 256
 
 
 def ranked_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values per group with the 0-based ranks [lo, hi) they take, and group size n."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(
-        *keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    counts = stored(df.where(F.col(value).isNotNull()).groupBy(
+        *keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")))
     cuts = counts.agg(F.percentile_approx(
         "v", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).scalar()
     step = 16

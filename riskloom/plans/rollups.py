@@ -23,10 +23,11 @@ _TIME = {"top_rules_daily": "day", "repo_health_daily": "day", "team_leaderboard
 
 
 def refresh_rollups(findings: DataFrame, scans: DataFrame, as_of: str, path: str) -> None:
-    """Write every rollup by month. Only the months present in the input are replaced, so a
-    refresh may be given the changed time range alone."""
+    """Write every rollup by month. The daily and weekly ones replace only the months present
+    in the input, so a refresh may be given the changed time range alone; the hourly one covers
+    seven days and is replaced as a whole."""
     for name, df in rollups(findings, scans, as_of).items():
         dated = df.withColumn("month", F.date_format(F.date_trunc("month", _TIME[name]), "yyyy-MM"))
+        mode = "static" if name == "vulnerability_trend_hourly" else "dynamic"
         (dated.hint("rebalance", F.col("month")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("month")
-         .parquet(f"{path}/{name}"))
+         .option("partitionOverwriteMode", mode).partitionBy("month").parquet(f"{path}/{name}"))

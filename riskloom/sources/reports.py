@@ -134,6 +134,21 @@ def parsed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def read_report_json(spark: SparkSession, path: str) -> DataFrame:
+    """S3: findings of native JSON report files."""
+    return report_findings(read_payloads(spark, path))
+
+
+def read_sarif(spark: SparkSession, path: str) -> DataFrame:
+    """Results of SARIF files."""
+    return sarif_results(read_payloads(spark, path))
+
+
+def read_external(spark: SparkSession, path: str, engine: str) -> DataFrame:
+    """Findings of an external analyzer's report files."""
+    return external_findings(read_payloads(spark, path), engine)
+
+
 # Ingest payloads (S7) ------------------------------------------------------------------------
 
 def parse_ingest(df: DataFrame, col: str = "payload") -> DataFrame:

@@ -348,6 +348,19 @@ def test_documents_hold_every_finding(spark):
     assert json.loads(doc.report_sarif(df.limit(0)).first()["document"])["runs"][0]["results"] == []
 
 
+def test_report_files(spark, tmp_path):
+    native = {"summary": {}, "findings": [{"id": "A", "severity": "high"}]}
+    (tmp_path / "a.json").write_text(json.dumps(native, indent=1))
+    (tmp_path / "s.sarif").write_text(json.dumps({"runs": [{"results": [{"ruleId": "S"}]}]}, indent=1))
+    (tmp_path / "e.json").write_text(json.dumps([{"filePath": "x.js", "messages": [
+        {"ruleId": "no-eval", "message": "m", "line": 2, "column": 5, "severity": 2}]}], indent=1))
+    one = rp.read_report_json(spark, str(tmp_path / "a.json")).first()
+    assert (one["id"], one["file"], one["line"]) == ("A", "unknown", 1)
+    assert rp.read_sarif(spark, str(tmp_path / "s.sarif")).first()["id"] == "S"
+    e = rp.read_external(spark, str(tmp_path / "e.json"), "eslint").first()
+    assert (e["id"], e["severity"], e["risk_score"], e["line"]) == ("SAST-ESLINT-NO_EVAL", "high", 80.0, 2)
+
+
 def test_annotations_and_alert(spark):
     df = findings(spark, [{"id": "R", "file": "a:b.py", "line": i, "severity": "medium",
                            "risk_score": 10.0 + i} for i in range(1, 4)])
