@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom import schemas
 from riskloom.functions.numbers import f32
 from riskloom.functions.text import ascii_lower, contains_any, lines_of, trim_white
+from riskloom.sources.reports import parsed_once
 
 # Words that make a route sensitive, and access hints of script routes.
 SENSITIVE = ["admin", "account", "billing", "payment", "profile", "internal", "private", "manage",
@@ -74,63 +74,80 @@ def is_sensitive(route: Column) -> Column:
     return contains_any(ascii_lower(route), SENSITIVE)
 
 
-def _routes(corpus: DataFrame, check: RouteCheck, unguarded, id_prefix: str) -> DataFrame:
-    """Route lines that ``unguarded`` lets through. Files without a route marker drop before any
-    line work; each line is compared with a window of bounded size or one position."""
-    lower = ascii_lower("content")
-    files = corpus.where((ascii_lower("language") == check.language)
-                         & contains_any(lower, check.routes))
-    keep = [c for c in files.columns if c not in ("content", "language")]
-    files = files.withColumn("_lines", lines_of("content")).drop("content")
-    files = files.withColumn("_lower", F.transform("_lines", ascii_lower))
+def _is_open(check: RouteCheck, x: Column) -> Column:
+    """No access check covers the route line ``x``: for scripts neither on the line nor registered
+    at or above it, otherwise none in the lines around."""
+    if check.before == check.after == 0:
+        return ~contains_any(x["lower"], AUTH_HINTS) & (
+            (F.col("_first") == 0) | (F.col("_first") > x["line"]))
+    start = F.greatest(x["line"] - check.before, F.lit(1))
+    around = F.slice(F.col("_guards"), start, x["line"] + check.after - start + 1)
+    return ~F.exists(around, lambda g: g)
+
+
+def _routes(corpus: DataFrame, checks: list[RouteCheck], id_prefix: str) -> DataFrame:
+    """Unguarded route lines of all given languages in one pass over the corpus. Files without a
+    route marker of their language drop before any line work; each line is compared with a window of
+    bounded size or one position."""
+    language = ascii_lower("language")
+
+    def pick(value) -> Column:
+        """The value of the check that belongs to the file's language."""
+        out = F.when(F.col("_lang") == checks[0].language, value(checks[0]))
+        for check in checks[1:]:
+            out = out.when(F.col("_lang") == check.language, value(check))
+        return out
+
+    def guards(check: RouteCheck, x: Column) -> Column:
+        found = contains_any(x, check.guards)
+        return found & contains_any(x, AUTH_HINTS) if check is JS else found
+
+    routed = F.lit(False)
+    for check in checks:
+        routed = routed | ((F.col("_lang") == check.language)
+                           & contains_any(F.col("_text"), check.routes))
+    # The lower-cased text is made once per file of a wanted language, not once per marker.
+    files = corpus.where(language.isin([c.language for c in checks])).withColumn("_lang", language)
+    files = parsed_once(files, "_text", ascii_lower("content")).where(routed)
+    keep = [c for c in corpus.columns if c not in ("content", "language", "path")]
+    files = files.withColumn("_lines", lines_of("content")).withColumn("_lower", lines_of("_text"))
     files = files.withColumn("_guards", F.transform(
-        "_lower", lambda x: contains_any(x, check.guards)
-        & (contains_any(x, AUTH_HINTS) if check.before == check.after == 0 else F.lit(True))))
+        "_lower", lambda x: pick(lambda check: guards(check, x))))
     files = files.withColumn("_first", F.array_position("_guards", F.lit(True)))
     rows = F.transform("_lines", lambda text, i: F.struct(
         (i + 1).alias("line"), text.alias("text"), F.get(F.col("_lower"), i).alias("lower")))
-    hits = F.filter(rows, lambda x: contains_any(x["lower"], check.routes)
-                    & is_sensitive(quoted_segment(x["text"])) & unguarded(x))
+    hits = F.filter(rows, lambda x: pick(lambda check: contains_any(x["lower"], check.routes))
+                    & is_sensitive(quoted_segment(x["text"]))
+                    & pick(lambda check: _is_open(check, x)))
     missing = F.lit(None).cast("string")
-    out = files.select(*keep, F.explode(hits).alias("hit")).select(
-        *keep, F.lit(id_prefix + check.rule_id).alias("id"), F.lit(TITLE).alias("title"),
-        F.lit("high").alias("severity"), F.col("hit.line").cast("int").alias("line"),
-        F.lit(1).alias("column"), trim_white(F.col("hit.text")).alias("snippet"),
-        f32(check.likelihood).alias("ai_confidence"), f32(check.risk).alias("risk_score"),
-        F.lit("auth").alias("category"), missing.alias("cwe_id"),
-        missing.alias("owasp_category"),
+    return files.select(*keep, "_lang", F.explode(hits).alias("hit")).select(
+        *keep, pick(lambda c: F.lit(id_prefix + c.rule_id)).alias("id"),
+        F.lit(TITLE).alias("title"), F.lit("high").alias("severity"),
+        F.col("hit.line").cast("int").alias("line"), F.lit(1).alias("column"),
+        trim_white(F.col("hit.text")).alias("snippet"),
+        pick(lambda c: f32(c.likelihood)).alias("ai_confidence"),
+        pick(lambda c: f32(c.risk)).alias("risk_score"), F.lit("auth").alias("category"),
+        missing.alias("cwe_id"), missing.alias("owasp_category"),
         F.array(*map(F.lit, ["auth", "cross-file", "heuristic"])).alias("tags"),
-        F.lit(check.tendency).alias("ai_tendency"),
-        F.lit(check.suggestion).alias("fix_suggestion"))
-    return out.drop("path")
+        pick(lambda c: F.lit(c.tendency)).alias("ai_tendency"),
+        pick(lambda c: F.lit(c.suggestion)).alias("fix_suggestion"))
 
 
 def unguarded_routes_js(corpus: DataFrame, id_prefix: str = "") -> DataFrame:
     """Routes with neither an access hint on the line nor a guard registered at or above it."""
-    return _routes(corpus, JS, lambda x: ~contains_any(x["lower"], AUTH_HINTS) & (
-        (F.col("_first") == 0) | (F.col("_first") > x["line"])), id_prefix)
-
-
-def _window(check: RouteCheck):
-    def unguarded(x: Column) -> Column:
-        start = F.greatest(x["line"] - check.before, F.lit(1))
-        length = x["line"] + check.after - start + 1
-        return ~F.exists(F.slice(F.col("_guards"), start, length), lambda g: g)
-    return unguarded
+    return _routes(corpus, [JS], id_prefix)
 
 
 def unguarded_routes_py(corpus: DataFrame, id_prefix: str = "") -> DataFrame:
     """Routes without an access decorator from four lines above to three below."""
-    return _routes(corpus, PYTHON, _window(PYTHON), id_prefix)
+    return _routes(corpus, [PYTHON], id_prefix)
 
 
 def unguarded_routes_java(corpus: DataFrame, id_prefix: str = "") -> DataFrame:
     """Routes without an access annotation in the four lines above or on the line."""
-    return _routes(corpus, JAVA, _window(JAVA), id_prefix)
+    return _routes(corpus, [JAVA], id_prefix)
 
 
 def unguarded_routes(corpus: DataFrame, id_prefix: str = "") -> DataFrame:
     """R7-R9 together, in the columns of a finding."""
-    parts = [f(corpus, id_prefix) for f in
-             (unguarded_routes_js, unguarded_routes_py, unguarded_routes_java)]
-    return reduce(DataFrame.unionByName, parts).select(*schemas.FINDING.fieldNames())
+    return _routes(corpus, [JS, PYTHON, JAVA], id_prefix).select(*schemas.FINDING.fieldNames())

@@ -129,8 +129,9 @@ def external_findings(df: DataFrame, engine: str, col: str = "payload") -> DataF
 
 
 def parsed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a parsed column behind a one-row explode. A filter on the result would otherwise be
-    pushed below the projection and parse the text again for every field it looks at."""
+    """Add a costly column (a parsed or lower-cased text) behind a one-row explode. A filter on the
+    result would otherwise be pushed below the projection and repeat the work for every field or
+    word it looks at."""
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
