@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom.llm.packing import pack
 from riskloom.llm.quality import quality
 from riskloom.llm.simhash import near_duplicates
+from riskloom.llm.substrings import substring_dedup
 from riskloom.llm.token_counts import token_counts
 from riskloom.llm.tokens import tokenizer_path
 from riskloom.session import apply_settings
@@ -20,6 +21,10 @@ def op1_simhash_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
+def op2_fm_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup(table(spark, sf, "documents"))
+
+
 def op4_harmonic_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -34,6 +39,7 @@ def op10_pretoken_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_anchors": op1_simhash_anchors,
+    "op2_fm_substrings": op2_fm_substrings,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op9_compression_bands": op9_compression_bands,
     "op10_pretoken_counts": op10_pretoken_counts,
