@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.llm import winnowing
 from riskloom.llm.packing import pack
 from riskloom.llm.quality import quality
 from riskloom.llm.simhash import near_duplicates
@@ -29,6 +30,10 @@ def op4_harmonic_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_winnowing(spark: SparkSession, sf: str) -> DataFrame:
+    return winnowing.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op9_compression_bands(spark: SparkSession, sf: str) -> DataFrame:
     return quality(table(spark, sf, "documents"))
 
@@ -41,7 +46,8 @@ QUERIES = {
     "op1_simhash_anchors": op1_simhash_anchors,
     "op2_fm_substrings": op2_fm_substrings,
     "op4_harmonic_packing": op4_harmonic_packing,
+    "op7_winnowing": op7_winnowing,
     "op9_compression_bands": op9_compression_bands,
     "op10_pretoken_counts": op10_pretoken_counts,
 }
-SQL: dict[str, str] = {}
+SQL = {"op7_winnowing": winnowing.SQL}
