@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import winnowing
 from riskloom.llm.packing import pack
+from riskloom.llm.pages import main_text
 from riskloom.llm.quality import quality
 from riskloom.llm.simhash import near_duplicates
 from riskloom.llm.substrings import substring_dedup
@@ -30,6 +31,10 @@ def op4_harmonic_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_site_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text(table(spark, sf, "pages"))
+
+
 def op7_winnowing(spark: SparkSession, sf: str) -> DataFrame:
     return winnowing.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op1_simhash_anchors": op1_simhash_anchors,
     "op2_fm_substrings": op2_fm_substrings,
     "op4_harmonic_packing": op4_harmonic_packing,
+    "op5_site_templates": op5_site_templates,
     "op7_winnowing": op7_winnowing,
     "op9_compression_bands": op9_compression_bands,
     "op10_pretoken_counts": op10_pretoken_counts,
