@@ -11,6 +11,8 @@ from riskloom.llm.quality import quality
 from riskloom.llm.simhash import near_duplicates
 from riskloom.llm.substrings import substring_dedup
 from riskloom.llm.token_counts import token_counts
+from riskloom.llm.tables import scratch
+from riskloom.llm.tokenfiles import read_tokens, write_tokens
 from riskloom.llm.tokens import tokenizer_path
 from riskloom.session import apply_settings
 
@@ -35,6 +37,12 @@ def op5_site_templates(spark: SparkSession, sf: str) -> DataFrame:
     return main_text(table(spark, sf, "pages"))
 
 
+def op6_elias_fano(spark: SparkSession, sf: str) -> DataFrame:
+    docs, path = table(spark, sf, "documents"), scratch(spark)
+    write_tokens(docs, path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return read_tokens(spark, path)
+
+
 def op7_winnowing(spark: SparkSession, sf: str) -> DataFrame:
     return winnowing.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -52,6 +60,7 @@ QUERIES = {
     "op2_fm_substrings": op2_fm_substrings,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_site_templates": op5_site_templates,
+    "op6_elias_fano": op6_elias_fano,
     "op7_winnowing": op7_winnowing,
     "op9_compression_bands": op9_compression_bands,
     "op10_pretoken_counts": op10_pretoken_counts,

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.session import shared_dir
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/riskloom-llm/{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """The same rows, written once and read from the shared folder from now on."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/riskloom-llm/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept.riskloom_path = path
