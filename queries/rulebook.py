@@ -22,6 +22,10 @@ CODE_RULES = [
     _rule("PY-AUTH-001", "Plain comparison of a secret", "high", 0.8, "python", "auth",
           ["timing-attack", "auth"], all=["token", "=="], no=["compare_digest("],
           ai_tendency="Copilot compares secrets directly", cwe_id="CWE-208"),
+    # Quieter by severity, louder by risk than the rule above, on the same lines and category: the
+    # severity filter has to come before the dedup.
+    _rule("PY-AUTH-009", "Secret on a line", "medium", 0.99, "python", "auth",
+          ["timing-attack", "auth"], all=["token", "=="], no=["compare_digest("]),
     _rule("PY-INJ-003", "Shell command", "critical", 0.75, "python", "injection",
           ["command-injection"], any=["shell=true", "shell = true"]),
     _rule("PY-CRYPTO-006", "Unchecked certificate", "medium", 0.65, "python", "misconfig",

@@ -250,8 +250,8 @@ _SCAN_RULES = [r for r in CODE_RULES if r["confidence"] >= 0.5
 SQL["scan"] = f"""{scored_cte(CODE, _SCAN_RULES)}, {_FLAGS},
 u AS (SELECT {_FLAT_COLS} FROM scored UNION ALL {_routes_full(_JS_SQL)}
   UNION ALL {_routes_full(_PY_SQL)} UNION ALL {_routes_full(_JAVA_SQL)}),
-d AS ({dedup_sql("(SELECT * FROM u WHERE NOT contains(lower(file), 'tests/'))")})
-SELECT * FROM d WHERE {rank('severity')} >= 4"""
+d AS ({dedup_sql(f"(SELECT * FROM u WHERE NOT contains(lower(file), 'tests/') AND {rank('severity')} >= 4)")})
+SELECT * FROM d"""
 
 QUERIES["scan_many"] = lambda spark, sf: flat(scan_many(
     [v.code_corpus(spark, sf), v.doc_corpus(spark, sf)], rules(spark, [*CODE_RULES, *TEXT_RULES]))

@@ -175,9 +175,9 @@ def match_rules(corpus: DataFrame, rules: DataFrame, marker: str = MARKER,
     return reduce(DataFrame.unionByName, parts)
 
 
-def unique_findings(df: DataFrame) -> DataFrame:
-    """One finding per rule, file and line."""
-    order = Window.partitionBy("id", "file", "line").orderBy("column", "title")
+def unique_findings(df: DataFrame, *first: str) -> DataFrame:
+    """One finding per rule, file and line, that with the smallest ``first`` columns."""
+    order = Window.partitionBy("id", "file", "line").orderBy(*first, "column", "title")
     return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

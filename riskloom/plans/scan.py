@@ -15,7 +15,7 @@ from riskloom.operators.findings import (
     dedup_findings, minus_baseline, profile_settings, summarize_findings, union_findings)
 from riskloom.operators.matching import (
     MARKER, ai_only, filter_rules, match_rules, order_findings, unique_findings)
-from riskloom.operators.routes import unguarded_routes
+from riskloom.operators.routes import ROUTE_IDS, unguarded_routes
 from riskloom.sources.corpus import exclude_paths
 
 
@@ -39,7 +39,8 @@ def scan(corpus: DataFrame, rules: DataFrame, options: ScanOptions = ScanOptions
     """Findings of a corpus of ``path, file, language, content``.
 
     Rule subset and path exclusion come first, then matching and scoring in one narrow stage, then
-    route and external findings, dedup, severity and baseline, and last the order.
+    route findings. External findings are added with a normalised dedup of all. Severity and
+    baseline come before the dedup for output, so a finding that they drop hides no other one.
     """
     level, prior, only = options.severity, options.min_prior, options.ai_only
     if options.profile:
@@ -51,19 +52,26 @@ def scan(corpus: DataFrame, rules: DataFrame, options: ScanOptions = ScanOptions
     files = exclude_paths(corpus, options.exclude)
     columns = schemas.FINDING.fieldNames()
     hits = match_rules(files, chosen, options.marker)
-    repeated = chosen.groupBy("id").count().where("count > 1").limit(1).count() > 0
-    if repeated:
-        hits = unique_findings(hits)
-    parts = [with_scores(hits).select(*columns)]
-    if options.cross_file:
-        parts.append(unguarded_routes(files, options.id_prefix).select(*columns))
+    routes = [f"{options.id_prefix}{i}" for i in ROUTE_IDS] if options.cross_file else []
+    ids = chosen.groupBy("id").count()
+    if ids.where((F.col("count") > 1) | F.col("id").isin(routes)).isEmpty():
+        out = with_scores(hits).select(*columns)
+        if options.cross_file:
+            out = union_findings(
+                out, unguarded_routes(files, options.id_prefix).select(*columns))
+    else:  # one finding per rule id, file and line, a rule's before a route check's
+        out = with_scores(hits).select(*columns, F.lit(0).alias("_source"))
+        if options.cross_file:
+            found = unguarded_routes(files, options.id_prefix)
+            out = union_findings(out, found.select(*columns, F.lit(1).alias("_source")))
+        out = unique_findings(out, "_source").drop("_source")
     if external is not None:
-        parts.append(external.select(*columns))
-    out = dedup_findings(union_findings(*parts), options.dedup)
+        out = dedup_findings(union_findings(out, external.select(*columns)), "normalized")
     if level:
         out = min_severity(out, level)
     if baseline is not None:
         out = minus_baseline(out, baseline)
+    out = dedup_findings(out, options.dedup)
     return order_findings(out) if ordered else out
 
 

@@ -202,6 +202,29 @@ def test_scan_options(spark):
     assert scan(files, rules).columns == schemas.FINDING.fieldNames()
 
 
+def test_filters_come_before_the_dedup(spark):
+    rules = rules_from_rows(spark, [
+        rule("A-MEDIUM", pattern_any=["token =="], category="auth", severity="medium", confidence=0.99),
+        rule("B-HIGH", pattern_any=["token =="], category="auth", severity="high", confidence=0.5)])
+    files = corpus(spark, [("a.py", "python", "if token == x:")])
+    ids = lambda **kw: [r["id"] for r in scan(files, rules, ScanOptions(**kw)).collect()]
+    assert ids(dedup="normalized") == ["A-MEDIUM"]  # the riskier of the two
+    assert ids(dedup="normalized", severity="high") == ["B-HIGH"]
+    # findings of other tools are dedupped with ours, whatever is asked for the output
+    known = scan(files, rules, ScanOptions(severity="high"))
+    both = scan(files, rules, external=known)
+    assert both.count() == 1
+    # a baseline that drops the loud finding leaves the quiet one of another category
+    assert scan(files, rules, ScanOptions(dedup="normalized"), baseline=known).count() == 0
+
+
+def test_route_findings_share_the_key_of_rules(spark):
+    rules = rules_from_rows(spark, [rule("JS-AUTH-XF-001", pattern_any=["admin"], languages=["javascript"])])
+    files = corpus(spark, [("a.js", "javascript", "app.get('/admin/users', show)")])
+    rows = scan(files, rules, ScanOptions(cross_file=True)).collect()
+    assert [r["title"] for r in rows] == [rules.first()["title"]]
+
+
 def test_repeated_rule_ids_give_one_finding_per_line(spark):
     rules = rules_from_rows(spark, [rule("A", pattern_any=["eval("]), rule("A", pattern_any=["eval"])])
     assert scan(corpus(spark, [("a.py", "python", "eval(1)")]), rules).count() == 1
