@@ -21,38 +21,56 @@ from riskloom.llm.frequencies import postings, sums, vocabulary
 from riskloom.llm.tokens import PIECES, SIMPLE, coder
 
 
-def cut_pretokens(texts: list[bytes]):
-    """Distinct pre-tokens of a block and where they occur, for tokenizers of kind ``plain``: white
-    space never belongs to a token and case does not matter inside simple words."""
-    chunk_number: dict[str, int] = {}
-    found, sizes = [], []
+def chunk_numbers(texts: list[bytes]) -> tuple[dict[str, int], list[np.ndarray]]:
+    """The distinct chunks between spaces, and their numbers text by text."""
+    number: dict[str, int] = {}
+    found = []
     for t in texts:
         chunks = t.decode().split(" ")
-        found.append(np.fromiter([chunk_number.setdefault(c, len(chunk_number)) for c in chunks],
-                                 np.int64, len(chunks)))
-        sizes.append(len(chunks))
+        found.append(np.fromiter([number.setdefault(c, len(number)) for c in chunks], np.int64,
+                                 len(chunks)))
+    return number, found
+
+
+def pretokens(chunk: str) -> list[str]:
+    """The pre-tokens of a chunk, for tokenizers of kind ``plain``: white space never belongs to a
+    token and case does not matter inside simple words."""
+    if SIMPLE(chunk):
+        return [p.lower() for p in PIECES(chunk) if p != "\n"]
+    return [chunk] if chunk else []
+
+
+def distinct_pretokens(texts: list[bytes]) -> list[bytes]:
+    chunks = {c for t in texts for c in t.decode().split(" ")}
+    return [p.encode() for p in {p for c in chunks for p in pretokens(c)}]
+
+
+def cut_pretokens(texts: list[bytes]):
+    """Distinct pre-tokens of a block and where they occur."""
+    chunks, found = chunk_numbers(texts)
     number: dict[str, int] = {}
-    parts, ends = [], []
-    for c in chunk_number:
-        if SIMPLE(c):
-            parts += [number.setdefault(p.lower(), len(number)) for p in PIECES(c) if p != "\n"]
-        elif c:
-            parts.append(number.setdefault(c, len(number)))
+    parts: list[int] = []
+    ends = []
+    for c in chunks:
+        parts += [number.setdefault(p, len(number)) for p in pretokens(c)]
         ends.append(len(parts))
     if not found:
         return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     chunk = np.concatenate(found)
-    place = np.repeat(np.arange(len(texts)), sizes)
-    ends = np.array(ends, np.int64)
-    width = np.diff(ends, prepend=0)
-    n = width[chunk]
-    # occurrence i of a chunk becomes its n[i] pre-tokens
-    first = np.repeat((ends - width)[chunk], n)
+    place = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+    last = np.array(ends, np.int64)
+    width = np.diff(last, prepend=0)
+    n = width[chunk]  # occurrence i of a chunk becomes its n[i] pre-tokens
+    first = np.repeat((last - width)[chunk], n)
     step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     return ([p.encode() for p in number], np.array(parts, np.int64)[first + step],
             np.repeat(place, n))
 
 
+def distinct_whole(texts: list[bytes]) -> list[bytes]:
+    return list({t for t in texts if t})
+
+
 def cut_whole(texts: list[bytes]):
     """The whole text as one pre-token, for tokenizers without a known boundary."""
     number: dict[bytes, int] = {}
@@ -75,8 +93,9 @@ def pretoken_counts(terms: DataFrame, tokenizer: str) -> DataFrame:
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
     """Bytes and tokens of every document, and whether it has over ``limit`` tokens."""
-    cut = cut_pretokens if coder(tokenizer).kind == "plain" else cut_whole
-    counted = pretoken_counts(vocabulary(docs, cut), tokenizer)
+    cut, distinct = ((cut_pretokens, distinct_pretokens) if coder(tokenizer).kind == "plain"
+                     else (cut_whole, distinct_whole))
+    counted = pretoken_counts(vocabulary(docs, distinct), tokenizer)
     joined = postings(docs, cut).join(counted, "term", "left")
     return sums(joined, ["n_tokens"]).select(
         "doc_id", "n_bytes", F.col("n_tokens").cast("long").alias("n_tokens"),
