@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from queries import views as v
@@ -12,7 +16,8 @@ from riskloom.functions.scoring import compliance_score, security_score
 from riskloom.functions.severity import min_severity
 from riskloom.operators import analytics as an
 from riskloom.operators import findings as fd
-from riskloom.plans.rollups import rollups
+from riskloom.plans.rollups import read_rollups, refresh_rollups
+from riskloom.session import shared_dir
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -284,17 +289,41 @@ def _(spark, sf):
     return with_r6(an.trend_hourly(v.scans(spark, sf), AS_OF), "ai_ratio")
 
 
+_ROLLUP = "SELECT '{0}' AS rollup, org_id, {1} AS owner, {2} AS item, {3} AS period, {4} AS n FROM {5}"
+
+
 @add("refresh_rollups", f"""{_BOTH}, a AS ({_RULES_DAILY}), b AS ({_HEALTH}), c AS ({_WEEKLY}),
-d AS ({_HOURLY}) SELECT 'top_rules_daily' AS rollup, count(*) AS rows FROM a
-UNION ALL SELECT 'repo_health_daily', count(*) FROM b
-UNION ALL SELECT 'team_leaderboard_weekly', count(*) FROM c
-UNION ALL SELECT 'vulnerability_trend_hourly', count(*) FROM d""")
-def _(spark, sf):
-    out = None
-    for name, df in rollups(v.findings(spark, sf), v.scans(spark, sf), AS_OF).items():
-        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("rollup"), "rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+d AS ({_HOURLY}) """ + " UNION ALL ".join([
+    _ROLLUP.format("top_rules_daily", "team_id", "rule_id || '/' || rule_title || '/' || severity",
+                   "day", "(total_occurrences * 1000 + unique_files_affected)::BIGINT", "a"),
+    _ROLLUP.format("repo_health_daily", "repo_id", "repo_name", "day",
+                   "(total_findings * 1000 + total_scans)::BIGINT", "b"),
+    _ROLLUP.format("team_leaderboard_weekly", "team_id", "NULL", "week",
+                   "(total_findings * 1000 + scans_performed)::BIGINT", "c"),
+    _ROLLUP.format("vulnerability_trend_hourly", "NULL", "NULL", "hour",
+                   "(findings * 1000 + scans)::BIGINT", "d")]))
+def _(spark, sf):
+    """Written whole, refreshed for some days around the end of a month, and read back."""
+    found, scans = v.findings(spark, sf), v.scans(spark, sf)
+    path = f"{shared_dir(spark).rstrip('/')}/rollups/{uuid.uuid4().hex}"
+    refresh_rollups(found, scans, AS_OF, path)
+    refresh_rollups(found, scans, AS_OF, path, date(1998, 6, 29), date(1998, 7, 1))
+    none = F.lit(None).cast("string")
+    item = {"top_rules_daily": F.concat_ws("/", "rule_id", "rule_title", "severity"),
+            "repo_health_daily": F.col("repo_name")}
+    shape = {"top_rules_daily": ("team_id", "day", "total_occurrences", "unique_files_affected"),
+             "repo_health_daily": ("repo_id", "day", "total_findings", "total_scans"),
+             "team_leaderboard_weekly": ("team_id", "week", "total_findings", "scans_performed"),
+             "vulnerability_trend_hourly": (none, "hour", "findings", "scans")}
+    parts = []
+    for name, df in read_rollups(spark, path).items():
+        owner, period, total, count = shape[name]
+        parts.append(df.select(
+            F.lit(name).alias("rollup"), "org_id",
+            (F.col(owner) if isinstance(owner, str) else owner).alias("owner"),
+            item.get(name, none).alias("item"), F.col(period).alias("period"),
+            (F.col(total) * 1000 + F.col(count)).cast("bigint").alias("n")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @add("org_rollup", f"""{_SCANS} SELECT org_id, count(*) AS scans,

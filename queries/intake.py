@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from queries import views as v
 from queries.dashboards import AS_OF, with_r6
 from queries.rulebook import TEXT_RULES, rules
-from queries.scanning import DOC, hit_rows
-from queries.sqlparts import hits_cte
+from queries.scanning import DOC, FLAT_COLS, dedup_sql, flat
+from queries.sqlparts import rank, scored_cte
 from riskloom.functions import text as tx
 from riskloom.operators import ingest as ig
-from riskloom.operators import matching as mt
+from riskloom.plans.scan import ScanOptions
+from riskloom.session import shared_dir
 from riskloom.sources.reports import parse_ingest
 from riskloom.streaming import streams as st
 
@@ -208,7 +209,7 @@ FROM scans"""
 def _drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream to its end into a table of the shared folder and read that."""
     spark = stream.sparkSession
-    folder = f"{st.shared_dir(spark).rstrip('/')}/drain-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/drain-{uuid.uuid4().hex}"
     query = (stream.writeStream.format("parquet").outputMode(mode)
              .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
              .trigger(availableNow=True).start())
@@ -229,13 +230,19 @@ def _stream_of(spark, sf, sql: str) -> DataFrame:
 
 
 def _stream_scan(spark, sf) -> DataFrame:
+    """The operator on a stream of texts, with the dedup that needs all findings of a file."""
     corpus = _stream_of(spark, sf, v.DOC_CORPUS).withColumn("file", F.col("path"))
-    return _drain(hit_rows(mt.match_rules(corpus, rules(spark, TEXT_RULES))))
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-scan-{uuid.uuid4().hex}"
+    options = ScanOptions(dedup="normalized", severity="low")
+    writer = st.stream_scan(corpus, rules(spark, [*TEXT_RULES, TEXT_RULES[0]]), folder, options)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return flat(st.scanned(spark, folder))
 
 
 QUERIES["stream_scan"] = _stream_scan
-SQL["stream_scan"] = (f"{hits_cte(DOC, TEXT_RULES)} SELECT path, rid AS rule_id, severity, line, "
-                      '"column", snippet FROM hits')
+SQL["stream_scan"] = f"""{scored_cte(DOC, TEXT_RULES)}, u AS (SELECT {FLAT_COLS} FROM scored
+  WHERE {rank('severity')} >= 2)
+{dedup_sql('u')}"""
 
 _STREAM_SCANS = """SELECT CAST(event_id % 4000 AS STRING) AS scan_id,
   CAST(ts AS TIMESTAMP) AS timestamp, event_type AS org_id, CAST(user_id % 50 AS INT) AS total_findings,
@@ -244,8 +251,10 @@ _STREAM_SCANS = """SELECT CAST(event_id % 4000 AS STRING) AS scan_id,
 
 
 def _stream_trend(spark, sf) -> DataFrame:
-    """The closed hours of a trend over events; every event is one scan."""
-    rows = _stream_of(spark, sf, _STREAM_SCANS.replace("event_id % 4000", "event_id"))
+    """The closed hours of a trend over events; every event is one scan, every third is sent
+    twice."""
+    sent = _STREAM_SCANS.replace("event_id % 4000", "event_id")
+    rows = _stream_of(spark, sf, f"{sent} UNION ALL {sent} WHERE event_id % 3 = 0")
     out = _drain(st.stream_trend(rows, "1 hour"))
     return with_r6(out.withColumn("hour", F.col("hour").cast("timestamp_ntz")), "ai_ratio")
 
@@ -273,10 +282,10 @@ def _stream_ingest(spark, sf) -> DataFrame:
                                  result.alias("scan_result")))
     payloads = rows.select(F.col("l_orderkey").cast("string").alias("scan_id"),
                            F.col("l_shipdate").alias("received_at"), payload.alias("payload"))
-    folder = f"{st.shared_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
-    query = (payloads.writeStream.foreachBatch(st.ingest_writer(folder))
-             .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
-    query.awaitTermination()
+    folder = f"{shared_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    writer = st.stream_ingest(payloads, folder, f"ingest-{uuid.uuid4().hex}")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    st.compact_findings(spark, folder)
     found = st.current_findings(spark, folder)
     return found.select("scan_id", "line_number", "severity", F.col("first_seen").alias("first"),
                         F.col("last_seen").alias("last"), "times_seen")

@@ -44,7 +44,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 _HIT_COLS = 'path, rid AS rule_id, severity, line, "column", snippet'
-_FLAT_COLS = (f'rid AS rule_id, title, severity, path AS file, line, "column", snippet, '
+FLAT_COLS = (f'rid AS rule_id, title, severity, path AS file, line, "column", snippet, '
               f"{score1('ai')} AS ai_confidence, {score1('rs')} AS risk_score, category, cwe_id, "
               "owasp_category, array_to_string(tags, ',') AS tags, ai_tendency, fix_suggestion")
 
@@ -61,11 +61,11 @@ QUERIES["match_rules_code"] = lambda spark, sf: hit_rows(
 SQL["match_rules_code"] = f"{hits_cte(CODE, CODE_RULES)} SELECT {_HIT_COLS} FROM hits"
 
 QUERIES["scan_code"] = lambda spark, sf: flat(code_findings(spark, sf))
-SQL["scan_code"] = f"{scored_cte(CODE, CODE_RULES)} SELECT {_FLAT_COLS} FROM scored"
+SQL["scan_code"] = f"{scored_cte(CODE, CODE_RULES)} SELECT {FLAT_COLS} FROM scored"
 
 QUERIES["scan_documents"] = lambda spark, sf: flat(
     mt.scored_findings(v.doc_corpus(spark, sf), rules(spark, TEXT_RULES)))
-SQL["scan_documents"] = f"{scored_cte(DOC, TEXT_RULES)} SELECT {_FLAT_COLS} FROM scored"
+SQL["scan_documents"] = f"{scored_cte(DOC, TEXT_RULES)} SELECT {FLAT_COLS} FROM scored"
 
 QUERIES["summarize_findings"] = lambda spark, sf: fd.summarize_findings(code_findings(spark, sf))
 SQL["summarize_findings"] = (f"{hits_cte(CODE, CODE_RULES)} SELECT count(*) AS total, "
@@ -248,7 +248,7 @@ _SCAN_RULES = [r for r in CODE_RULES if r["confidence"] >= 0.5
                and (r["category"] in OPTIONS.categories
                     or set(r["tags"]) & set(OPTIONS.categories))]
 SQL["scan"] = f"""{scored_cte(CODE, _SCAN_RULES)}, {_FLAGS},
-u AS (SELECT {_FLAT_COLS} FROM scored UNION ALL {_routes_full(_JS_SQL)}
+u AS (SELECT {FLAT_COLS} FROM scored UNION ALL {_routes_full(_JS_SQL)}
   UNION ALL {_routes_full(_PY_SQL)} UNION ALL {_routes_full(_JAVA_SQL)}),
 d AS ({dedup_sql(f"(SELECT * FROM u WHERE NOT contains(lower(file), 'tests/') AND {rank('severity')} >= 4)")})
 SELECT * FROM d"""

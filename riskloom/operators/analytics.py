@@ -39,17 +39,20 @@ def scoped(df: DataFrame, **ids: str | None) -> DataFrame:
     return df
 
 
-def _from(df: DataFrame, bound: Column, ts: str) -> DataFrame:
-    """Read only the day folders from a moment on, where the table is stored by day."""
+def _from(df: DataFrame, bound: Column, ts: str, until: Column | None = None) -> DataFrame:
+    """Read only the day folders from a moment on, and up to one, where the table is stored by
+    day."""
     if ts == "timestamp" and "scan_date" in df.columns:
-        return df.where(F.col("scan_date") >= F.to_date(bound))
+        df = df.where(F.col("scan_date") >= F.to_date(bound))
+        if until is not None:
+            df = df.where(F.col("scan_date") <= F.to_date(until))
     return df
 
 
 def window_days(df: DataFrame, as_of: str | datetime, start: int, end: int = 0,
                 ts: str = "timestamp") -> DataFrame:
     """Later than ``start`` days ago and not later than ``end`` days ago."""
-    rows = _from(df, _back(as_of, start), ts)
+    rows = _from(df, _back(as_of, start), ts, _back(as_of, end))
     return rows.where((F.col(ts) > _back(as_of, start)) & (F.col(ts) <= _back(as_of, end)))
 
 
@@ -61,9 +64,23 @@ def since_days(df: DataFrame, as_of: str | datetime, days: int, inclusive: bool
     return rows.where(F.col(ts) >= bound if inclusive else F.col(ts) > bound)
 
 
+def _scan_key(findings: DataFrame, scans: DataFrame) -> list[str]:
+    """A scan's day, where both tables are stored by it, and its id."""
+    dated = "scan_date" in findings.columns and "scan_date" in scans.columns
+    return ["scan_date", "scan_id"] if dated else ["scan_id"]
+
+
 def _joined(findings: DataFrame, scans: DataFrame, *cols: str) -> DataFrame:
     """Findings of the given scans with a few scan columns."""
-    return findings.join(scans.select("scan_id", *cols), "scan_id")
+    key = _scan_key(findings, scans)
+    return findings.join(scans.select(*key, *cols), key)
+
+
+def _recent(findings: DataFrame, scans: DataFrame, as_of: str | datetime, days: int,
+            ids: dict, inclusive: bool = False) -> DataFrame:
+    """J2 for the scans later than ``days`` ago: both tables read only those days."""
+    return _joined(_from(findings, _back(as_of, days), "timestamp"),
+                   since_days(scoped(scans, **ids), as_of, days, inclusive))
 
 
 # Summary and trend (G2-G4) -------------------------------------------------------------------
@@ -125,7 +142,7 @@ def time_series(scans: DataFrame, as_of: str, days: int, **ids: str | None) -> D
 def top_rules(findings: DataFrame, scans: DataFrame, as_of: str, days: int, limit: int = 10,
               **ids: str | None) -> DataFrame:
     """Most frequent (rule, title, severity)."""
-    rows = _joined(findings, since_days(scoped(scans, **ids), as_of, days))
+    rows = _recent(findings, scans, as_of, days, ids)
     return rows.groupBy("rule_id", "rule_title", "severity").agg(F.count("*").alias("count")
         ).orderBy(F.desc("count"), "rule_id", "rule_title", "severity").limit(limit)
 
@@ -150,7 +167,7 @@ def _filled(name: str) -> Column:
 def compliance_coverage(findings: DataFrame, scans: DataFrame, as_of: str, days: int,
                         **ids: str | None) -> DataFrame:
     """Findings with a CWE or OWASP key, and their share in percent."""
-    rows = _joined(findings, since_days(scoped(scans, **ids), as_of, days))
+    rows = _recent(findings, scans, as_of, days, ids)
     counted = rows.agg(F.count("*").alias("total_findings"),
                        F.count_if(_filled("cwe_id") | _filled("owasp_category"))
                        .alias("classified_findings"))
@@ -158,8 +175,9 @@ def compliance_coverage(findings: DataFrame, scans: DataFrame, as_of: str, days:
         F.col("classified_findings"), F.col("total_findings")) * 100.0)
 
 
-def _top_key(findings: DataFrame, scans: DataFrame, key: str, limit: int) -> DataFrame:
-    rows = _joined(findings.where(_filled(key)), scans)
+def _top_key(findings: DataFrame, scans: DataFrame, as_of: str, days: int, key: str, limit: int,
+             **ids: str | None) -> DataFrame:
+    rows = _recent(findings.where(_filled(key)), scans, as_of, days, ids)
     return rows.groupBy(F.col(key).alias("key")).agg(
         F.count("*").alias("count"),
         *[F.count_if(F.col("severity") == s).alias(s)
@@ -170,14 +188,13 @@ def _top_key(findings: DataFrame, scans: DataFrame, key: str, limit: int) -> Dat
 def top_cwe(findings: DataFrame, scans: DataFrame, as_of: str, days: int, limit: int = 10,
             **ids: str | None) -> DataFrame:
     """Most frequent CWE ids."""
-    return _top_key(findings, since_days(scoped(scans, **ids), as_of, days), "cwe_id", limit)
+    return _top_key(findings, scans, as_of, days, "cwe_id", limit, **ids)
 
 
 def top_owasp(findings: DataFrame, scans: DataFrame, as_of: str, days: int, limit: int = 10,
               **ids: str | None) -> DataFrame:
     """Most frequent OWASP categories."""
-    return _top_key(findings, since_days(scoped(scans, **ids), as_of, days), "owasp_category",
-                    limit)
+    return _top_key(findings, scans, as_of, days, "owasp_category", limit, **ids)
 
 
 def top_value_per(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -218,9 +235,12 @@ def compliance_report(findings: DataFrame, scans: DataFrame, org: str, start: st
     no finding twice.
     """
     ts = F.col("timestamp")
-    chosen = scans.where((F.col("org_id") == org) & (ts >= _moment(start))
-                         & (ts <= _moment(end) + F.make_dt_interval(F.lit(1))))
-    wanted = findings.join(chosen.select("scan_id"), "scan_id", "left_semi")
+    last = _moment(end) + F.make_dt_interval(F.lit(1))
+    chosen = _from(scans, _moment(start), "timestamp", last).where(
+        (F.col("org_id") == org) & (ts >= _moment(start)) & (ts <= last))
+    key = _scan_key(findings, scans)
+    wanted = _from(findings, _moment(start), "timestamp", last).join(
+        chosen.select(*key), key, "left_semi")
     out = (chosen.select("scan_id", "org_id", "team_id", "repo_id", "timestamp")
            .join(_per_scan(wanted), "scan_id", "left"))
     zero = {c: 0 for c in ("total_findings", "critical", "high", "medium", "low")}
@@ -248,14 +268,10 @@ def tool_of(tendency: Column) -> Column:
             .when(text.ilike("%claude%"), "Claude").otherwise("AI-assisted"))
 
 
-def _recent(findings: DataFrame, scans: DataFrame, as_of: str, days: int, ids: dict) -> DataFrame:
-    return _joined(findings, since_days(scoped(scans, **ids), as_of, days, inclusive=True))
-
-
 def ai_summary(findings: DataFrame, scans: DataFrame, as_of: str, days: int = 30,
                **ids: str | None) -> DataFrame:
     """Findings with a confidence of 0.6 or more, and their share."""
-    rows = _recent(findings, scans, as_of, days, ids)
+    rows = _recent(findings, scans, as_of, days, ids, inclusive=True)
     counted = rows.agg(F.count_if(_confidence() >= AI_THRESHOLD).alias("total_ai_findings"),
                        F.count("*").alias("total_findings"))
     return counted.withColumn("ai_percentage", ratio(
@@ -265,7 +281,7 @@ def ai_summary(findings: DataFrame, scans: DataFrame, as_of: str, days: int = 30
 def ai_by_tool(findings: DataFrame, scans: DataFrame, as_of: str, days: int = 30,
                **ids: str | None) -> DataFrame:
     """Likely generated findings per tool with their share."""
-    rows = _recent(findings.where(_confidence() >= AI_THRESHOLD), scans, as_of, days, ids)
+    rows = _recent(findings.where(_confidence() >= AI_THRESHOLD), scans, as_of, days, ids, inclusive=True)
     tools = rows.groupBy(tool_of(F.col("ai_tendency")).alias("tool")).agg(
         F.count("*").alias("findings"), F.avg(_confidence() * 100.0).alias("avg_confidence"))
     total = F.sum("findings").over(Window.partitionBy(F.lit(0)))  # four tools, so four rows
@@ -276,7 +292,7 @@ def ai_by_tool(findings: DataFrame, scans: DataFrame, as_of: str, days: int = 30
 def ai_by_pattern(findings: DataFrame, scans: DataFrame, as_of: str, days: int = 30,
                   **ids: str | None) -> DataFrame:
     """Likely generated findings per rule and tool."""
-    rows = _recent(findings.where(_confidence() >= AI_THRESHOLD), scans, as_of, days, ids)
+    rows = _recent(findings.where(_confidence() >= AI_THRESHOLD), scans, as_of, days, ids, inclusive=True)
     return rows.groupBy(
         F.col("rule_id").alias("pattern_id"),
         F.coalesce("rule_title", "rule_id").alias("description"),
@@ -289,7 +305,7 @@ def confidence_bands(findings: DataFrame, scans: DataFrame, as_of: str, days: in
                      **ids: str | None) -> DataFrame:
     """Findings per confidence band."""
     c = F.col("ai_confidence").cast("double")
-    return _recent(findings, scans, as_of, days, ids).agg(
+    return _recent(findings, scans, as_of, days, ids, inclusive=True).agg(
         F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.6) & (c < 0.8)).alias("medium"),
         F.count_if((c > 0) & (c < 0.6)).alias("low"))
 
@@ -297,15 +313,16 @@ def confidence_bands(findings: DataFrame, scans: DataFrame, as_of: str, days: in
 # Rollups (G15-G18, G38) ----------------------------------------------------------------------
 
 def top_rules_daily(findings: DataFrame, scans: DataFrame) -> DataFrame:
-    """Per organisation, team, day and rule. Distinct scans and files are counted from one
-    row per (scan, rule, file), so only that much is shuffled for both."""
+    """Per organisation, team, day and rule. Findings are reduced to one row per (scan, rule,
+    file) before they meet the scans, and distinct scans and files are counted from those."""
     group = ["org_id", "team_id", "day", "rule_id", "rule_title", "severity"]
-    rows = _joined(findings, scans, "org_id", "team_id", "timestamp").withColumn(
-        "day", F.date_trunc("day", "timestamp"))
-    per_file = rows.groupBy(*group, "scan_id", "file_path").agg(
+    per_file = findings.groupBy(*_scan_key(findings, scans), "rule_id", "rule_title", "severity",
+                                "file_path").agg(
         F.count("*").alias("n"), F.sum(F.col("ai_confidence").cast("double")).alias("c"),
         F.count("ai_confidence").alias("k"))
-    return per_file.groupBy(*group).agg(
+    rows = _joined(per_file, scans, "org_id", "team_id", "timestamp").withColumn(
+        "day", F.date_trunc("day", "timestamp"))
+    return rows.groupBy(*group).agg(
         F.countDistinct("scan_id").alias("scans_with_rule"),
         F.sum("n").alias("total_occurrences"),
         (F.sum("c") / F.nullif(F.sum("k"), F.lit(0))).alias("avg_ai_confidence"),
@@ -390,14 +407,28 @@ def filter_values(scans: DataFrame) -> DataFrame:
         "field", "value")
 
 
-def list_scans(scans: DataFrame, limit: int = 100, offset: int = 0, **ids: str | None
-               ) -> DataFrame:
-    """O2: newest scans first; at most 1000 rows a page."""
-    return scoped(scans, **ids).select(
+PAGE_ROWS = 1000
+
+
+def list_scans(scans: DataFrame, limit: int = 100, offset: int = 0,
+               after: tuple[str | datetime, str] | None = None, **ids: str | None) -> DataFrame:
+    """O2: newest scans first, a page of at most ``PAGE_ROWS``. ``after`` is the timestamp and
+    scan_id of the last row of the page before: later pages cost as much as the first one, where
+    ``offset`` sorts all rows before it."""
+    if not 0 <= limit <= PAGE_ROWS:
+        raise ValueError(f"a page has at most {PAGE_ROWS} rows")
+    rows = scoped(scans, **ids)
+    if after is not None:
+        ts = _moment(after[0])
+        rows = rows.where((F.col("timestamp") < ts)
+                          | ((F.col("timestamp") == ts) & (F.col("scan_id") > after[1])))
+        if "scan_date" in rows.columns:
+            rows = rows.where(F.col("scan_date") <= F.to_date(ts))
+    return rows.select(
         "scan_id", "org_id", "team_id", "repo_id", "repo_name", "branch", "commit_sha",
         F.col("timestamp").alias("scanned_at"), "total_findings",
         *[F.col(c).alias(name) for name, c in SEVERITY_SUMS.items()], "ai_estimated_count",
-    ).orderBy(F.desc("scanned_at"), "scan_id").offset(offset).limit(min(limit, 1000))
+    ).orderBy(F.desc("scanned_at"), "scan_id").offset(offset).limit(limit)
 
 
 # Integrity (J8) ------------------------------------------------------------------------------

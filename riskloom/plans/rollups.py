@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,45 @@ _TIME = {"top_rules_daily": "day", "repo_health_daily": "day", "team_leaderboard
          "vulnerability_trend_hourly": "hour"}
 
 
-def refresh_rollups(findings: DataFrame, scans: DataFrame, as_of: str, path: str) -> None:
-    """Write every rollup by month. The daily and weekly ones replace only the months present
-    in the input, so a refresh may be given the changed time range alone; the hourly one covers
-    seven days and is replaced as a whole."""
-    for name, df in rollups(findings, scans, as_of).items():
-        dated = df.withColumn("month", F.date_format(F.date_trunc("month", _TIME[name]), "yyyy-MM"))
-        mode = "static" if name == "vulnerability_trend_hourly" else "dynamic"
-        (dated.hint("rebalance", F.col("month")).write.mode("overwrite")
-         .option("partitionOverwriteMode", mode).partitionBy("month").parquet(f"{path}/{name}"))
+def whole_weeks(first: date, last: date) -> tuple[date, date]:
+    """The Monday at or before ``first`` and the Sunday at or after ``last``."""
+    return first - timedelta(first.weekday()), last + timedelta(6 - last.weekday())
+
+
+def _between(df: DataFrame, first: date, last: date) -> DataFrame:
+    if "scan_date" in df.columns:
+        df = df.where(F.col("scan_date").between(F.lit(first), F.lit(last)))
+    if "timestamp" in df.columns:
+        df = df.where((F.col("timestamp") >= F.lit(str(first)).cast("timestamp_ntz"))
+                      & (F.col("timestamp") < F.lit(str(last + timedelta(1))).cast("timestamp_ntz")))
+    return df
+
+
+def refresh_rollups(findings: DataFrame, scans: DataFrame, as_of: str, path: str,
+                    first: date | None = None, last: date | None = None) -> None:
+    """Write every rollup, one folder per week.
+
+    ``findings`` and ``scans`` are the stored tables, whole. With ``first`` and ``last`` only the
+    weeks that these days touch are read, computed and replaced: a folder is always made from all
+    scans of its week, and folders of other weeks stay as they are. The hourly rollup
+    covers seven days and is replaced as a whole.
+    """
+    parts = rollups(findings, scans, as_of)
+    if first is not None or last is not None:
+        if first is None or last is None:
+            raise ValueError("first and last belong together")
+        span = whole_weeks(first, last)
+        parts |= {name: df for name, df in rollups(
+            _between(findings, *span), _between(scans, *span), as_of).items()
+            if name != "vulnerability_trend_hourly"}
+    for name, df in parts.items():
+        hourly = name == "vulnerability_trend_hourly"
+        dated = df.withColumn("period", F.date_format(F.date_trunc("week", _TIME[name]), "yyyy-MM-dd"))
+        mode = "static" if hourly or first is None else "dynamic"
+        (dated.hint("rebalance", F.col("period")).write.mode("overwrite")
+         .option("partitionOverwriteMode", mode).partitionBy("period").parquet(f"{path}/{name}"))
+
+
+def read_rollups(spark, path: str) -> dict[str, DataFrame]:
+    """The four rollups as they were written."""
+    return {name: spark.read.parquet(f"{path}/{name}").drop("period") for name in _TIME}

@@ -23,9 +23,13 @@ def write_by_date(df: DataFrame, path: str, date: str = "scan_date", mode: str =
 
 
 def write_tables(scans: DataFrame, findings: DataFrame, path: str, mode: str = "append") -> None:
-    """K1: ``<path>/scans`` and ``<path>/findings`` by scan date."""
+    """K1: ``<path>/scans`` and ``<path>/findings`` by scan date. A finding is stored under the
+    date of its own scan, so that a window of days prunes both tables alike; a finding whose scan
+    is not among ``scans`` goes under the day it was first seen."""
     write_by_date(scans, f"{path}/scans", mode=mode)
-    dated = findings.withColumn("scan_date", F.to_date("first_seen"))
+    dates = scans.select("scan_id", F.col("scan_date").alias("_date")).distinct()
+    dated = (findings.drop("scan_date").join(dates, "scan_id", "left")
+             .withColumn("scan_date", F.coalesce("_date", F.to_date("first_seen"))).drop("_date"))
     write_by_date(dated, f"{path}/findings", mode=mode)
 
 

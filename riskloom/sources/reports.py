@@ -169,11 +169,20 @@ def parse_ingest(df: DataFrame, col: str = "payload") -> DataFrame:
 # Summary of a report (G34) -------------------------------------------------------------------
 
 def _mode(ids: Column) -> Column:
-    """Most frequent non-empty id of an array, smallest id on a tie, ``-`` when there is none."""
-    named = F.filter(ids, lambda i: i.isNotNull() & (i != ""))
-    counted = F.transform(F.array_distinct(named), lambda i: F.struct(
-        (-F.size(F.filter(named, lambda x: x == i))).alias("n"), i.alias("id")))
-    return F.coalesce(F.array_min(counted)["id"], F.lit("-"))
+    """Most frequent non-empty id of an array, smallest id on a tie, ``-`` when there is none: one
+    pass over the sorted ids, where equal ones stand together."""
+    named = F.array_sort(F.filter(ids, lambda i: i.isNotNull() & (i != "")))
+    start = F.struct(F.lit(0).alias("most"), F.lit("-").alias("best"), F.lit(0).alias("run"),
+                     F.lit("").alias("last"))
+
+    def step(state: Column, i: Column) -> Column:
+        run = F.when(state["last"] == i, state["run"] + 1).otherwise(1)
+        more = run > state["most"]
+        return F.struct(F.when(more, run).otherwise(state["most"]).alias("most"),
+                        F.when(more, i).otherwise(state["best"]).alias("best"),
+                        run.alias("run"), i.alias("last"))
+
+    return F.coalesce(F.aggregate(named, start, step)["best"], F.lit("-"))
 
 
 def summarize_report(df: DataFrame, fmt: str = "auto", col: str = "payload") -> DataFrame:

@@ -10,12 +10,6 @@ from pyspark.sql.streaming import DataStreamWriter
 from riskloom.operators.ingest import ingest, upsert_findings
 from riskloom.plans.scan import ScanOptions, scan
 from riskloom.schemas import CORPUS
-from riskloom.session import shared_dir
-
-
-def checkpoint_location(spark: SparkSession, name: str) -> str:
-    """Checkpoint folder of a query below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/streams/{name}"
 
 
 def corpus_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -24,20 +18,39 @@ def corpus_stream(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("file", F.col("path"))
 
 
-def stream_scan(corpus: DataFrame, rules: DataFrame, options: ScanOptions = ScanOptions()
-                ) -> DataFrame:
-    """Findings of the files that changed. The scan keeps no state: rules are a static side
-    and every file is judged alone, so it runs on a stream as it does on a table."""
-    return scan(corpus, rules, options, ordered=False)
+def batch_folder(path: str, table: str, batch: DataFrame, batch_id: int) -> str:
+    """Folder of a batch: below the id that Spark keeps in the stream's checkpoint. A batch that is
+    run again overwrites its own folder; a stream with a new checkpoint starts a new run."""
+    run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+    return f"{path}/{table}/run={run}/batch={batch_id}"
+
+
+def checkpoint_location(path: str) -> str:
+    """The checkpoint belongs to the output and lies below it."""
+    return f"{path.rstrip('/')}/_checkpoint"
+
+
+def scan_writer(rules: DataFrame, path: str, options: ScanOptions = ScanOptions()):
+    """Function for ``foreachBatch``: the findings of a batch of files. A batch is a table, so every
+    option of a scan works; all its keys hold the file, so a batch needs no other one."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        found = scan(batch, rules, options, ordered=False)
+        found.write.mode("overwrite").parquet(batch_folder(path, "findings", batch, batch_id))
+    return write
+
 
+def stream_scan(corpus: DataFrame, rules: DataFrame, path: str,
+                options: ScanOptions = ScanOptions(), name: str = "scan",
+                debounce: str = "500 milliseconds") -> DataStreamWriter:
+    """Findings of the files that changed, below ``path``; the trigger is the debounce."""
+    return (corpus.writeStream.queryName(name).trigger(processingTime=debounce)
+            .option("checkpointLocation", checkpoint_location(path))
+            .foreachBatch(scan_writer(rules, path, options)))
 
-def write_stream(df: DataFrame, path: str, name: str, debounce: str = "500 milliseconds"
-                 ) -> DataStreamWriter:
-    """Parquet sink; the trigger interval is the debounce."""
-    return (df.writeStream.format("parquet").queryName(name).outputMode("append")
-            .option("path", path)
-            .option("checkpointLocation", checkpoint_location(df.sparkSession, name))
-            .trigger(processingTime=debounce))
+
+def scanned(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of all batches."""
+    return spark.read.parquet(f"{path}/findings").drop("run", "batch")
 
 
 def ingest_writer(path: str, col: str = "payload", received: str = "received_at"):
@@ -51,7 +64,7 @@ def ingest_writer(path: str, col: str = "payload", received: str = "received_at"
         parts = ingest(rows, col, received)
         for name, df in (("scans", parts.scans), ("findings", parts.findings),
                          ("rejects", parts.rejects)):
-            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+            df.write.mode("overwrite").parquet(batch_folder(path, name, batch, batch_id))
         rows.unpersist()
     return write
 
@@ -60,14 +73,44 @@ def stream_ingest(payloads: DataFrame, path: str, name: str = "ingest", col: str
                   received: str = "received_at") -> DataStreamWriter:
     """Payloads into the two tables."""
     return (payloads.writeStream.queryName(name)
-            .option("checkpointLocation", checkpoint_location(payloads.sparkSession, name))
+            .option("checkpointLocation", checkpoint_location(path))
             .foreachBatch(ingest_writer(path, col, received)))
 
 
+def _bases(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete compactions, ascending."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/compact")
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    done = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/compact/{n}/batches/_SUCCESS"))]
+    return sorted(int(n) for n in done)
+
+
 def current_findings(spark: SparkSession, path: str) -> DataFrame:
-    """The findings of all batches, one row per key."""
-    rows = spark.read.parquet(f"{path}/findings").drop("batch")
-    return upsert_findings(rows.limit(0), rows)
+    """One row per key, from the latest compaction and the batches that it does not hold."""
+    rows = spark.read.parquet(f"{path}/findings")
+    bases = _bases(spark, path)
+    if not bases:
+        rows = rows.drop("run", "batch")
+        return upsert_findings(rows.limit(0), rows)
+    base = f"{path}/compact/{bases[-1]}"
+    held = spark.read.parquet(f"{base}/batches")
+    rows = rows.join(F.broadcast(held), ["run", "batch"], "left_anti")  # a row per batch
+    return upsert_findings(spark.read.parquet(f"{base}/findings"), rows.drop("run", "batch"))
+
+
+def compact_findings(spark: SparkSession, path: str) -> None:
+    """Write the current findings and the batches they hold, so that later reads fold only what
+    came after. The list of batches is written last and makes the compaction count."""
+    rows = spark.read.parquet(f"{path}/findings")
+    batches = rows.select("run", "batch").distinct().collect()  # folder names
+    target = f"{path}/compact/{(_bases(spark, path) or [0])[-1] + 1}"
+    current_findings(spark, path).write.mode("overwrite").parquet(f"{target}/findings")
+    held = spark.createDataFrame(batches, rows.select("run", "batch").schema)
+    held.coalesce(1).write.mode("overwrite").parquet(f"{target}/batches")
 
 
 def stream_trend(scans: DataFrame, delay: str = "2 hours", ts: str = "timestamp") -> DataFrame:

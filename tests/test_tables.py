@@ -16,7 +16,7 @@ from riskloom.operators import packages as pk
 from riskloom.operators import statistics as st
 from riskloom.operators.compliance import enrich_compliance
 from riskloom.plans import seed
-from riskloom.plans.rollups import refresh_rollups
+from riskloom.plans.rollups import read_rollups, refresh_rollups
 from riskloom.sinks import documents as doc
 from riskloom.sinks import notices as nt
 from riskloom.sinks import tables as tb
@@ -232,14 +232,63 @@ def test_seeds_are_stable(spark):
     assert history.count() == 20 and hs.history_stats(history).first()["scans"] == 20
 
 
-def test_rollups_are_replaced_by_month(spark, tmp_path):
-    scans = seed.seed_scans(spark, 60)
+def test_a_partial_refresh_keeps_every_other_row(spark, tmp_path):
+    from datetime import date, timedelta
+
+    scans = seed.seed_scans(spark, 400)
     found = seed.seed_findings(scans)
     path = str(tmp_path / "roll")
     refresh_rollups(found, scans, "2025-02-01", path)
-    first = spark.read.parquet(f"{path}/repo_health_daily").count()
-    refresh_rollups(found, scans, "2025-02-01", path)
-    assert first > 0 and spark.read.parquet(f"{path}/repo_health_daily").count() == first
+
+    def state():
+        return {n: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r])
+                          for r in df.select(sorted(df.columns)).collect())
+                for n, df in read_rollups(spark, path).items()}
+
+    whole = state()
+    days = [r[0] for r in scans.select(F.to_date("timestamp")).distinct().collect()]
+    spread = max(days)
+    # the last days of a month, then a week that reaches into the next month
+    month_end = spread.replace(day=1) - timedelta(1)
+    for first, last in ((spread - timedelta(2), spread), (month_end, month_end),
+                        (date(2000, 1, 1), date(2000, 1, 2))):
+        refresh_rollups(found, scans, "2025-02-01", path, first, last)
+        assert state() == whole
+    # scans that came later change their own weeks and nothing else
+    more = scans.limit(5).withColumn("scan_id", F.concat(F.lit("x"), F.col("scan_id").cast("string")))
+    grown = scans.withColumn("scan_id", F.col("scan_id").cast("string")).unionByName(more)
+    at = more.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
+    refresh_rollups(found, grown, "2025-02-01", path, at[0], at[1])
+    partial = state()
+    refresh_rollups(found, grown, "2025-02-01", path)
+    assert partial == state() and partial != whole
+
+
+def test_windows_prune_both_tables(spark, tmp_path):
+    scans = seed.seed_scans(spark, 60)
+    scans = scans.withColumn("scan_date", F.to_date("timestamp"))
+    path = str(tmp_path / "tables")
+    tb.write_tables(scans, seed.seed_findings(scans), path)
+    stored_scans, stored_found = (spark.read.parquet(f"{path}/{t}") for t in ("scans", "findings"))
+    as_of = str(scans.agg(F.max("timestamp")).first()[0])
+    df = an.top_rules(stored_found, stored_scans, as_of, 3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    filters = [x for x in plan.split("PartitionFilters: [")[1:]]
+    assert len(filters) >= 2 and all("scan_date >=" in x or "scan_date#" in x.split("]")[0] for x in filters)
+    want = an.top_rules(seed.seed_findings(scans), scans.drop("scan_date"), as_of, 3)
+    assert df.collect() == want.collect()
+    window = an.window_days(stored_scans, as_of, 20, 15)._jdf.queryExecution().executedPlan()
+    part = window.toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert ">=" in part and "<=" in part
+
+
+def test_pages(spark):
+    scans = seed.seed_scans(spark, 25).withColumn("commit_sha", F.lit("c"))
+    first = an.list_scans(scans, 10).collect()
+    rest = an.list_scans(scans, 10, after=(str(first[-1]["scanned_at"]), first[-1]["scan_id"]))
+    assert rest.collect() == an.list_scans(scans, 10, 10).collect()
+    with pytest.raises(ValueError):
+        an.list_scans(scans, 1001)
 
 
 # A third of all findings in one scan: same totals for any number of partitions ----------------
@@ -291,10 +340,18 @@ def test_manifest_tree(spark, tmp_path):
 
 
 def test_version_order(spark):
-    order = ["1.0-rc1", "1.0", "1.0.1", "1.2", "1.10", "v2.0", "10.0"]
+    order = ["1.0.dev3", "1.0-alpha", "1.0-alpha.1", "1.0-alpha.beta", "1.0-beta.2", "1.0-beta.11",
+             "1.0-rc1", "1.0-rc2", "1.0", "1.0.post1", "1.0.1", "1.0.2", "1.0.2k", "1.2",
+             "1.2.3.4.5.6.7.8.1", "1.2.3.4.5.6.7.8.9", "1.2.3.4.5.6.7.8.10", "1.10", "v2.0", "10.0",
+             "10.1000000000000000000000001", "10.1000000000000000000000002"]
     df = spark.createDataFrame([(x,) for x in reversed(order)], "v string")
     got = df.orderBy(pk.version_key(F.col("v"))).collect()
     assert [r["v"] for r in got] == order
+    same = [("1.0", "1.0.0"), ("v1.2", "1.2+build5"), ("1.0.Final", "1"), ("2.0a1", "2.0-alpha.1"),
+            ("01.2", "1.02"), ("1.0c1", "1.0rc1")]
+    pairs = spark.createDataFrame(same, "a string, b string")
+    assert pairs.where(pk.version_key(F.col("a")) == pk.version_key(F.col("b"))).count() == len(same)
+    assert spark.range(1).select(pk.version_key(F.lit(None).cast("string")).isNull()).first()[0]
 
 
 def test_advisories(spark, tmp_path):
@@ -415,11 +472,40 @@ def test_stream_ingest_survives_a_repeated_batch(spark, tmp_path):
     assert [r["times_seen"] for r in sm.current_findings(spark, str(tmp_path / "t")).collect()] == [4]
 
 
-def test_stream_twins_on_driver_tables(spark, sf):
-    queries = intake.QUERIES
-    batch = sorted(map(tuple, queries["stream_scan"](spark, sf).collect()), key=str)
+def test_ingest_starts_again_and_compacts(spark, tmp_path):
+    def drop():
+        spark.createDataFrame([(payload(),)], "payload string").withColumn(
+            "received_at", F.lit("2025-01-02").cast("timestamp")).write.mode("append").parquet(
+                str(tmp_path / "in"))
+
+    def run(out):
+        rows = spark.readStream.schema("payload string, received_at timestamp").parquet(
+            str(tmp_path / "in"))
+        sm.stream_ingest(rows, out, "run").trigger(availableNow=True).start().awaitTermination()
+        return [r["times_seen"] for r in sm.current_findings(spark, out).collect()]
+
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    drop()
+    first = run(one)
+    assert run(one) == first and run(two) == first  # two outputs share no checkpoint
+    sm.compact_findings(spark, one)
+    assert run(one) == first
+    drop()
+    assert run(one) == [2 * n for n in first]
+    sm.compact_findings(spark, one)
+    sm.compact_findings(spark, one)
+    assert run(one) == [2 * n for n in first]
+    # a lost checkpoint starts a new run beside the old one and overwrites nothing
+    import shutil
+    shutil.rmtree(f"{one}/_checkpoint")
+    assert run(one) == [4 * n for n in first]
+
+
+def test_stream_scan_with_every_option(spark, sf):
     from queries.rulebook import TEXT_RULES, rules
-    from queries.scanning import hit_rows
-    from riskloom.operators.matching import match_rules
-    want = hit_rows(match_rules(views.doc_corpus(spark, sf), rules(spark, TEXT_RULES)))
-    assert batch == sorted(map(tuple, want.collect()), key=str)
+    from queries.scanning import flat
+    from riskloom.plans.scan import ScanOptions, scan
+    batch = sorted(map(str, intake.QUERIES["stream_scan"](spark, sf).collect()))
+    want = flat(scan(views.doc_corpus(spark, sf), rules(spark, [*TEXT_RULES, TEXT_RULES[0]]),
+                     ScanOptions(dedup="normalized", severity="low")))
+    assert batch and batch == sorted(map(str, want.collect()))
