@@ -333,15 +333,14 @@ def _(spark, sf):
     return with_r6(an.org_rollup(v.scans(spark, sf), AS_OF), "avg_ai_ratio")
 
 
-@add("security_score", f"""{_SCANS}, t AS (SELECT repo_name, sum(critical_count)::BIGINT AS c,
-  sum(high_count)::BIGINT AS h FROM scans WHERE {after(10)} GROUP BY 1)
-SELECT repo_name, CASE WHEN c + h = 0 THEN 100 ELSE greatest(0, 100 - (c * 10 + h * 3)) END
+@add("security_score", f"""{_SCANS}, t AS (SELECT repo_name, ts::DATE AS day,
+  sum(critical_count)::BIGINT AS c, sum(high_count)::BIGINT AS h FROM scans GROUP BY 1, 2)
+SELECT repo_name, day, CASE WHEN c + h = 0 THEN 100 ELSE greatest(0, 100 - (c * 10 + h * 3)) END
   AS security_score FROM t""")
 def _(spark, sf):
-    recent = an.since_days(v.scans(spark, sf), AS_OF, 10)
-    sums = recent.groupBy("repo_name").agg(F.sum("critical_count").alias("c"),
-                                           F.sum("high_count").alias("h"))
-    return sums.select("repo_name", security_score(F.col("c"), F.col("h")).alias("security_score"))
+    days = v.scans(spark, sf).groupBy("repo_name", F.to_date("timestamp").alias("day"))
+    sums = days.agg(F.sum("critical_count").alias("c"), F.sum("high_count").alias("h"))
+    return sums.select("repo_name", "day", security_score(F.col("c"), F.col("h")).alias("security_score"))
 
 
 # Team views ----------------------------------------------------------------------------------
@@ -419,15 +418,14 @@ def _(spark, sf):
     return an.orphans(v.findings(spark, sf), scans).select("scan_id", "rule_id", "line_number")
 
 
-@add("cascade_delete", f"""{_BOTH} SELECT 'findings' AS kept, count(*) AS n FROM findings
+@add("cascade_delete", f"""{_BOTH} SELECT 'findings' AS kept, scan_id, line_number FROM findings
 WHERE scan_id NOT IN (SELECT scan_id FROM scans WHERE branch = 'F')
-UNION ALL SELECT 'scans', count(*) FROM scans WHERE branch <> 'F'""")
+UNION ALL SELECT 'scans', scan_id, NULL FROM scans WHERE branch <> 'F'""")
 def _(spark, sf):
     scans = v.scans(spark, sf)
     kept_f, kept_s = an.cascade_delete(v.findings(spark, sf), scans, scans.where("branch = 'F'"))
-    count = F.count("*").alias("n")
-    return kept_f.agg(count).select(F.lit("findings").alias("kept"), "n").unionAll(
-        kept_s.agg(count).select(F.lit("scans").alias("kept"), "n"))
+    return kept_f.select(F.lit("findings").alias("kept"), "scan_id", "line_number").unionAll(
+        kept_s.select(F.lit("scans").alias("kept"), "scan_id", F.lit(None)))
 
 
 @add("percent_change", f"""{_SCANS}, m AS (SELECT repo_name, date_trunc('month', ts)::TIMESTAMP AS

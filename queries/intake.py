@@ -58,11 +58,10 @@ def _payloads(spark, sf) -> DataFrame:
     return rows.select("scan_id", "received_at", F.to_json(payload).alias("payload"))
 
 
-QUERIES["parse_ingest"] = lambda spark, sf: parse_ingest(_payloads(spark, sf)).groupBy(
-    "accepted").agg(F.count("*").alias("payloads"),
-                    F.sum(F.size("p.scan_result.findings")).alias("findings"))
-SQL["parse_ingest"] = f"""SELECT NOT ({_BAD}) AS accepted, count(*) AS payloads,
-  sum(CASE WHEN {_TWO} THEN 2 ELSE 1 END)::BIGINT AS findings FROM lineitem GROUP BY 1"""
+QUERIES["parse_ingest"] = lambda spark, sf: parse_ingest(_payloads(spark, sf)).select(
+    "scan_id", "accepted", F.size("p.scan_result.findings").alias("findings"))
+SQL["parse_ingest"] = f"""SELECT l_orderkey || '-' || l_linenumber AS scan_id, NOT ({_BAD}) AS accepted,
+  (CASE WHEN {_TWO} THEN 2 ELSE 1 END)::INT AS findings FROM lineitem"""
 
 QUERIES["ingest_scans"] = lambda spark, sf: ig.ingest(_payloads(spark, sf)).scans.select(
     "scan_id", F.col("timestamp").alias("at"), "org_id", "repo_name", "total_findings", "high_count",
@@ -91,10 +90,9 @@ SQL["ingest_findings"] = f"""WITH {_P}, r AS ({_ROW}) SELECT scan_id, {_HASH} AS
   received_at AS seen, sha256('acme/app::' || file_path || '::' || coalesce(line_number, 0) || '::'
   || rule_id) AS fingerprint FROM r"""
 
-QUERIES["ingest_rejects"] = lambda spark, sf: ig.ingest(_payloads(spark, sf)).rejects.groupBy(
-    F.to_date("received_at").alias("day")).agg(F.count("*").alias("n"))
-SQL["ingest_rejects"] = f"""SELECT l_shipdate::DATE AS day, count(*) AS n FROM lineitem WHERE {_BAD}
-GROUP BY 1"""
+QUERIES["ingest_rejects"] = lambda spark, sf: ig.ingest(_payloads(spark, sf)).rejects.select(
+    "received_at")
+SQL["ingest_rejects"] = f"SELECT l_shipdate AS received_at FROM lineitem WHERE {_BAD}"
 
 # Upsert --------------------------------------------------------------------------------------
 
@@ -194,9 +192,9 @@ WHERE ts >= TIMESTAMP '{AS_OF} 00:00:00' - INTERVAL 2 YEAR"""
 
 QUERIES["backfill_flags"] = lambda spark, sf: ig.backfill_flags(
     v.findings(spark, sf).withColumn("is_ai_generated", F.col("flag") == "A"),
-    "owasp_category").groupBy("flag", "is_ai_generated").agg(F.count("*").alias("n"))
-SQL["backfill_flags"] = f"""WITH {v.WITH_FINDINGS} SELECT flag, CASE WHEN owasp_category <> '' THEN true
-  ELSE flag = 'A' END AS is_ai_generated, count(*) AS n FROM findings GROUP BY 1, 2"""
+    "owasp_category").select("scan_id", "line_number", "rule_id", "flag", "is_ai_generated")
+SQL["backfill_flags"] = f"""WITH {v.WITH_FINDINGS} SELECT scan_id, line_number, rule_id, flag,
+  CASE WHEN owasp_category <> '' THEN true ELSE flag = 'A' END AS is_ai_generated FROM findings"""
 
 QUERIES["with_ai_ratio"] = lambda spark, sf: ig.with_ai_ratio(v.scans(spark, sf).drop(
     "ai_ratio")).select("scan_id", F.round(F.col("ai_ratio").cast("double"), 6).alias("ai_ratio"))

@@ -223,13 +223,13 @@ SQL["report_json"] = f"""{_SCANNER} SELECT rule_id AS id, severity, file, line,
 FROM ({_dedup_sql()})"""
 
 QUERIES["report_json_summary"] = lambda spark, sf: doc.report_json(
-    v.scanner_findings(spark, sf), 100, 16, "none", per_doc=10_000_000).select(
-    "doc", *[F.get_json_object("document", f"$.summary.{p}").alias(n) for p, n in [
+    v.scanner_findings(spark, sf), 100, 16, "none").select(
+    *[F.get_json_object("document", f"$.summary.{p}").alias(n) for p, n in [
         ("total", "total"), ("scanned_files", "files"), ("dedup_mode", "mode"),
         ("ai_estimated", "ai"), ("top_pattern", "top"), ("by_severity.high", "high"),
-        ("by_severity.info", "info")]])
+        ("by_severity.info", "info")]]).distinct()
 SQL["report_json_summary"] = f"""{_SCANNER}, c AS (SELECT rule_id, count(*) AS n FROM s GROUP BY 1)
-SELECT 0 AS doc, count(*)::VARCHAR AS total, '100' AS files, 'none' AS mode,
+SELECT count(*)::VARCHAR AS total, '100' AS files, 'none' AS mode,
   (count(*) FILTER (WHERE ai_confidence >= 70))::VARCHAR AS ai,
   (SELECT rule_id FROM c ORDER BY n DESC, rule_id DESC LIMIT 1) AS top,
   (count(*) FILTER (WHERE severity = 'high'))::VARCHAR AS high,
@@ -246,10 +246,10 @@ SQL["report_sarif"] = f"""{_SCANNER} SELECT rule_id AS id, CASE WHEN severity IN
   {score1('risk_score')} AS risk_score FROM ({_dedup_sql()})"""
 
 QUERIES["report_annotations"] = lambda spark, sf: nt.report_annotations(
-    v.scanner_findings(spark, sf).where("ai_confidence < 35")).unionByName(
-    nt.annotation_trailer(v.scanner_findings(spark, sf).where("ai_confidence < 35"), "none"))
+    v.scanner_findings(spark, sf)).unionByName(
+    nt.annotation_trailer(v.scanner_findings(spark, sf), "none"))
 _ESC = "replace(replace(replace(replace({}, '%', '%25'), chr(10), '%0A'), ':', '%3A'), ',', '%2C')"
-SQL["report_annotations"] = f"""{_SCANNER}, q AS (SELECT * FROM s WHERE ai_confidence < 35),
+SQL["report_annotations"] = f"""{_SCANNER}, q AS (SELECT * FROM s),
 t AS (SELECT * FROM q ORDER BY risk_score DESC, {rank('severity')} DESC, file, line, "column", rule_id
   LIMIT 200)
 SELECT '::' || CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium'

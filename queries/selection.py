@@ -76,20 +76,19 @@ SQL["cap_findings"] = f"""{_SCANNER} SELECT severity, {score1('risk_score')} AS
 ORDER BY {rank('severity')} DESC, s.risk_score DESC, file, line, "column", rule_id LIMIT 500"""
 
 QUERIES["order_findings"] = lambda spark, sf: mt.order_findings(
-    v.scanner_findings(spark, sf)).limit(300).select(
+    v.scanner_findings(spark, sf)).select(
     "id", "severity", "file", "line", "column", score("risk_score"))
 SQL["order_findings"] = f"""{_SCANNER} SELECT rule_id AS id, severity, file, line, "column",
   {score1('risk_score')} AS risk_score FROM s
-ORDER BY s.risk_score DESC, {rank('severity')} DESC, file, line, "column", rule_id LIMIT 300"""
+ORDER BY s.risk_score DESC, {rank('severity')} DESC, file, line, "column", rule_id"""
 
 QUERIES["dedup_summary"] = lambda spark, sf: fd.dedup_summary(
     v.scanner_findings(spark, sf), fd.dedup_findings(v.scanner_findings(spark, sf)))
 SQL["dedup_summary"] = f"""{_SCANNER} SELECT (SELECT count(*) FROM s) AS original_total,
   (SELECT count(*) FROM ({dedup_sql('s')})) AS deduped_total, 'normalized' AS dedup_mode"""
 
-QUERIES["should_fail"] = lambda spark, sf: fd.should_fail(
-    v.scanner_findings(spark, sf).where("risk_score >= 99.9"))
-SQL["should_fail"] = f"{_SCANNER} SELECT count(*) > 0 AS fail FROM s WHERE risk_score::DOUBLE >= 99.9"
+QUERIES["should_fail"] = lambda spark, sf: fd.should_fail(v.scanner_findings(spark, sf))
+SQL["should_fail"] = f"{_SCANNER} SELECT count(*) > 0 AS fail FROM s"
 
 QUERIES["review_summary"] = lambda spark, sf: fd.review_summary(v.scanner_findings(spark, sf))
 SQL["review_summary"] = f"""{_SCANNER} SELECT count(*) AS total, {severity_counts()},
@@ -244,13 +243,11 @@ SQL["code_context"] = f"{_CTX} SELECT file, rule_id, line, context, context_star
 QUERIES["fix_prompts"] = lambda spark, sf: rm.fix_prompts(_context(spark, sf)).select(
     "file", F.col("id").alias("rule_id"), "line", "prompt")
 SQL["fix_prompts"] = f"""{_CTX} SELECT file, rule_id, line,
-  'The following code has a security vulnerability:' || chr(10) || chr(10) || 'File: ' || file || ':'
-  || line || chr(10) || 'Rule: ' || rule_id || ' - ' || title || chr(10) || 'Severity: ' || severity
-  || chr(10) || chr(10) || 'Vulnerable code:' || chr(10) || '```' || language || chr(10) || context
-  || chr(10) || '```' || chr(10) || chr(10) || 'Fix suggestion: '
-  || coalesce(fix, 'Apply secure defaults and follow best practices') || chr(10) || chr(10)
-  || 'Provide ONLY the corrected code block that fixes this vulnerability while preserving '
-  || 'functionality. Do not include explanations.' AS prompt FROM x"""
+  'Rule ' || rule_id || ' (' || title || ', ' || severity || ') reports line ' || line || ' of '
+  || file || '.' || chr(10) || '```' || language || chr(10) || context || chr(10) || '```' || chr(10)
+  || 'Advice: ' || coalesce(fix, 'choose the safest common practice') || chr(10)
+  || 'Rewrite these lines so that the rule no longer applies and callers notice no change. '
+  || 'Answer with the lines alone.' AS prompt FROM x"""
 
 QUERIES["normalize_snippet"] = lambda spark, sf: code_findings(spark, sf).select(
     "file", "line", F.col("id").alias("rule_id"), _normalized().alias("normalized"))

@@ -349,5 +349,5 @@ def test_context_and_prompt(spark):
     got = {r["line"]: r for r in rm.fix_prompts(rm.code_context(found, files, 2)).collect()}
     assert (got[1]["context"], got[1]["context_start"]) == ("l1\nl2\nl3", 1)
     assert (got[7]["context"], got[7]["context_start"]) == ("l5\nl6\nl7", 5)
-    assert "File: a.py:7" in got[7]["prompt"] and "Fix suggestion: Do" in got[7]["prompt"]
-    assert "secure defaults" in got[1]["prompt"]
+    assert "line 7 of a.py" in got[7]["prompt"] and "Advice: Do\n" in got[7]["prompt"]
+    assert "safest common practice" in got[1]["prompt"]
