@@ -39,22 +39,47 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: The temporary folder of each local application that names none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's ``spark.checkpoint.dir``; a temporary one only where
-    that is unset and Spark runs in local mode."""
+    """Folder for checkpoints: the cluster's ``spark.checkpoint.dir``; a temporary one, the same for
+    the whole application, only where that is unset and Spark runs in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="riskloom-checkpoint-")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="riskloom-checkpoint-")
+    return _LOCAL[app]
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/riskloom/{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path below the shared folder, owned by this application."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that this application stored. Results that were not written or collected
+    yet may still read them, so this is for the end of a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """The same rows behind a table written to the shared folder, in one folder per value of
     ``by``. Results that are read several times (a report needs counts, an order and the rows) are
-    computed once, and a lost executor does not bring the whole lineage back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/riskloom/{uuid.uuid4().hex}"
+    computed once, and a lost executor does not bring the whole lineage back. :func:`release`
+    deletes the tables."""
+    path = scratch(df.sparkSession)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -444,6 +444,18 @@ def test_compliance_csv(spark, tmp_path):
     assert dates == sorted(dates, reverse=True)
 
 
+def test_stored_tables_have_an_owner(spark):
+    import os
+
+    from riskloom.session import release, scratch, shared_dir, stored
+    df = stored(spark.range(5).withColumn("k", F.col("id") % 2), by="k")
+    folder = os.path.dirname(scratch(spark))
+    assert df.count() == 5 and len(os.listdir(folder)) >= 1
+    assert folder.startswith(shared_dir(spark)) and shared_dir(spark) == shared_dir(spark)
+    release(spark)
+    assert not os.path.exists(folder)
+
+
 # Streams -------------------------------------------------------------------------------------
 
 def test_stream_trend_equals_the_batch(spark, tmp_path):
