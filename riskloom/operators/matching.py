@@ -96,8 +96,10 @@ def _none_in(needles: Column, text: Column) -> Column:
 
 
 def rule_slices(rules: DataFrame, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
-    """The rules in slices of at most ``limit`` bytes, measured by one small job over the rules."""
-    size = F.octet_length(F.to_json(F.struct("*")))
+    """The rules in slices of at most ``limit`` bytes, measured by one small job over the rules. What
+    is broadcast is a rule per language, so that is what counts."""
+    size = F.octet_length(F.to_json(F.struct("*"))) * F.size(F.array_distinct(
+        F.transform("languages", ascii_lower)))
     total = rules.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-total // limit))
     if n == 1:
