@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from queries import views as v
 from queries.dashboards import AS_OF, with_r6
-from queries.rulebook import TEXT_RULES, rules
-from queries.scanning import DOC, FLAT_COLS, dedup_sql, flat
-from queries.sqlparts import rank, scored_cte
+from queries.rulebook import CODE_RULES, TEXT_RULES, rules
+from queries.scanning import CODE, DOC, FLAT_COLS, dedup_sql, flat
+from queries.sqlparts import rank, scored_cte, severity_counts
 from riskloom.functions import text as tx
 from riskloom.operators import ingest as ig
-from riskloom.plans.scan import ScanOptions
+from riskloom.plans.scan import ScanOptions, scan
 from riskloom.session import shared_dir
+from riskloom.sinks.tables import write_tables
 from riskloom.sources.reports import parse_ingest
 from riskloom.streaming import streams as st
 
@@ -94,6 +95,43 @@ QUERIES["ingest_rejects"] = lambda spark, sf: ig.ingest(_payloads(spark, sf)).re
     "received_at")
 SQL["ingest_rejects"] = f"SELECT l_shipdate AS received_at FROM lineitem WHERE {_BAD}"
 
+# From a scan to the dashboards ------------------------------------------------------------------
+
+
+def _scan_to_tables(spark, sf) -> DataFrame:
+    """Files are scanned, one scan per language, stored by date, read back and summarised."""
+    corpus = v.code_corpus(spark, sf)
+    found = scan(corpus, rules(spark, CODE_RULES), ordered=False).withColumn(
+        "scan_id", F.regexp_extract("file", r"\.([a-z]+)$", 1))
+    heads = v.load(spark, sf, "region").select(
+        F.get(F.array(*map(F.lit, ["py", "js", "java", "go", "none"])), F.col("r_regionkey"))
+        .alias("scan_id"), F.lit("2001-07-15 08:00:00").cast("timestamp").alias("timestamp"),
+        F.col("r_name").alias("org_id"), F.lit("app").alias("repo_name"), F.lit(".").alias("target_path"))
+    done = ig.scan_tables(found, heads)
+    path = f"{shared_dir(spark).rstrip('/')}/scan-{uuid.uuid4().hex}"
+    write_tables(done.scans, done.findings, path)
+    scans, stored = (spark.read.parquet(f"{path}/{t}") for t in ("scans", "findings"))
+    hits = stored.groupBy("scan_id", "scan_date").agg(
+        F.countDistinct("finding_hash").alias("hashes"), F.count("*").alias("stored"))
+    return scans.join(hits, ["scan_id", "scan_date"], "left").select(
+        "scan_id", "scan_date", "org_id", "total_findings", "critical_count", "high_count",
+        "medium_count", "low_count", "info_count", "ai_estimated_count",
+        F.coalesce("stored", F.lit(0)).alias("stored"),
+        (F.coalesce("hashes", F.lit(0)) <= F.coalesce("stored", F.lit(0))).alias("hashed"))
+
+
+QUERIES["scan_to_tables"] = _scan_to_tables
+SQL["scan_to_tables"] = f"""{scored_cte(CODE, CODE_RULES)}, c AS (
+  SELECT regexp_extract(path, '\.([a-z]+)$', 1) AS scan_id, count(*) AS n, {severity_counts()},
+         count(*) FILTER (WHERE ai >= 70) AS ai FROM scored GROUP BY 1)
+SELECT s.scan_id, DATE '2001-07-15' AS scan_date, r_name AS org_id,
+  coalesce(n, 0)::INT AS total_findings, coalesce(critical, 0)::INT AS critical_count,
+  coalesce(high, 0)::INT AS high_count, coalesce(medium, 0)::INT AS medium_count,
+  coalesce(low, 0)::INT AS low_count, coalesce(info, 0)::INT AS info_count,
+  coalesce(ai, 0)::INT AS ai_estimated_count, coalesce(n, 0) AS stored, true AS hashed
+FROM (SELECT r_name, ['py', 'js', 'java', 'go', 'none'][r_regionkey + 1] AS scan_id FROM region) s
+LEFT JOIN c ON s.scan_id = c.scan_id"""
+
 # Upsert --------------------------------------------------------------------------------------
 
 

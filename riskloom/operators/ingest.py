@@ -11,6 +11,7 @@ from riskloom import schemas
 from riskloom.functions.numbers import f32
 from riskloom.functions.severity import RANKS
 from riskloom.functions.text import fingerprint, null_if_blank, scan_hash
+from riskloom.operators.compliance import enrich_compliance
 from riskloom.sources.history import COUNTS
 from riskloom.sources.reports import parse_ingest
 
@@ -77,6 +78,45 @@ def ingest(payloads: DataFrame, col: str = "payload", received: str = "received_
     return Ingested(scans, findings, rows.where("not accepted").select(col, received))
 
 
+def scan_tables(findings: DataFrame, heads: DataFrame) -> Ingested:
+    """A scan's result as rows of the two tables, without a payload in between. ``findings`` are those
+    of :func:`riskloom.plans.scan.scan` with their ``scan_id``; ``heads`` has a row per scan with its
+    ``scan_id``, ``timestamp`` and what is known of the other head columns. Findings get compliance
+    keys (X10); the scan's counts are one aggregate per scan, so a scan of any size is one row that no
+    task has gathered. Findings without a head are refused."""
+    rows = enrich_compliance(findings)
+    level = F.lower("severity")
+    counts = rows.groupBy("scan_id").agg(
+        F.count("*").cast("int").alias("total_findings"),
+        *[F.count_if(level == s).cast("int").alias(s + "_count") for s in RANKS],
+        F.count_if(F.col("ai_confidence") >= 70).cast("int").alias("ai_estimated_count"))
+    zero = {c: 0 for c in counts.columns if c != "scan_id"}
+    known = [c for c in heads.columns if c in schemas.SCAN.fieldNames() and c not in zero]
+    scans = heads.select(*known).join(counts, "scan_id", "left").fillna(zero, list(zero))
+    scans = with_ai_ratio(scans.withColumn("scan_date", F.to_date("timestamp")))
+    scans = scans.select(*[
+        F.col(f.name).cast(f.dataType) if f.name in scans.columns
+        else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.SCAN])
+    repo = F.col("repo_id") if "repo_id" in heads.columns else F.lit(None).cast("string")
+    met = rows.join(heads.select("scan_id", "timestamp", repo.alias("_repo")), "scan_id")
+    line = F.col("line").cast("int")
+    stored = met.select(
+        F.col("scan_id").cast("string").alias("scan_id"),
+        scan_hash(F.col("scan_id").cast("string"), F.col("file"), line, F.col("id"))
+        .alias("finding_hash"),
+        F.col("id").alias("rule_id"), F.col("title").alias("rule_title"), level.alias("severity"),
+        F.col("file").alias("file_path"), line.alias("line_number"), "snippet",
+        unit_confidence(F.col("ai_confidence")).alias("ai_confidence"), "ai_tendency",
+        "fix_suggestion", null_if_blank("cwe_id").alias("cwe_id"),
+        null_if_blank("owasp_category").alias("owasp_category"),
+        F.col("timestamp").alias("first_seen"), F.col("timestamp").alias("last_seen"),
+        F.lit(1).cast("bigint").alias("times_seen"), F.lit(False).alias("is_fixed"),
+        F.lit(None).cast("timestamp").alias("fixed_at"),
+        fingerprint(F.col("_repo"), F.col("file"), line, F.col("id")).alias("fingerprint"))
+    refused = findings.join(heads.select("scan_id"), "scan_id", "left_anti")
+    return Ingested(scans, stored, refused)
+
+
 def upsert_findings(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = (
         "scan_id", "finding_hash")) -> DataFrame:
     """One row per key; the first row's values stay, last_seen and times_seen move on. It is
