@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom.session import shared_dir
 
 
+FILES_PER_CORE = 4
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/riskloom-llm/{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The same rows, written once and read from the shared folder from now on."""
+    """The same rows, written once and read from the shared folder from now on, in a few files per
+    core instead of one per shuffle partition."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept.riskloom_path = path
     return kept
