@@ -14,11 +14,10 @@ from riskloom.llm.pages import main_text
 from riskloom.llm.quality import quality
 from riskloom.llm.simhash import near_duplicates
 from riskloom.llm.substrings import substring_dedup
-from riskloom.llm.tables import scratch
 from riskloom.llm.token_counts import token_counts
 from riskloom.llm.tokenfiles import read_tokens, write_tokens
 from riskloom.llm.tokens import tokenizer_path
-from riskloom.session import apply_settings
+from riskloom.session import apply_settings, scratch
 
 #: Where the workers of a local session find this package; a cluster gets it with ``--py-files``.
 ROOT = str(Path(__file__).resolve().parents[2])

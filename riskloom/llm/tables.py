@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-from riskloom.session import shared_dir
+from riskloom.session import scratch
 
 
 FILES_PER_CORE = 4
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/riskloom-llm/{uuid.uuid4().hex}"
-
-
 def keep(df: DataFrame) -> DataFrame:
     """The same rows, written once and read from the shared folder from now on, in a few files per
     core instead of one per shuffle partition."""
