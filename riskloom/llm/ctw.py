@@ -13,8 +13,8 @@ Because a token's code length depends on the token and the group alone, everythi
 once per distinct word of a group: training counts, contexts, code lengths. Documents then get the sums
 of their words' values by joining block postings (:mod:`riskloom.llm.frequencies`).
 
-The tree is cut by the last two bytes of the context: below, each branch is weighted on its own where
-its counts meet; of the two depths above only 256 * 255 nodes can exist, which the driver weighs.
+The tree is cut by the last two bytes of the context: below, branches are weighted on their own where
+their counts meet; of the two depths above only 256 * 255 nodes can exist, which the driver weighs.
 
 Defined cases: a null, empty or blank text is its end alone; a null ``doc_id`` is held out (crc32 of the
 empty text), as all documents whose crc32 leaves 0; with no training document every probability is the
@@ -61,10 +61,26 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return series - steps
 
 
+def _table(first: float) -> np.ndarray:
+    return log_gamma(np.arange(1 << 14) + first)
+
+
+#: log gamma at whole numbers plus one half and plus one, for the many small counts.
+HALVES, WHOLES = _table(0.5), _table(1.0)
+
+
+def _looked_up(counts: np.ndarray, table: np.ndarray, first: float) -> np.ndarray:
+    small = counts < len(table)
+    out = table[np.where(small, counts, 0).astype(np.int64)]
+    if not small.all():
+        out[~small] = log_gamma(counts[~small] + first)
+    return out
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """log probability of a sequence with so many zeros and ones by the KT estimate."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) \
-        - np.log(np.pi)
+    return _looked_up(zeros, HALVES, 0.5) + _looked_up(ones, HALVES, 0.5) \
+        - _looked_up(zeros + ones, WHOLES, 1.0) - np.log(np.pi)
 
 
 def spell(terms: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,52 +101,56 @@ def spell(terms: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return term, (((key << 8) | groups[term]) << 8) | data[at]
 
 
-class Branch:
-    """The nodes whose contexts end in the same two bytes (the first two of the key), weighted.
-    ``depth`` counts the bytes of the key before the symbol."""
+class Branches:
+    """The nodes at depth 2 and below of whole branches (contexts that end in the same two bytes, the
+    first two of the key), weighted. ``depth`` counts the bytes of the key before the symbol."""
 
     def __init__(self, key: np.ndarray, count: np.ndarray, depth: int):
         order = np.argsort(key)
-        self.key, self.count = key[order], count[order].astype(float)
+        self.key, weight = key[order], count[order].astype(float)
         self.depth = depth
+        self.last = (self.key >> 8 * depth) & 255
         symbol = self.key & 255
-        # node of each decision inside the byte's binary tree, and the decision
         level = np.arange(8)[:, None]
+        # node of each decision inside the byte's binary tree, and the decision
         self.node = (1 << level) | (symbol >> (8 - level))
         self.bit = (symbol >> (7 - level)) & 1
-        self.row: dict[int, np.ndarray] = {}
+        ones = (self.bit * weight).ravel()
+        total = np.broadcast_to(weight, self.node.shape).ravel()
+        self.at: dict[int, np.ndarray] = {}  # depth -> number of each decision's node
         self.zeros: dict[int, np.ndarray] = {}
         self.ones: dict[int, np.ndarray] = {}
         self.own: dict[int, np.ndarray] = {}  # share of the node's own estimate
-        weighted = None
+        weighted = deeper = None
         for d in range(depth, 1, -1):
             context = self.key >> 8 * (1 + depth - d)
             new = np.append(True, context[1:] != context[:-1])
-            self.row[d] = np.cumsum(new) - 1
-            n = int(self.row[d][-1]) + 1
-            cell = (self.row[d] * 256 + self.node).ravel()
-            weight = np.broadcast_to(self.count, self.node.shape).ravel()
-            ones = self.bit.ravel() == 1
-            self.ones[d] = np.bincount(cell, weight * ones, n * 256).reshape(n, 256)
-            self.zeros[d] = np.bincount(cell, weight * ~ones, n * 256).reshape(n, 256)
+            row = np.cumsum(new) - 1
+            cells, at = np.unique(row * 256 + self.node, return_inverse=True)
+            self.at[d] = at = at.reshape(self.node.shape)
+            self.ones[d] = np.bincount(at.ravel(), ones, len(cells))
+            self.zeros[d] = np.bincount(at.ravel(), total, len(cells)) - self.ones[d]
             own = log_kt(self.zeros[d], self.ones[d])
             if weighted is None:
-                weighted = own
-                self.own[d] = np.ones_like(own)
+                weighted, self.own[d] = own, np.ones(len(cells))
             else:
-                below = np.add.reduceat(weighted, parents, axis=0)  # noqa: F821  set a round before
+                child, first = deeper
+                parent = np.searchsorted(cells, row[first[child >> 8]] * 256 + (child & 255))
+                below = np.bincount(parent, weighted, len(cells))
                 weighted = np.logaddexp(own, below) + HALF
                 self.own[d] = np.exp(own + HALF - weighted)
-            up = self.key[new] >> 8 * (2 + depth - d)
-            parents = np.flatnonzero(np.append(True, up[1:] != up[:-1]))  # first child of each parent
-        self.weighted = weighted[0]
-
-    def predictions(self) -> np.ndarray:
-        """Probability of each decision of each key (8 rows), depths 2 and up mixed."""
+            deeper = cells, np.flatnonzero(new)  # nodes, and a key of each context
+        self.top = pd.DataFrame({
+            "last": self.last[deeper[1][cells >> 8]], "node": cells & 255, "zeros": self.zeros[2],
+            "ones": self.ones[2], "weighted": weighted}).groupby(["last", "node"], as_index=False).sum()
+
+    def predictions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each decision of each key (8 rows), depths 2 and up mixed, and whether the
+        node at depth 2 was seen."""
         mixed = seen = None
         for d in range(self.depth, 1, -1):
-            zeros, ones = (t[d][self.row[d], self.node] for t in (self.zeros, self.ones))
-            mixed, seen = mix(mixed, seen, zeros, ones, self.own[d][self.row[d], self.node], self.bit)
+            zeros, ones, own = (t[d][self.at[d]] for t in (self.zeros, self.ones, self.own))
+            mixed, seen = mix(mixed, seen, zeros, ones, own, self.bit)
         return mixed, seen
 
 
@@ -219,39 +239,35 @@ def symbols(words: DataFrame, depth: int) -> DataFrame:
 
 
 def contexts(words: DataFrame, depth: int) -> DataFrame:
-    """``branch``, ``key`` and training count ``c`` of every symbol in its context."""
+    """``key`` and training count ``c`` of every symbol in its context, and a ``bucket`` of branches:
+    as many as shuffle partitions, so that a bucket is a fair share of any vocabulary."""
+    buckets = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    branch = F.shiftright("key", 8 * depth)
     return keep(symbols(words, depth).groupBy("key").agg(F.sum("c").alias("c")).withColumn(
-        "branch", F.shiftright("key", 8 * depth).cast("int")))
+        "bucket", F.pmod(F.xxhash64(branch), F.lit(buckets)).cast("int")))
 
 
 def code_lengths(counted: DataFrame, depth: int) -> DataFrame:
     """``key`` and ``log10p``, the log10 probability of every symbol in its context."""
-    def last_byte(part: pa.Table) -> int:
-        return part["branch"][0].as_py() >> 8 & 255
-
     def stats(part: pa.Table) -> pa.Table:
-        branch = Branch(part["key"].to_numpy(), part["c"].to_numpy(), depth + 1)
-        used = np.flatnonzero(branch.zeros[2][0] + branch.ones[2][0])
-        return pa.table({
-            "last": pa.array(np.full(len(used), last_byte(part)), pa.int32()),
-            "node": pa.array(used.astype("i4")), "zeros": branch.zeros[2][0][used],
-            "ones": branch.ones[2][0][used], "weighted": branch.weighted[used]})
-
-    by_branch = counted.groupBy("branch")
-    above = (by_branch.applyInArrow(
-        stats, "last int, node int, zeros double, ones double, weighted double")
+        top = Branches(part["key"].to_numpy(), part["c"].to_numpy(), depth + 1).top
+        return pa.Table.from_pandas(top, preserve_index=False)
+
+    by_bucket = counted.groupBy("bucket")
+    above = (by_bucket.applyInArrow(
+        stats, "last long, node long, zeros double, ones double, weighted double")
         .groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))))
     zeros, ones, own_1, own_0 = top_tables(above.toPandas())  # at most 256 * 255 rows
 
     def lengths(part: pa.Table) -> pa.Table:
-        branch = Branch(part["key"].to_numpy(), part["c"].to_numpy(), depth + 1)
-        mixed, seen = branch.predictions()
-        last, node, bit = last_byte(part), branch.node, branch.bit
-        mixed, seen = mix(mixed, seen, zeros[last][node], ones[last][node], own_1[last][node], bit)
+        found = Branches(part["key"].to_numpy(), part["c"].to_numpy(), depth + 1)
+        mixed, seen = found.predictions()
+        node, bit, one = found.node, found.bit, (found.last, found.node)
+        mixed, seen = mix(mixed, seen, zeros[one], ones[one], own_1[one], bit)
         mixed, _ = mix(mixed, seen, zeros.sum(axis=0)[node], ones.sum(axis=0)[node], own_0[node], bit)
-        return pa.table({"key": branch.key, "log10p": np.log10(mixed).sum(axis=0)})
+        return pa.table({"key": found.key, "log10p": np.log10(mixed).sum(axis=0)})
 
-    return by_branch.applyInArrow(lengths, "key long, log10p double")
+    return by_bucket.applyInArrow(lengths, "key long, log10p double")
 
 
 def scores(docs: DataFrame, depth: int = DEPTH, group: str | None = None) -> DataFrame:
