@@ -288,7 +288,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, group: str | None = None) -> Dat
                 .groupBy("wid").agg(F.sum("log10p").alias("spelled")))
     # a document's end also says which group it is of
     named = F.log10((F.col("c") + 0.5) / (ends + 0.5 * (len(numbers) + 1))) if numbers else F.lit(0.0)
-    values = (words.join(per_word, "wid").withColumn("word", word).join(counts, "word").select(
+    values = keep(words.join(per_word, "wid").withColumn("word", word).join(counts, "word").select(
         "term", F.lit(1.0).alias("n"), (F.col("all") > 0).cast("double").alias("known"),
         F.log10((F.col("all") + 0.1) / (total + 0.1 * (known + 1))).alias("base"),
         (F.col("spelled") + F.when(F.col("word") == F.lit(END), named).otherwise(0.0))

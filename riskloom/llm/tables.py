@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 
 from riskloom.session import scratch
 
-
 FILES_PER_CORE = 4
 
 
+def release_shuffles(df: DataFrame) -> None:
+    """Spark deletes the files of shuffles that nothing can read any more when the driver's garbage is
+    collected, by default every half hour; between two steps of a job that is asked for."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def keep(df: DataFrame) -> DataFrame:
     """The same rows, written once and read from the shared folder from now on, in a few files per
     core instead of one per shuffle partition."""
     path = scratch(df.sparkSession)
     df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+    release_shuffles(df)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept.riskloom_path = path
     return kept
