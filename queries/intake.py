@@ -122,7 +122,7 @@ def _scan_to_tables(spark, sf) -> DataFrame:
 
 QUERIES["scan_to_tables"] = _scan_to_tables
 SQL["scan_to_tables"] = f"""{scored_cte(CODE, CODE_RULES)}, c AS (
-  SELECT regexp_extract(path, '\.([a-z]+)$', 1) AS scan_id, count(*) AS n, {severity_counts()},
+  SELECT regexp_extract(path, '[.]([a-z]+)$', 1) AS scan_id, count(*) AS n, {severity_counts()},
          count(*) FILTER (WHERE ai >= 70) AS ai FROM scored GROUP BY 1)
 SELECT s.scan_id, DATE '2001-07-15' AS scan_date, r_name AS org_id,
   coalesce(n, 0)::INT AS total_findings, coalesce(critical, 0)::INT AS critical_count,
