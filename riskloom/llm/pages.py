@@ -6,10 +6,11 @@ element, the text inside it is the candidate, otherwise the whole body. What is
 site templates: element subtrees (tag, class, text and child hashes) are hashed, the different pages
 of a host that hold a subtree are counted in Spark, and subtrees on many of them are deleted.
 
-Copies of one article on a host are not a template: a subtree counts once per page heading, and
-subtrees that hold half of a page's text or more, and plain text blocks inside an article, are never
-candidates. Counting is a partial aggregate on (host, subtree, heading), so a host with a third of all
-pages is spread over its subtrees; only pages with candidates travel to their deletions.
+Copies of one article on a host are not a template: pages are told apart by what they hold besides the
+subtree, so a subtree counts once per remaining content, and subtrees that hold half of a page's text or
+more, and plain text blocks inside an article, are never candidates. Counting is a partial aggregate on
+(host, subtree, remaining content), so a host with a third of all pages is spread over its subtrees; only
+pages with candidates travel to their deletions.
 
 Defined cases: a null or empty html gives an empty text; a null url is the host without a name; a null
 ``page_id`` stays null; repeated rows give repeated rows; extra columns are ignored. Unclosed elements
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from riskloom.llm.tables import keep
 from riskloom.llm.words import arrow_schema
 
-#: Pages with different headings from which on a subtree is a template of its host.
+#: Different pages from which on a subtree is a template of its host.
 PAGES = 5
 
 TAG = re.compile(
@@ -100,7 +101,6 @@ class Page:
         self.open: Counter[str] = Counter()
         self.parent = [0]  # of each element's number
         self.regions = 0
-        self.heading = ""
         self.read(html)
         while len(self.stack) > 1:
             self.close()
@@ -123,9 +123,6 @@ class Page:
             self.start(tag, m["attrs"])
             if tag in RAW and not m["attrs"].endswith("/"):
                 close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                raw = html[at:close.start() if close else len(html)]
-                if tag == "title" and not self.heading:
-                    self.heading = " ".join(unescape(raw).split())
                 at = close.end() if close else len(html)
                 self.close()
 
@@ -207,9 +204,10 @@ class Page:
             top.items.append(flat)
             top.size += len(flat)
 
-    def result(self) -> tuple[list[str], list[list[int]], int]:
-        """Texts in page order, the hashes of the possible templates around each, and the heading's
-        hash."""
+    def result(self) -> tuple[list[str], list[list[int]], dict[int, tuple[int, bool]], int]:
+        """Texts in page order, the hashes of the possible templates around each, for each of these
+        the hash of the page's texts outside it and whether it is a text block, and the hash of all
+        texts."""
         texts = [("".join(t), n) for t, n, region in self.texts if region or not self.regions]
         total = sum(len(" ".join(t.split())) for t, _ in texts)
         possible = {
@@ -226,13 +224,27 @@ class Page:
                 out[-1][0].append(text)
             else:
                 out.append(([text], chain[number]))
-        heading = self.hash(self.heading or "".join(t for t, _ in texts)[:80])
-        return (["".join(t) for t, _ in out], [a for _, a in out],
-                heading - (1 << 64) if heading >> 63 else heading)
+        whole, inside = 0, dict.fromkeys(possible.values(), 0)
+        for text, around in out:
+            flat = " ".join("".join(text).split())
+            if flat:
+                value = self.hash(flat)
+                whole += value
+                for h in set(around):
+                    inside[h] += value
+        block = {possible[n]: self.done[n][2] in TEXT_BLOCKS for n in possible}
+        rest = {h: (signed(whole - v), block[h]) for h, v in inside.items()}
+        return ["".join(t) for t, _ in out], [a for _, a in out], rest, signed(whole)
 
 
-PARSED = ("page_id long, url string, host string, heading long, texts array<string>, "
-          "around array<array<bigint>>, possible array<bigint>, row long")
+def signed(value: int) -> int:
+    """The low 64 bits as a signed number."""
+    return (value + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+PARSED = ("page_id long, url string, host string, whole long, texts array<string>, "
+          "around array<array<bigint>>, "
+          "possible array<struct<subtree: bigint, rest: bigint, block: boolean>>, row long")
 
 
 def parse(pages: DataFrame) -> DataFrame:
@@ -244,9 +256,10 @@ def parse(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for page_id, url, html, row in zip(*(c.to_pylist() for c in batch.columns)):
-                texts, around, heading = Page(html or "").result()
-                rows.append((page_id, url, host_of(url), heading, texts, around,
-                             sorted({h for a in around for h in a}), row))
+                texts, around, rest, whole = Page(html or "").result()
+                held = sorted({h for a in around for h in a})
+                rows.append((page_id, url, host_of(url), whole, texts, around, [
+                    {"subtree": h, "rest": rest[h][0], "block": rest[h][1]} for h in held], row))
             columns = list(zip(*rows)) if rows else [[]] * len(target)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
@@ -261,9 +274,10 @@ def host_of(url: str | None) -> str:
 
 
 def template_subtrees(parsed: DataFrame, pages: int) -> DataFrame:
-    """``host`` and ``subtree`` of everything that stands under at least ``pages`` headings of a host."""
-    return (parsed.select("host", "heading", F.explode("possible").alias("subtree")).distinct()
-            .groupBy("host", "subtree").count().where(F.col("count") >= pages)
+    """``host`` and ``subtree`` of everything that stands on at least ``pages`` different pages of a host;
+    pages that differ in the subtree alone are one."""
+    return (parsed.select("host", F.explode("possible").alias("p")).select("host", "p.subtree", "p.rest")
+            .distinct().groupBy("host", "subtree").count().where(F.col("count") >= pages)
             .select("host", "subtree"))
 
 
@@ -291,7 +305,7 @@ def main_text(pages: DataFrame, template_pages: int = PAGES) -> DataFrame:
     parsed = keep(parse(pages))
     checked = parsed.where(F.size("possible") > 0)
     templates = template_subtrees(checked, template_pages)
-    gone = (checked.select("row", "host", F.explode("possible").alias("subtree"))
+    gone = (checked.select("row", "host", F.explode("possible.subtree").alias("subtree"))
             .join(templates, ["host", "subtree"], "left_semi")
             .groupBy("row").agg(F.collect_set("subtree").alias("gone")))
     columns = ["page_id", "url", "texts", "around"]

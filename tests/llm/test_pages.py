@@ -78,6 +78,22 @@ def test_templates(spark):
     assert texts[None] == "" and texts[300] == ""
 
 
+def test_pages_are_told_apart_by_their_content(spark):
+    banner = "<div class=top><div>Our site, since 1999, all about words and their many uses.</div></div>"
+    body = "<div class=text>%s</div>"
+    same_title = [(i, "http://one.example/", f"<title>Site</title>{banner}"
+                   + body % (f"left{i} " * 40)) for i in range(8)]
+    untitled = [(20 + i, "http://none.example/", banner + body % (f"right{i} " * 40)) for i in range(8)]
+    copies = [(40 + i, "http://copy.example/", f"<title>copy {i}</title>"
+               "<div>first part</div><div>second part</div><div>third part</div>") for i in range(20)]
+    texts = {r.page_id: r.text for r in main_text(spark.createDataFrame(
+        same_title + untitled + copies, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert texts[i] == " ".join([f"left{i}"] * 40)
+        assert texts[20 + i] == " ".join([f"right{i}"] * 40)
+    assert texts[40] == "first part second part third part"
+
+
 def pages_text():
     from pyspark.sql import functions as F
 
