@@ -239,11 +239,16 @@ def symbols(words: DataFrame, depth: int) -> DataFrame:
 
 
 def contexts(words: DataFrame, depth: int) -> DataFrame:
+    """:func:`in_buckets` of every symbol of every word."""
+    return in_buckets(symbols(words, depth), depth)
+
+
+def in_buckets(found: DataFrame, depth: int) -> DataFrame:
     """``key`` and training count ``c`` of every symbol in its context, and a ``bucket`` of branches:
     as many as shuffle partitions, so that a bucket is a fair share of any vocabulary."""
-    buckets = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     branch = F.shiftright("key", 8 * depth)
-    return keep(symbols(words, depth).groupBy("key").agg(F.sum("c").alias("c")).withColumn(
+    return keep(found.groupBy("key").agg(F.sum("c").alias("c")).withColumn(
         "bucket", F.pmod(F.xxhash64(branch), F.lit(buckets)).cast("int")))
 
 

@@ -32,7 +32,8 @@ BLOCK_BYTES, BLOCK_DOCS = 24 << 20, 1 << 15
 Cut = Callable[[list[bytes]], tuple[list[bytes], np.ndarray, np.ndarray]]
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES
+           ) -> Iterator[tuple[int, list, list[bytes]]]:
     """(block number, ids, texts): numbers are unique over all tasks of a job."""
     number = TaskContext.get().partitionId() << 32
     ids, texts, size = [], [], 0
@@ -41,7 +42,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[
             ids.append(i)
             texts.append(t)
             size += len(t)
-            if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
+            if size >= limit or len(ids) >= BLOCK_DOCS:
                 yield number, ids, texts
                 number, ids, texts, size = number + 1, [], [], 0
     if ids:

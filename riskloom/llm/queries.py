@@ -8,10 +8,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import quotes, winnowing
-from riskloom.llm.ctw import scores
 from riskloom.llm.packing import pack
 from riskloom.llm.pages import main_text
 from riskloom.llm.quality import quality
+from riskloom.llm.running import running_scores
 from riskloom.llm.simhash import near_duplicates
 from riskloom.llm.substrings import substring_dedup
 from riskloom.llm.token_counts import token_counts
@@ -61,7 +61,7 @@ def op7_winnowing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_context_trees(spark: SparkSession, sf: str) -> DataFrame:
-    return scores(table(spark, sf, "documents"), group="lang")
+    return running_scores(table(spark, sf, "documents"), group="lang")
 
 
 def op9_compression_bands(spark: SparkSession, sf: str) -> DataFrame:
