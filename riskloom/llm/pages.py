@@ -4,7 +4,7 @@ Every page is parsed once. What its markup itself names as menu, header, footer,
 advert, form, script, style or reader comments goes; where the page has an ``article`` or ``main``
 element, the text inside it is the candidate, otherwise the whole body. What is left is checked for
 site templates: element subtrees (tag, class, text and child hashes) are hashed, the different pages
-of a host that hold a subtree are counted in Spark, and subtrees on many of them are deleted.
+of a host that hold a subtree are counted in Spark, and subtrees on a share of them are deleted.
 
 Copies of one article on a host are not a template: pages are told apart by what they hold besides the
 subtree, so a subtree counts once per remaining content, and subtrees that hold half of a page's text or
@@ -34,6 +34,9 @@ from riskloom.llm.words import arrow_schema
 
 #: Different pages from which on a subtree is a template of its host.
 PAGES = 5
+#: Share of the host's different pages that it must stand on besides, and that of a text block (a heading,
+#: paragraph, list item or cell outside an article), which is content on fewer.
+SHARE, BLOCK_SHARE = 0.1, 0.5
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)"""
@@ -274,10 +277,15 @@ def host_of(url: str | None) -> str:
 
 
 def template_subtrees(parsed: DataFrame, pages: int) -> DataFrame:
-    """``host`` and ``subtree`` of everything that stands on at least ``pages`` different pages of a host;
-    pages that differ in the subtree alone are one."""
-    return (parsed.select("host", F.explode("possible").alias("p")).select("host", "p.subtree", "p.rest")
-            .distinct().groupBy("host", "subtree").count().where(F.col("count") >= pages)
+    """``host`` and ``subtree`` of everything that stands on at least ``pages`` different pages of a host
+    and on its share of them; pages that differ in the subtree alone are one."""
+    own = (parsed.select("host", F.explode("possible").alias("p"))
+           .select("host", "p.subtree", "p.rest", "p.block").distinct()
+           .groupBy("host", "subtree").agg(F.count("*").alias("n"), F.max("block").alias("block"))
+           .where(F.col("n") >= pages))
+    sizes = parsed.select("host", "whole").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    share = F.when(F.col("block"), BLOCK_SHARE).otherwise(SHARE)
+    return (own.join(sizes, "host").where(F.col("n") >= share * F.col("of"))
             .select("host", "subtree"))
 
 
@@ -304,7 +312,7 @@ def main_text(pages: DataFrame, template_pages: int = PAGES) -> DataFrame:
 
     parsed = keep(parse(pages))
     checked = parsed.where(F.size("possible") > 0)
-    templates = template_subtrees(checked, template_pages)
+    templates = template_subtrees(parsed, template_pages)
     gone = (checked.select("row", "host", F.explode("possible.subtree").alias("subtree"))
             .join(templates, ["host", "subtree"], "left_semi")
             .groupBy("row").agg(F.collect_set("subtree").alias("gone")))

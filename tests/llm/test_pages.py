@@ -94,6 +94,20 @@ def test_pages_are_told_apart_by_their_content(spark):
     assert texts[40] == "first part second part third part"
 
 
+def test_templates_hold_a_share_of_the_host(spark):
+    banner = "<div class=top><div>Our site, since 1999, all about words.</div></div>"
+    rows = []
+    for i in range(100):
+        heading = "<h2>Introduction</h2>" if i < 30 else f"<h2>Part {i}</h2>"
+        table = "<table><tr><td>He agreed to it.</td></tr></table>" if i % 15 == 0 else ""
+        rows.append((i, "http://big.example/",
+                     f"{banner}<div>{heading}<p>{f'left{i} ' * 40}</p>{table}</div>"))
+    texts = {r.page_id: r.text for r in main_text(spark.createDataFrame(
+        rows, "page_id long, url string, html string")).collect()}
+    assert texts[1] == "Introduction " + " ".join(["left1"] * 40)
+    assert texts[90] == "Part 90 " + " ".join(["left90"] * 40) + " He agreed to it."
+
+
 def pages_text():
     from pyspark.sql import functions as F
 
