@@ -1,6 +1,6 @@
 """Operator 9, quality rules: repetition counts and compression bands.
 
-A text is compressed as a whole and in fixed chunks. Text of a given length has a usual range of
+A text is compressed as a whole and in chunks of fixed size. Text of a given length has a usual range of
 compression ratios: a higher one means repetition, a lower one means noise. The limits depend on
 the length, because short texts give the compressor nothing to refer back to.
 
@@ -27,26 +27,44 @@ SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 SYMBOLS = b"#*$%&|<>"
 #: White space and the continuation bytes of UTF-8: what is left counts the characters of words.
 NOT_WORD_CHARS = b" \t\n\r\x0b\x0c" + bytes(range(0x80, 0xC0))
+BEYOND_ASCII = bytes(range(0x80, 0x100))
+
+#: (bytes, lowest ratio) at zstandard's level 3, just below the least of natural prose of that length: manual
+#: pages and messages in 16 languages, licences. Between two lengths the limit follows the logarithm of the
+#: length. Han and kana characters compress least; a text of hardly any bytes beyond ASCII is held to more.
+ANY_SCRIPT = ((200, 0.9), (400, 1.01), (800, 1.14), (1600, 1.3), (3200, 1.57), (6400, 1.73),
+              (12800, 1.9))
+LATIN = ((200, 0.9), (400, 1.15), (800, 1.3), (1600, 1.5), (3200, 1.74), (6400, 1.94), (12800, 2.1))
 
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of the ratio (plain bytes / compressed bytes) by length in bytes: each entry is
-    (shorter than, lowest, highest). A chunk is judged by the band of its own length; a text fails
-    when its own ratio or more than ``chunk_share`` of its full chunks are outside."""
-
-    limits: tuple[tuple[float, float, float], ...] = (
-        (200, 0.4, 2.8), (400, 0.9, 3.0), (800, 1.1, 3.2), (3200, 1.2, 3.6),
-        (12800, 1.3, 4.0), (float("inf"), 1.4, 5.0))
+    """Limits of the ratio (plain bytes / compressed bytes) by length in bytes: ``highest`` has
+    (shorter than, highest), ``lowest`` and ``lowest_latin`` (length, lowest), the latter for texts with
+    under ``latin`` of their bytes beyond ASCII. A chunk, the shorter last one too, is judged by the limits of its
+    own length; a text fails when its own ratio or chunks with more than ``chunk_share`` of its bytes
+    are outside."""
+
+    highest: tuple[tuple[float, float], ...] = (
+        (200, 2.8), (400, 3.0), (800, 3.2), (3200, 3.6), (12800, 4.0), (float("inf"), 5.0))
+    lowest: tuple[tuple[float, float], ...] = ANY_SCRIPT
+    lowest_latin: tuple[tuple[float, float], ...] = LATIN
+    latin: float = 0.1
     chunk: int = 4096
-    chunk_share: float = 0.5
+    chunk_share: float = 0.25
     level: int = 3
 
-    def inside(self, size: int, ratio: float) -> bool:
-        for below, low, high in self.limits:
-            if size < below:
-                return low <= ratio <= high
-        return True
+    def inside(self, size: int, ratio: float, latin: bool = False) -> bool:
+        low = np.interp(np.log(size), *self._points(latin))
+        return low <= ratio <= next(high for below, high in self.highest if size < below)
+
+    def _points(self, latin: bool) -> tuple[list[float], list[float]]:
+        points = self.lowest_latin if latin else self.lowest
+        return [float(np.log(n)) for n, _ in points], [low for _, low in points]
+
+    def fits(self, text: bytes, ratio: float) -> bool:
+        beyond = len(text) - len(text.translate(None, BEYOND_ASCII))
+        return self.inside(len(text), ratio, beyond < self.latin * len(text))
 
 
 def repeated_words(tokens: list[bytes]) -> int:
@@ -81,19 +99,18 @@ def counts(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def bands_of(text: bytes, bands: Bands, compress) -> tuple[bool, float, float]:
-    """Whether the text is inside its bands, its ratio, and the share of its full chunks outside."""
+    """Whether the text is inside its bands, its ratio, and the share of its bytes in chunks outside."""
     if not text:
         return False, 0.0, 0.0
     ratio = len(text) / len(compress(text))
-    size = bands.chunk
-    full = len(text) // size
     outside = 0
-    if full > 1:  # a single chunk says no more than the whole text
-        for i in range(full):
-            part = text[i * size:(i + 1) * size]
-            outside += not bands.inside(size, size / len(compress(part)))
-    share = outside / full if full > 1 else 0.0
-    return bands.inside(len(text), ratio) and share <= bands.chunk_share, ratio, share
+    if len(text) > bands.chunk:  # a single chunk is the whole text
+        for i in range(0, len(text), bands.chunk):
+            part = text[i:i + bands.chunk]
+            if not bands.fits(part, len(part) / len(compress(part))):
+                outside += len(part)
+    share = outside / len(text)
+    return bands.fits(text, ratio) and share <= bands.chunk_share, ratio, share
 
 
 def judge(texts: list[bytes], bands: Bands) -> list[tuple]:

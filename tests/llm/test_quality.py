@@ -50,3 +50,37 @@ def test_bands_follow_the_length():
     bands = Bands()
     assert bands.inside(150, 0.9) and not bands.inside(15_000, 0.9)
     assert not bands.inside(300, 4.5) and bands.inside(15_000, 4.5)
+
+
+ALPHABETS = {"letters and digits": "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])),
+             "printable": "".join(map(chr, range(33, 127))), "hex": "0123456789abcdef"}
+
+
+@pytest.mark.parametrize("alphabet, sizes", [
+    ("letters and digits", (800, 1600, 3100, 5000, 12_000, 50_000)),
+    ("printable", (400, 800, 1600, 3100, 5000, 12_000, 50_000)),
+    ("hex", (6400, 12_000, 50_000))])
+def test_noise_of_every_length(alphabet, sizes):
+    import random
+
+    from riskloom.llm.quality import judge
+    rng = random.Random(7)
+    for size in sizes:
+        words = ["".join(rng.choices(ALPHABETS[alphabet], k=rng.randint(3, 9)))
+                 for _ in range(size // 4)]
+        noise = " ".join(words).encode()[:size]
+        assert not judge([noise], Bands())[0][6], size
+
+
+def test_every_chunk_counts():
+    import random
+
+    from riskloom.llm.quality import judge
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(700)]
+    prose = " ".join(rng.choices(vocabulary, k=4000)).encode()
+    noise = " ".join("".join(rng.choices(ALPHABETS["printable"], k=6)) for _ in range(900)).encode()
+    for text, share in ((prose[:8000], 0), (prose[:4096] + noise[:3000], 3000 / 7096),
+                        (noise[:4096] + prose[:3000], 4096 / 7096)):
+        found = judge([text], Bands())[0]
+        assert found[6] == (share == 0) and found[-1] == pytest.approx(share)
