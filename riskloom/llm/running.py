@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from riskloom.llm.ctw import (DEPTH, END, _held, code_lengths, group_numbers, held_out, in_buckets,
                               marked, spell)
 from riskloom.llm.frequencies import blocks
-from riskloom.llm.tables import keep
+from riskloom.llm.tables import drop, keep
 from riskloom.llm.words import arrow_schema, lower_words
 
 #: Bytes of text that are spelled at once.
@@ -233,9 +233,14 @@ def running_scores(docs: DataFrame, depth: int = DEPTH, group: str | None = None
                              F.coalesce(F.sum("all"), F.lit(0))).first()
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = block_keys(stored, depth, parts)
-    lengths = keep(code_lengths(in_buckets(counted(keys), depth), depth))
+    every = in_buckets(counted(keys), depth)
+    lengths = keep(code_lengths(every, depth))
+    drop(every)
+    found = keep(block_lengths(keys, lengths, parts))
+    drop(keys)
+    drop(lengths)
     nothing = F.lit(None)
-    of_keys = block_lengths(keys, lengths, parts).select(
+    of_keys = found.select(
         "block", "part", "values", nothing.cast("binary").alias("word"),
         nothing.cast("double").alias("value"), nothing.cast("long").alias("known"))
     of_words = block_words(stored).select("block", "word").join(words, "word").select(
