@@ -79,7 +79,8 @@ def test_templates(spark):
 
 
 def test_pages_are_told_apart_by_their_content(spark):
-    banner = "<div class=top><div>Our site, since 1999, all about words and their many uses.</div></div>"
+    banner = ("<div class=top><div>Our site, since 1999, all about words and their many uses, "
+              "and about all that is made of them.</div></div>")
     body = "<div class=text>%s</div>"
     same_title = [(i, "http://one.example/", f"<title>Site</title>{banner}"
                    + body % (f"left{i} " * 40)) for i in range(8)]
