@@ -6,10 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm.nearcopies import one_per_component
 from riskloom.llm.packing import pack
 from riskloom.llm.quality import keep_good
 from riskloom.llm.queries import table
+from riskloom.llm.simhash import one_per_group
 from riskloom.llm.substrings import without_repeats
 from riskloom.llm.tables import keep
 from riskloom.llm.tokens import tokenizer_path
@@ -22,9 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the
-    smallest id stays."""
-    return one_per_component(docs)
+    """Of every group of near copies (fingerprints of three-word shingles, linked at two or fewer
+    differing bits) the document with the smallest id stays."""
+    return one_per_group(docs, size=3, threshold=2)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
