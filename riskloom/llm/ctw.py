@@ -1,31 +1,18 @@
-"""Operator 8, language-model scores by context-tree weighting.
+"""Operator 8, the context trees of language-model scores (:mod:`riskloom.llm.running` has the texts).
 
-The model spells tokens: the bytes of a word and its end; a document ends with a token of its own.
 A byte is eight binary decisions; each decision has, at every depth from 0 to ``depth``, a node for the
-last bytes before it inside the token (a token begins behind a space), and at one more depth a node for
-the document's group, such as its language, whose own code length is part of the score. A node predicts
-by the Krichevsky-Trofimov estimate of its counts, and the depths are mixed as context-tree weighting
+last bytes before it, and at one more depth a node for the document's group, such as its language, which
+is given and costs nothing. A node predicts by the Krichevsky-Trofimov estimate of its counts, and the depths are mixed as context-tree weighting
 does: a node's weighted probability is half its own estimate's and half the product of its children's,
 so the share of each depth follows from how well it described the training text. A context that training
 never saw adds nothing: the estimate of the longest one that it saw stands.
 
-Because a token's code length depends on the token and the group alone, everything about text is counted
-once per distinct word of a group: training counts, contexts, code lengths. Documents then get the sums
-of their words' values by joining block postings (:mod:`riskloom.llm.frequencies`).
-
 The tree is cut by the last two bytes of the context: below, branches are weighted on their own where
 their counts meet; of the two depths above only 256 * 255 nodes can exist, which the driver weighs.
-
-Defined cases: a null, empty or blank text is its end alone; a null ``doc_id`` is held out (crc32 of the
-empty text), as all documents whose crc32 leaves 0; with no training document every probability is the
-estimate of no counts; repeated rows train and score as often as they occur; extra columns are ignored.
-Without a ``group`` column all documents are one group; values beyond the ``GROUPS`` most frequent of the
-training documents, and null, share a group of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -33,11 +20,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from riskloom.llm.frequencies import blocks, cut_words, postings, sums
 from riskloom.llm.tables import keep
-from riskloom.llm.words import arrow_schema, lower_words, whole_number
+from riskloom.llm.words import whole_number
 
 DEPTH = 6
 BEGIN = 0x20
@@ -202,47 +187,6 @@ def marked(docs: DataFrame, group: str | None, numbers: dict[str, int]) -> DataF
         mark, F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text"))
 
 
-def group_words(text: bytes) -> list[bytes]:
-    """The tokens of a marked text, its end among them, each behind the group's byte."""
-    mark = text[:1]
-    return [*(mark + w for w in lower_words(text[1:])), mark + END]
-
-
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """``term`` (group and word), ``c`` (occurrences in training documents) and a number ``wid``."""
-    schema = T.StructType.fromDDL("term binary, c long")
-    target = arrow_schema(schema)
-    cut = cut_words(group_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, found in blocks(batches):
-            terms, term, place = cut(found)
-            learned = ~np.array([held_out(i) for i in ids], bool)
-            counts = np.bincount(term, learned[place], len(terms)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.binary()), pa.array(counts)], schema=target)
-
-    counted = texts.mapInArrow(run, schema).groupBy("term").agg(F.sum("c").alias("c"))
-    return keep(counted.withColumn("wid", F.monotonically_increasing_id()))
-
-
-def symbols(words: DataFrame, depth: int) -> DataFrame:
-    """``wid``, ``key`` and ``c`` of every symbol of every word."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            term, key = spell(batch.column(0).to_pylist(), depth)
-            wid, c = (batch.column(i).to_numpy()[term] for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(wid), pa.array(key), pa.array(c)],
-                                             names=["wid", "key", "c"])
-
-    return words.select("term", "wid", "c").mapInArrow(run, "wid long, key long, c long")
-
-
-def contexts(words: DataFrame, depth: int) -> DataFrame:
-    """:func:`in_buckets` of every symbol of every word."""
-    return in_buckets(symbols(words, depth), depth)
-
-
 def in_buckets(found: DataFrame, depth: int) -> DataFrame:
     """``key`` and training count ``c`` of every symbol in its context, and a ``bucket`` of branches:
     as many as shuffle partitions, so that a bucket is a fair share of any vocabulary."""
@@ -273,35 +217,3 @@ def code_lengths(counted: DataFrame, depth: int) -> DataFrame:
         return pa.table({"key": found.key, "log10p": np.log10(mixed).sum(axis=0)})
 
     return by_bucket.applyInArrow(lengths, "key long, log10p double")
-
-
-def scores(docs: DataFrame, depth: int = DEPTH, group: str | None = None) -> DataFrame:
-    """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
-    ``score`` (log10) of every document, and ``bits_per_byte`` of its words, ends included."""
-    if not 2 <= depth <= 6:
-        raise ValueError("depth from 2 to 6")
-    numbers = group_numbers(docs, group)
-    texts = marked(docs, group, numbers)
-    words = vocabulary(texts)
-    word = F.expr("substring(term, 2)")
-    counts = words.groupBy(word.alias("word")).agg(F.sum("c").alias("all"))
-    known, total = counts.agg(F.count_if(F.col("all") > 0),
-                              F.coalesce(F.sum("all"), F.lit(0))).first()
-    ends = words.where(word == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    lengths = keep(code_lengths(contexts(words, depth), depth))
-    per_word = (symbols(words, depth).select("wid", "key").join(lengths, "key")
-                .groupBy("wid").agg(F.sum("log10p").alias("spelled")))
-    # a document's end also says which group it is of
-    named = F.log10((F.col("c") + 0.5) / (ends + 0.5 * (len(numbers) + 1))) if numbers else F.lit(0.0)
-    values = keep(words.join(per_word, "wid").withColumn("word", word).join(counts, "word").select(
-        "term", F.lit(1.0).alias("n"), (F.col("all") > 0).cast("double").alias("known"),
-        F.log10((F.col("all") + 0.1) / (total + 0.1 * (known + 1))).alias("base"),
-        (F.col("spelled") + F.when(F.col("word") == F.lit(END), named).otherwise(0.0))
-        .alias("score")))
-    joined = postings(texts, cut_words(group_words)).join(values, "term", "left")
-    found = sums(joined, ["n", "known", "base", "score"])
-    return found.select(
-        "doc_id", _held(found).alias("held_out"), F.col("n").cast("long").alias("n_tokens"),
-        F.col("known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"), "score",
-        (-F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"))

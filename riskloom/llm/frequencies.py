@@ -17,11 +17,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.llm.tables import PART, partition_number
 from riskloom.llm.words import arrow_schema, utf8, whole_number
 
 #: Bytes of text and documents after which a task closes a block; a longer text is its own block.
@@ -34,10 +34,12 @@ Cut = Callable[[list[bytes]], tuple[list[bytes], np.ndarray, np.ndarray]]
 
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES
            ) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(block number, ids, texts): numbers are unique over all tasks of a job."""
-    number = TaskContext.get().partitionId() << 32
-    ids, texts, size = [], [], 0
+    """(block number, ids, texts) of batches of an id, a text and the partition's number: block numbers
+    are unique over all partitions."""
+    number, ids, texts, size = -1, [], [], 0
     for batch in batches:
+        if number < 0 and len(batch):
+            number = batch.column(PART)[0].as_py() << 32
         for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
             ids.append(i)
             texts.append(t)
@@ -109,7 +111,7 @@ def postings(docs: DataFrame, cut: Cut, text: str = "text", key: str = "doc_id")
                 [pa.array([terms[i] for i in term[starts]], pa.binary()),
                  pa.array(np.full(len(starts), number)), post], schema=target)
 
-    return docs.select(whole_number(key), text).mapInArrow(run, schema)
+    return docs.select(whole_number(key), text, partition_number()).mapInArrow(run, schema)
 
 
 def vocabulary(docs: DataFrame, cut: Callable[[list[bytes]], list[bytes]], text: str = "text",
@@ -122,7 +124,8 @@ def vocabulary(docs: DataFrame, cut: Callable[[list[bytes]], list[bytes]], text:
         for _, _, texts in blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(cut(texts), pa.binary())], schema=target)
 
-    return docs.select(whole_number(key), text).mapInArrow(run, schema).distinct()
+    return docs.select(whole_number(key), text, partition_number()).mapInArrow(
+        run, schema).distinct()
 
 
 #: Entries a task gathers before it adds them up and hands the sums on.

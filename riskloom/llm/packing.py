@@ -23,11 +23,11 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.llm.tables import PART, partition_number
 from riskloom.llm.tokens import coder
 from riskloom.llm.words import arrow_schema, whole_number
 
@@ -114,18 +114,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
             [pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = Bins(capacity, finest, last, TaskContext.get().partitionId() << 33)
-        ids = coder(tokenizer).ids
+        bins, ids = None, coder(tokenizer).ids
         for batch in batches:
+            if bins is None and len(batch):
+                bins = Bins(capacity, finest, last, batch.column(PART)[0].as_py() << 33)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 bins.add(doc_id, ids(text or "") + end)
                 if len(bins.done) >= ROWS:
                     yield out(bins.done)
                     bins.done = []
-        bins.pour()
-        yield out(bins.done)
+        if bins is not None:
+            bins.pour()
+            yield out(bins.done)
 
-    return docs.select(whole_number("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(whole_number("doc_id"), "text", partition_number()).mapInArrow(run, schema)
 
 
 def sequences(pieces: DataFrame, capacity: int = 2048, pad_id: int = 0) -> DataFrame:

@@ -24,13 +24,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.llm.components import components
-from riskloom.llm.tables import keep
+from riskloom.llm.tables import PART, keep, partition_number
 from riskloom.llm.words import arrow_schema
 
 MARKERS = re.compile(r"^(?:[ \t]*>)+").match
@@ -88,10 +87,11 @@ def messages(chats: DataFrame) -> DataFrame:
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << SHIFT
-        last: tuple | None = None
+        number, last = -1, None
         for batch in batches:
             rows = []
+            if number < 0 and len(batch):
+                number = batch.column(PART)[0].as_py() << SHIFT
             for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns[:4])):
                 prev = number - 1 if last is not None and last[0] == conv else None
                 content, own, quoted = parse(text)
@@ -103,7 +103,8 @@ def messages(chats: DataFrame) -> DataFrame:
     picked = chats.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         "role", "text").withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return _ranges(picked, "conv_id", "turn", "role", "tie").mapInArrow(run, schema)
+    return _ranges(picked, "conv_id", "turn", "role", "tie").select(
+        "*", partition_number()).mapInArrow(run, schema)
 
 
 def _previous(found: DataFrame) -> DataFrame:
@@ -135,10 +136,11 @@ def sources(found: DataFrame) -> DataFrame:
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        first = last = source = None
+        part = first = last = source = None
         for batch in batches:
             rows = []
+            if part is None and len(batch):
+                part = batch.column(PART)[0].as_py()
             data = batch.select(["conv_id", "line", "id", "level"]).columns
             for conv, line, ident, level in zip(*(c.to_pylist() for c in data)):
                 if last != (conv, line):
@@ -153,7 +155,8 @@ def sources(found: DataFrame) -> DataFrame:
             yield _batch([(part, None, None, *last, source, int(first == last))], target)
 
     linked = keep(_ranges(both, "conv_id", "line", "id", "writes")
-                  .select("conv_id", "line", "id", "level").mapInArrow(run, schema))
+                  .select("conv_id", "line", "id", "level", partition_number())
+                  .mapInArrow(run, schema))
     ends = linked.where("id IS NULL").orderBy("part").collect()  # a row per partition
     carried, state = [], None
     for r in ends:

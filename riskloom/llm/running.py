@@ -5,6 +5,12 @@ the context of a byte are the bytes before it up to the model's depth, reset onl
 Texts are cut into blocks that are kept; a block sends each distinct symbol in its context once, with its
 training count, packed by shares of all keys, and gets the code lengths back in the same order, so what is moved
 follows the distinct contexts of a block and not its bytes.
+
+Defined cases: a null, empty or blank text is its end alone; a null ``doc_id`` is held out (crc32 of the
+empty text), as all documents whose crc32 leaves 0; with no training document every probability is the
+estimate of no counts; repeated rows train and score as often as they occur; extra columns are ignored; an
+empty table gives no rows. Without a ``group`` column all documents are one group; values beyond the
+``GROUPS`` most frequent of the training documents, and null, share a group of their own.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import types as T
 from riskloom.llm.ctw import (DEPTH, END, _held, code_lengths, group_numbers, held_out, in_buckets,
                               marked, spell)
 from riskloom.llm.frequencies import blocks
-from riskloom.llm.tables import drop, keep
+from riskloom.llm.tables import drop, keep, partition_number
 from riskloom.llm.words import arrow_schema, lower_words
 
 #: Bytes of text that are spelled at once.
@@ -48,7 +54,7 @@ def block_table(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(row, target)], schema=target)
 
-    return keep(texts.mapInArrow(run, BLOCK))
+    return keep(texts.select("*", partition_number()).mapInArrow(run, BLOCK))
 
 
 def documents(ends: list[int], data: bytes) -> list[bytes]:
@@ -222,7 +228,9 @@ def added(stored: DataFrame, values: DataFrame, depth: int, parts: int) -> DataF
 
 
 def running_scores(docs: DataFrame, depth: int = DEPTH, group: str | None = None) -> DataFrame:
-    """The columns of :func:`riskloom.llm.ctw.scores`, the score over the running text."""
+    """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
+    ``score`` (log10 probability of the running text, given the group) of every document, and its
+    ``bits_per_byte``."""
     if not 2 <= depth <= 6:
         raise ValueError("depth from 2 to 6")
     numbers = group_numbers(docs, group)
@@ -248,17 +256,8 @@ def running_scores(docs: DataFrame, depth: int = DEPTH, group: str | None = None
         F.log10((F.col("all") + 0.1) / (total + 0.1 * (known + 1))).alias("value"),
         (F.col("all") > 0).cast("long").alias("known"))
     found = added(stored, of_keys.unionByName(of_words), depth, parts)
-    score = F.col("score")
-    if numbers:  # a document's end also says which group it is of
-        ends = {r.mark[0]: r["count"] for r in texts.where(~_held(texts)).groupBy(
-            F.expr("substring(text, 1, 1)").alias("mark")).count().collect()}  # 201 rows at most
-        all_ends = sum(ends.values())
-        names = {n: float(np.log10((ends.get(n, 0) + 0.5) / (all_ends + 0.5 * (len(numbers) + 1))))
-                 for n in range(len(numbers) + 1)}
-        table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-        score = score + F.element_at(table, F.col("number"))
     return found.select(
         "doc_id", _held(found).alias("held_out"), F.col("n").alias("n_tokens"),
         F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"), score.alias("score"),
-        (-score * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"))
+        F.col("base").alias("base_score"), "score",
+        (-F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"))

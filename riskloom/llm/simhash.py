@@ -60,11 +60,15 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int(packed.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` of every document, one narrow stage."""
-    return per_row(docs, "doc_id long, fp long",
-                   lambda d: [d["doc_id"], [fingerprint(t, size) for t in d["text"]]],
-                   [whole_number("doc_id"), "text"])
+def fingerprints(docs: DataFrame, size: int = 3, carried: list[F.Column] | None = None) -> DataFrame:
+    """``doc_id``, or the named columns ``carried``, and ``fp`` of every document, one narrow stage."""
+    columns = carried or [whole_number("doc_id")]
+    given = docs.select(*columns).schema
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given)
+    return per_row(docs, f"{schema}, fp long",
+                   lambda d: [*(d[c] for c in given.names),
+                              [fingerprint(t, size) for t in d["text"]]],
+                   [*columns, "text"])
 
 
 def _remainder(word: int) -> int:
@@ -174,9 +178,17 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 2) -> DataF
 
 
 def one_per_group(docs: DataFrame, size: int = 3, threshold: int = 2) -> DataFrame:
-    """One document of each component, that with the smallest id; documents without an id stay."""
-    found = near_duplicates(docs, size, threshold)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    own = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return own.join(first, own["doc_id"] == first["_first"], "left_semi").unionByName(
-        docs.where("doc_id IS NULL"))
+    """One row of each component, all columns: that with the smallest id and, among equal ids, the
+    smallest hash of its text; rows without an id come last. Of rows equal in both one stays."""
+    place = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(whole_number("doc_id"), F.lit(0)),
+             "_sum": F.xxhash64(F.coalesce("text", F.lit("")))}
+    carried = [c.alias(name) for name, c in place.items()]
+    rows = keep(fingerprints(docs, size, carried))
+    prints = keep(rows.select("fp").distinct())
+    roots = components(links(prints, threshold))
+    first = (rows.join(roots, rows["fp"] == roots["node"], "left")
+             .groupBy(F.coalesce("root", "fp")).agg(F.min(F.struct(*place)).alias("place"))
+             .select("place.*"))
+    own = docs.withColumns(place)
+    return own.join(first, list(place), "left_semi").dropDuplicates(list(place)).select(
+        *(F.col(f"`{c}`") for c in docs.columns))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.llm.fmindex import FMIndex
-from riskloom.llm.tables import keep
+from riskloom.llm.tables import drop, keep
 from riskloom.llm.words import arrow_schema, utf8
 
 WINDOW, GRAM = 35, 8
@@ -293,9 +293,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crow
                    shard_words: int = SHARD_WORDS) -> DataFrame:
     """``id``, ``sum`` and ``hits`` (first word of a segment and ranges inside it) of every document
     that holds a repeated window."""
-    every = document_segments(docs, window, gram)
-    often = every.groupBy("mini").count().where("count > 1").select("mini")
-    found = keep(every.join(often, "mini", "left_semi"))
+    every = keep(document_segments(docs, window, gram))
+    often = keep(every.groupBy("mini").count().where("count > 1").select("mini"))
+    found = keep(every.join(often, "mini", "left_semi"))  # of two stored tables: hot minimizers split
+    drop(every)
     # a row per distinct segment, with one place where its words can be read
     distinct = keep(found.groupBy("mini", "seg", "n").agg(
         (F.count("*") > 1).alias("twice"), F.min(F.struct("id", "sum", "first")).alias("place"))

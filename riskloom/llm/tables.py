@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from riskloom.session import scratch
 
-FILES_PER_CORE = 4
+#: The column that tells a task of Python which partition its rows are of.
+PART = "_part"
+
+
+def partition_number() -> Column:
+    """The number of the partition that a row is in, for a projection right above the sort or scan
+    that made the partitions. Python tasks must not ask their task instead: where a later step merges
+    partitions, one task runs several of them."""
+    return F.spark_partition_id().alias(PART)
 
 
 def release_shuffles(df: DataFrame) -> None:
@@ -19,10 +28,9 @@ def release_shuffles(df: DataFrame) -> None:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The same rows, written once and read from the shared folder from now on, in a few files per
-    core instead of one per shuffle partition."""
+    """The same rows, written once and read from the shared folder from now on."""
     path = scratch(df.sparkSession)
-    df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+    df.write.parquet(path)
     release_shuffles(df)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept.riskloom_path = path

@@ -28,12 +28,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.llm.eliasfano import Decoder, encode
+from riskloom.llm.tables import PART, partition_number
 from riskloom.llm.tokens import coder
 from riskloom.llm.words import arrow_schema
 
@@ -85,7 +85,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
         code = coder(tokenizer)
         top = max(end_id, code.tokenizer.get_vocab_size(with_added_tokens=True) - 1)
         width = 2 if top < 1 << 16 else 4
-        shard, segment, before = TaskContext.get().partitionId(), 0, 0
+        shard, segment, before = None, 0, 0
         doc_ids: list[int | None] = []
         lengths: list[int] = []
         held: list[bytes] = []
@@ -98,6 +98,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
                 [pa.array([v], f.type) for v, f in zip(values, target)], schema=target)
 
         for batch in batches:
+            if shard is None and len(batch):
+                shard = batch.column(PART)[0].as_py()
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = code.ids(text or "") + end
                 if size and size + len(ids) // 4 > segment_ids:
@@ -115,7 +117,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
         "tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     (named.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-     .drop("tie").mapInArrow(run, schema)
+     .select("doc_id", "text", partition_number()).mapInArrow(run, schema)
      .write.option("compression", "zstd").parquet(path))
 
 

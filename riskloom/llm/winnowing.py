@@ -6,7 +6,7 @@ equal hashes, so a shared window always shares a fingerprint, and neighbouring w
 same one, which leaves about a quarter of the hashes. Documents meet the benchmark's windows by
 fingerprint; a hit is then extended to the whole window, word by word, inside the document.
 
-The benchmark is broadcast only if its windows were counted and are at most ``broadcast_rows``;
+The benchmark is broadcast only if its windows were measured and are at most ``broadcast_bytes``;
 otherwise the fingerprints meet in a shuffled join that adaptive execution splits where it is skewed.
 Texts return to their hits by document id and text hash in one shuffle.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.tables import keep
 
-WINDOW, GRAM, BROADCAST_ROWS = 10, 4, 200_000
+WINDOW, GRAM, BROADCAST_BYTES = 10, 4, 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -93,12 +93,15 @@ def _met(length: int) -> Column:
     return F.transform(f"_at{length}", lambda i: F.array_join(F.slice("_words", i, length), " "))
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, broadcast_rows: int
-          ) -> DataFrame:
-    """``docs`` with ``words``, ``covered`` (places inside a shared window) and ``items``."""
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, broadcast_bytes: int,
+          all_words: bool = True) -> DataFrame:
+    """``docs`` with ``_words``, ``_covered`` (places inside a shared window) and ``_items``; without
+    ``all_words`` the words are those of documents with a common fingerprint alone."""
     known = benchmark_windows(benchmark, window, gram)
     lengths = [r.length for r in known.select("length").distinct().collect()]  # at most ``window``
-    small = known.count() <= broadcast_rows
+    size = F.octet_length("words") + F.aggregate(
+        "items", F.lit(0), lambda total, item: total + F.octet_length(item) + 24)
+    small = known.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= broadcast_bytes
     named = docs.withColumns({
         "_id": F.col("doc_id").cast("long"), "_sum": F.xxhash64(F.coalesce("text", F.lit("")))})
     cut = named.select("_id", "_sum", words("text").alias("words"))
@@ -120,8 +123,10 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, broadca
     met = named.alias("d").join(hits.alias("h"), F.expr("d._id <=> h._id AND d._sum = h._sum"),
                                 "left")
     none = F.array().cast("array<string>")
+    # one row out of a generator: a filter on what is covered stays above it, so words are cut once
+    cut_once = words("text") if all_words else F.when(F.col("hits").isNotNull(), words("text"))
     step = met.select(
-        *(f"d.{c}" for c in carried), words("text").alias("words"),
+        *(f"d.{c}" for c in carried), F.explode(F.array(cut_once)).alias("words"),
         F.col("hits"), F.coalesce(F.col("hits.words"), none).alias("known"),
         F.coalesce(F.array_distinct(F.transform(
             "hits.words", lambda w: F.substring_index(w, " ", 1))), none).alias("firsts"))
@@ -137,12 +142,12 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, broadca
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM,
-                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_hit`` (words inside a shared window), ``n_items``, ``items_sha256``
     (of the items' ids, sorted and joined by commas) and ``contaminated``."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = F.size("_covered").cast("long")
-    return _hits(picked, benchmark, window, gram, broadcast_rows).select(
+    return _hits(picked, benchmark, window, gram, broadcast_bytes).select(
         "doc_id", F.size("_words").cast("long").alias("n_words"), n.alias("n_hit"),
         F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
@@ -150,9 +155,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                         gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                         gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents that share no window with the benchmark, all columns."""
-    return _hits(docs, benchmark, window, gram, broadcast_rows).where(
+    return _hits(docs, benchmark, window, gram, broadcast_bytes, all_words=False).where(
         F.size("_covered") == 0).select(*(f"`{c}`" for c in docs.columns))
 
 

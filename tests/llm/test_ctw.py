@@ -1,4 +1,4 @@
-"""Operator 8 against a plain recursive context tree, and its gain on held-out text."""
+"""Operator 8 a plain recursive context tree, its probabilities and the spelling of texts."""
 
 import math
 from collections import Counter, defaultdict
@@ -8,7 +8,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from riskloom.llm.ctw import BEGIN, END, log_kt, scores, spell
+from riskloom.llm.ctw import BEGIN, log_kt, spell
 
 
 def is_held(doc_id):
@@ -72,39 +72,6 @@ class Plain:
         return total
 
 
-def plain(rows, depth, groups=False):
-    seen = Counter(r.lang for r in rows if groups and r.lang and not is_held(r.doc_id))
-    number = {v: i for i, v in enumerate(sorted(seen, key=lambda v: (-seen[v], v)), 1)}
-    marks = [bytes([number.get(r.lang, 0) if groups else 0]) for r in rows]
-    tokens = [(r.text or "").encode().lower().split() + [END] for r in rows]
-    train = Counter(t for r, ts in zip(rows, tokens) if not is_held(r.doc_id) for t in ts)
-    in_group = Counter(m + t for m, r, ts in zip(marks, rows, tokens)
-                       if not is_held(r.doc_id) for t in ts)
-    for m, ts in zip(marks, tokens):
-        for t in ts:
-            in_group.setdefault(m + t, 0)
-    n, v = sum(train.values()), len(train)
-    model = Plain(in_group, depth + 1)
-    out = []
-    for r, m, ts in zip(rows, marks, tokens):
-        base = sum(math.log10((train[t] + .1) / (n + .1 * (v + 1))) for t in ts)
-        name = math.log10((in_group[m + END] + .5) / (train[END] + .5 * (len(number) + 1))) \
-            if number else 0.0
-        out.append((str(r.doc_id), is_held(r.doc_id), len(ts), sum(train[t] > 0 for t in ts), n,
-                    base, name + sum(model.token(m + t) for t in ts)))
-    return sorted(out)
-
-
-@pytest.mark.parametrize("depth", [2, 3, 6])
-def test_edges(edges, depth):
-    compare(scores(edges, depth).collect(), plain(edges.collect(), depth))
-
-
-def test_documents(documents):
-    few = documents.where("length(text) < 1500")
-    compare(scores(few, 3, group="lang").collect(), plain(few.collect(), 3, True))
-
-
 def compare(got, want):
     got = sorted((str(r.doc_id), *tuple(r)[1:7]) for r in got)
     assert [g[:5] for g in got] == [w[:5] for w in want]
@@ -112,16 +79,6 @@ def compare(got, want):
         assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-7)
 
 
-def test_no_document(nothing):
-    assert scores(nothing).count() == 0
-
-
-def test_held_out_text_is_described_better_than_by_the_base(documents):
-    held = [r for r in scores(documents, group="lang").collect()
-            if r.held_out]
-    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
 def test_probabilities_add_up():
     model = Plain(Counter({b"\x01ab": 5, b"\x01abc": 2, b"\x01\n": 3}), 3)
     total = 0.0

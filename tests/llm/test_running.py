@@ -20,15 +20,13 @@ def plain(rows, depth, groups):
     whole = [m + b" ".join(ts) for m, ts in zip(marks, tokens)]
     learned = Counter({w: 0 for w in whole})
     learned.update(w for r, w in zip(rows, whole) if not is_held(r.doc_id))
-    ends = Counter(m for r, m in zip(rows, marks) if not is_held(r.doc_id))
     n, v = sum(train.values()), len(train)
     model = Plain(learned, depth + 1)
     out = []
-    for r, m, ts, w in zip(rows, marks, tokens, whole):
+    for r, ts, w in zip(rows, tokens, whole):
         base = sum(math.log10((train[t] + .1) / (n + .1 * (v + 1))) for t in ts)
-        name = math.log10((ends[m] + .5) / (ends.total() + .5 * (len(number) + 1))) if number else 0.0
         out.append((str(r.doc_id), is_held(r.doc_id), len(ts), sum(train[t] > 0 for t in ts), n,
-                    base, name + model.token(w)))
+                    base, model.token(w)))
     return sorted(out)
 
 
@@ -39,6 +37,26 @@ def test_edges(edges, groups):
     compare(got, plain(few.collect(), 3, groups))
 
 
+def test_many_partitions(spark, documents):
+    few = documents.where("length(text) < 700").limit(60)
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        got = running_scores(few.repartition(64), 2).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    compare(got, plain(few.collect(), 2, False))
+
+
+def test_held_out_text_needs_fewer_bits_than_single_bytes(documents):
+    held = {r.doc_id: r for r in running_scores(documents, group="lang").collect() if r.held_out}
+    texts = {r.doc_id: (r.text or "").encode().lower() for r in documents.collect()}
+    seen = Counter(b for i, t in texts.items() if i not in held for b in t)
+    bits = [-math.log2((seen[b] + .5) / (seen.total() + 128)) for i in held for b in texts[i]]
+    sizes = sum(len(texts[i]) for i in held)
+    assert sum(r.bits_per_byte * len(texts[i]) for i, r in held.items()) / sizes \
+        < sum(bits) / sizes / 1.6
+
+
 def test_order_of_words_counts(spark):
     rng = random.Random(3)
     words = "alpha beta gamma delta".split()

@@ -45,11 +45,11 @@ def benchmark(spark, sf):
     return spark.read.parquet(f"{sf}/benchmark.parquet")
 
 
-@pytest.mark.parametrize("rows", [200_000, 0])
-def test_documents(documents, benchmark, rows):
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_documents(documents, benchmark, limit):
     want = plain(documents.collect(), benchmark.collect())
     assert sum(1 for r in want if r[5]) >= 3  # the small table has three
-    got = decontaminate(documents, benchmark, broadcast_rows=rows)
+    got = decontaminate(documents, benchmark, broadcast_bytes=limit)
     assert Counter(map(tuple, got.collect())) == want
 
 
