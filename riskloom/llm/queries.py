@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import quotes, winnowing
+from riskloom.llm import exact, phrases, quotes, search, winnowing
 from riskloom.llm.packing import pack
 from riskloom.llm.pages import main_text
 from riskloom.llm.quality import quality
@@ -72,6 +72,18 @@ def op10_pretoken_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_term_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op12_content_sort(spark: SparkSession, sf: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf, "documents"))
+
+
+def op13_phrase_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_simhash_anchors": op1_simhash_anchors,
     "op2_fm_substrings": op2_fm_substrings,
@@ -83,5 +95,10 @@ QUERIES = {
     "op8_context_trees": op8_context_trees,
     "op9_compression_bands": op9_compression_bands,
     "op10_pretoken_counts": op10_pretoken_counts,
+    "op11_term_scan": op11_term_scan,
+    "op12_content_sort": op12_content_sort,
+    "op13_phrase_graph": op13_phrase_graph,
 }
-SQL = {"op3_quotation_links": quotes.SQL, "op7_winnowing": winnowing.SQL}
+SQL = {"op3_quotation_links": quotes.SQL, "op7_winnowing": winnowing.SQL,
+       "op11_term_scan": search.SQL, "op12_content_sort": exact.SQL,
+       "op13_phrase_graph": phrases.SQL}

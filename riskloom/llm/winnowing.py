@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.tables import keep
+from riskloom.llm.words import LOWER, UPPER
 
 WINDOW, GRAM, BROADCAST_BYTES = 10, 4, 64 << 20
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 

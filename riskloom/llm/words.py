@@ -7,6 +7,8 @@ Texts travel as UTF-8 bytes: ``bytes.split`` cuts exactly at the six ASCII white
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from string import ascii_lowercase as LOWER
+from string import ascii_uppercase as UPPER
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
