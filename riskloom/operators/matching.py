@@ -1,9 +1,10 @@
 """Needle rules over a corpus.
 
-A rule needs its needles somewhere in the file before a line can hold them, so rules are first
-joined to whole files (language as key, ``contains`` as residual condition) and only the surviving
-(file, rule) pairs look at lines. Files are never shuffled: the rules side is broadcast after its
-size was measured, and a rules table above the limit is cut into slices that each fit.
+A file meets all rules of its language at once: they are one array in one broadcast row. A rule needs its
+needles somewhere in the file before a line can hold them, so the array is first cut to the rules that
+fit the whole text; a file is split into lines once for all of these, and its hits are one array until
+they leave the file. Files are never shuffled: the rules side is broadcast after its size was measured,
+and a rules table above the limit is cut into slices that each fit.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.scoring import with_scores
 from riskloom.functions.severity import rank
 from riskloom.functions.text import ascii_lower, byte_column, lines_of, trim_white
+from riskloom.sources.reports import parsed_once
 
 MARKER = "riskloom:ignore"
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -104,75 +106,114 @@ def rule_slices(rules: DataFrame, limit: int = BROADCAST_BYTES) -> list[DataFram
     n = max(1, -(-total // limit))
     if n == 1:
         return [rules]
-    slot = F.pmod(F.xxhash64("id", F.to_json(F.struct("*"))), F.lit(n))
+    slot = F.pmod(F.xxhash64("id"), F.lit(n))  # rules of one id stay together
     return [rules.where(slot == i) for i in range(n)]
 
 
+#: What a hit takes from its rule.
+RULE_FIELDS = ("severity", "confidence", "category", "cwe_id", "owasp_category", "tags",
+               "ai_tendency", "fix_suggestion")
+
+
+def language_rules(rules: DataFrame) -> DataFrame:
+    """A row per language: its rules as an array, and whether two of them share an id. This is what is
+    broadcast, so it stays below the measured limit."""
+    languages = F.array_distinct(F.transform("languages", ascii_lower))
+    return (rules.select(F.struct(*rules.columns).alias("rule"),
+                         F.explode(languages).alias("_language"))
+            .groupBy("_language").agg(
+                F.collect_list("rule").alias("_known"),
+                (F.count("*") > F.count_distinct("rule.id")).alias("_twins")))
+
+
 def candidates(corpus: DataFrame, rules: DataFrame, marker: str = MARKER) -> DataFrame:
-    """Files with the rules that can hit them: language, needles, negative patterns (R3) and
-    whole-file suppression (R5) decided on the whole text."""
-    files = corpus.withColumn("_lower", ascii_lower("content"))
+    """Files with ``_rules``, the rules that can hit them: needles, negative patterns (R3) and whole-file
+    suppression (R5) decided on the lower-cased text ``_lower``. A file meets its language's rules in
+    one row; files without a rule that fits are gone."""
+    def fits(rule: Column) -> Column:
+        text, rid = F.col("_lower"), ascii_lower(rule["id"])
+        return (
+            _all_in(rule["pattern_all"], text) & _one_in(rule["pattern_any"], text)
+            & ((F.size(rule["pattern_all"]) > 0) | (F.size(rule["pattern_any"]) > 0))
+            & _none_in(rule["negative_patterns"], text)
+            & ~F.exists("_tails", lambda t: _applies(t, rid)))
+
+    files = corpus.withColumn("_language", ascii_lower("language")).join(
+        F.broadcast(language_rules(rules)), "_language")
+    files = parsed_once(files, "_lower", ascii_lower("content"))
     files = files.withColumn("_tails", file_tails(F.col("_lower"), marker))
-    files = files.withColumn("_language", ascii_lower("language"))
-    text = F.col("_lower")
-    wanted = rules.select(F.struct(*rules.columns).alias("rule"),
-                          F.explode(F.array_distinct(F.transform("languages", ascii_lower)))
-                          .alias("_language"))
-    rid = ascii_lower(F.col("rule.id"))
-    fits = (
-        _all_in(F.col("rule.pattern_all"), text) & _one_in(F.col("rule.pattern_any"), text)
-        & ((F.size("rule.pattern_all") > 0) | (F.size("rule.pattern_any") > 0))
-        & _none_in(F.col("rule.negative_patterns"), text)
-        & ~F.exists("_tails", lambda t: _applies(t, rid))
-    )
-    return files.join(F.broadcast(wanted), "_language").where(fits).drop("_tails", "_language")
-
-
-def _positions(lines: Column, keep) -> Column:
-    """0-based positions of the lines for which ``keep`` holds."""
-    found = F.transform(lines, lambda line, i: F.when(keep(line), i))
-    return F.filter(found, lambda i: i.isNotNull())
-
-
-def _hits(pairs: DataFrame, marker: str) -> DataFrame:
-    """Line hits (R1, R2, R4) of (file, rule) pairs. Positions are found on the lower-cased lines;
-    the original text is split only for pairs that hit, and suppression is looked up only in files
-    that hold a marker."""
-    rid = ascii_lower(F.col("rule.id"))
+    files = parsed_once(files, "_rules", F.filter("_known", fits))
+    return files.where(F.size("_rules") > 0).drop("_tails", "_language", "_known")
+
+
+def _line_marks(lines: Column, marker: str) -> Column:
+    """Position and tail of the lines with a marker; a whole-file marker is no line marker."""
+    found = F.transform(lines, lambda low, i: F.struct(
+        i.alias("at"), _tail(low, marker).alias("tail"),
+        low.contains(marker + "-file").alias("whole")))
+    marks = F.filter(found, lambda m: m["tail"].isNotNull() & ~m["whole"])
+    return F.when(F.col("_lower").contains(marker), marks).otherwise(
+        F.array().cast("array<struct<at: int, tail: string, whole: boolean>>"))
+
+
+def _rule_hits(rule: Column) -> Column:
+    """The hits (R1, R2, R4) of one rule on the lines ``_low`` of a file. Suppression is looked up among
+    the file's marks, usually none."""
+    rid = ascii_lower(rule["id"])
+    needles = F.concat(rule["pattern_any"], rule["pattern_all"])
 
     def matches(low: Column) -> Column:
-        return (_all_in(F.col("rule.pattern_all"), low) & _one_in(F.col("rule.pattern_any"), low)
-                & _none_in(F.col("rule.pattern_not"), low))
+        return (_all_in(rule["pattern_all"], low) & _one_in(rule["pattern_any"], low)
+                & _none_in(rule["pattern_not"], low))
 
     def shown(i: Column) -> Column:
-        hidden = F.array_contains("_hidden", i) | F.array_contains("_hidden", i - 1)
-        return F.col("_hidden").isNull() | ~hidden
-
-    keep = [c for c in pairs.columns if c not in ("_lower", "content", "rule")]
-    staged = pairs.withColumn("_low", lines_of("_lower"))
-    staged = staged.withColumn("_hidden", F.when(
-        F.col("_lower").contains(marker),
-        _positions(F.col("_low"), lambda low: line_suppressed(low, rid, marker))))
-    staged = staged.withColumn("_hit", F.filter(_positions(F.col("_low"), matches), shown))
-    staged = staged.withColumn("_lines", F.when(F.size("_hit") > 0, lines_of("content")))
-    found = F.when(F.col("_lines").isNotNull(), F.transform("_hit", lambda i: F.struct(
-        (i + 1).alias("line"), F.get(F.col("_low"), i).alias("low"),
-        F.get(F.col("_lines"), i).alias("text"))))
-    hits = staged.select(*keep, "rule", F.explode(found).alias("hit"))
-    needles = F.concat("rule.pattern_any", "rule.pattern_all")
-    column = F.array_min(F.transform(needles, lambda n: byte_column(F.col("hit.low"), n)))
+        return ~F.exists("_marks", lambda m: ((m["at"] == i) | (m["at"] == i - 1))
+                         & _applies(m["tail"], rid))
+
+    def hit(i: Column) -> Column:
+        low = F.get(F.col("_low"), i)
+        column = F.array_min(F.transform(needles, lambda n: byte_column(low, n)))
+        return F.struct(
+            rule["id"].alias("id"), (i + 1).cast("int").alias("line"),
+            column.cast("int").alias("column"), rule["title"].alias("title"),
+            *(rule[f].alias(f) for f in RULE_FIELDS))
+
+    at = F.filter(F.transform("_low", lambda low, i: F.when(matches(low), i)),
+                  lambda i: i.isNotNull() & shown(i))
+    return F.transform(at, hit)
+
+
+def _hits(files: DataFrame, marker: str, unique: bool) -> DataFrame:
+    """The hits of :func:`candidates`, in one array per file until they leave it. The lower-cased text is
+    split once, the original one only in files with a hit."""
+    kept = [c for c in files.columns if c not in ("_lower", "content", "_rules", "_twins")]
+    staged = parsed_once(files, "_low", lines_of("_lower"))
+    staged = parsed_once(staged, "_marks", _line_marks(F.col("_low"), marker))
+    staged = parsed_once(staged, "_all", F.flatten(F.transform("_rules", _rule_hits)))
+    staged = staged.where(F.size("_all") > 0)
+    found = F.col("_all")
+    if unique:  # R6 inside the file: the smallest column, then title, of equal ids on a line
+        staged = parsed_once(staged, "_sorted", F.when(F.col("_twins"), F.array_sort("_all")))
+
+        def first(hit: Column, i: Column) -> Column:
+            before = F.get(F.col("_sorted"), i - 1)
+            return (i == 0) | (before["id"] != hit["id"]) | (before["line"] != hit["line"])
+
+        found = F.when(F.col("_twins"), F.filter("_sorted", first)).otherwise(found)
+    lines = parsed_once(staged, "_lines", lines_of("content"))
+    hits = lines.select(*kept, "_lines", F.explode(found).alias("hit"))
     return hits.select(
-        *keep, "rule.id", "rule.title", "rule.severity", F.col("hit.line").cast("int").alias("line"),
-        column.cast("int").alias("column"), trim_white(F.col("hit.text")).alias("snippet"),
-        "rule.confidence", "rule.category", "rule.cwe_id", "rule.owasp_category", "rule.tags",
-        "rule.ai_tendency", "rule.fix_suggestion")
+        *kept, "hit.id", "hit.title", "hit.severity", "hit.line", "hit.column",
+        trim_white(F.get(F.col("_lines"), F.col("hit.line") - 1)).alias("snippet"),
+        *(f"hit.{f}" for f in RULE_FIELDS[1:]))
 
 
 def match_rules(corpus: DataFrame, rules: DataFrame, marker: str = MARKER,
-                limit: int = BROADCAST_BYTES) -> DataFrame:
+                limit: int = BROADCAST_BYTES, unique: bool = False) -> DataFrame:
     """Hits of ``rules`` in a corpus of ``path, language, content`` (and any other columns,
-    which are kept). No shuffle; the corpus is read once per rules slice, that is once."""
-    parts = [_hits(candidates(corpus, part, marker), marker)
+    which are kept). No shuffle; the corpus is read once per rules slice, that is once. With ``unique``
+    (R6) equal rule ids hit a line of a file once."""
+    parts = [_hits(candidates(corpus, part, marker), marker, unique)
              for part in rule_slices(rules, limit)]
     return reduce(DataFrame.unionByName, parts)
 

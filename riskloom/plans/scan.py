@@ -51,10 +51,9 @@ def scan(corpus: DataFrame, rules: DataFrame, options: ScanOptions = ScanOptions
         chosen = ai_only(chosen, 0.70 if prior is None else prior)
     files = exclude_paths(corpus, options.exclude)
     columns = schemas.FINDING.fieldNames()
-    hits = match_rules(files, chosen, options.marker)
+    hits = match_rules(files, chosen, options.marker, unique=True)
     routes = [f"{options.id_prefix}{i}" for i in ROUTE_IDS] if options.cross_file else []
-    ids = chosen.groupBy("id").count()
-    if ids.where((F.col("count") > 1) | F.col("id").isin(routes)).isEmpty():
+    if not routes or chosen.where(F.col("id").isin(routes)).isEmpty():
         out = with_scores(hits).select(*columns)
         if options.cross_file:
             out = union_findings(

@@ -351,3 +351,26 @@ def test_context_and_prompt(spark):
     assert (got[7]["context"], got[7]["context_start"]) == ("l5\nl6\nl7", 5)
     assert "line 7 of a.py" in got[7]["prompt"] and "Advice: Do\n" in got[7]["prompt"]
     assert "safest common practice" in got[1]["prompt"]
+
+
+def test_a_file_meets_its_rules_in_one_row(spark):
+    rules = [rule(f"R-{i}", pattern_any=["eval(", "a"]) for i in range(9)]
+    files = corpus(spark, [("a.py", "python", "eval(a)\nexec(b)")])
+    met = mt.candidates(files, rules_from_rows(spark, rules))
+    assert met.count() == 1 and len(met.first()["_rules"]) == 9
+    found = mt.match_rules(files, rules_from_rows(spark, rules))
+    assert found.count() == 9
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    splits = [line for line in plan.splitlines() if "Generate" in line and "split(" in line]
+    assert len(splits) == 2 and plan.count("Generate explode(transform(") == 0
+    # elsewhere only behind a whole-file marker, which few files have
+    assert all("ignore-file" in line for line in plan.splitlines()
+               if "split(" in line and "Generate" not in line)
+
+
+def test_equal_rule_ids_hit_a_line_once(spark):
+    rules = [rule("R-1", pattern_any=["b"]), rule("R-1", pattern_any=["a"]), rule("R-2", pattern_any=["a"])]
+    files = corpus(spark, [("a.py", "python", "x b a\n b")])
+    got = sorted((r.id, r.line, r.column) for r in mt.match_rules(
+        files, rules_from_rows(spark, rules), unique=True).collect())
+    assert got == [("R-1", 1, 3), ("R-1", 2, 2), ("R-2", 1, 5)]
