@@ -7,6 +7,8 @@ quoted lines come from, the later one on a tie; a message that quotes nothing kn
 before it. The first answer to a message continues its branch, every further one starts a branch of its
 own, so a branch is a linear chat; quoted lines are cut from the text.
 
+A branch is put together from unbroken stretches: only where it leaves its neighbours are links followed.
+
 Messages are sorted once over range partitions; what a row needs from the rows before it is carried
 along inside a partition, and one row per partition tells the next one where it stands. So a
 conversation, or a line, that holds a third of all messages is spread like any others, no pairs of equal
@@ -172,6 +174,47 @@ def sources(found: DataFrame) -> DataFrame:
             .where("source IS NOT NULL"))
 
 
+STEP = "part int, id long, parent long, jumps boolean, first long"
+
+
+def stretches(parents: DataFrame) -> DataFrame:
+    """``id``, ``parent``, ``jumps`` (continues the branch of a message that is not the one before it) and
+    ``first``, the message that begins the unbroken stretch of its branch in conversation order. It is
+    carried along the sorted rows, so a conversation of any length needs no rounds for what merely follows
+    its neighbour."""
+    heirs = parents.where("parent IS NOT NULL").groupBy("parent").agg(F.min("id").alias("heir"))
+    heir = F.coalesce(F.col("heir") == F.col("id"), F.lit(False))
+    follows = F.coalesce(F.col("parent") == F.col("prev"), F.lit(False))
+    flagged = parents.join(heirs, "parent", "left").select(
+        "id", "parent", (heir & follows).alias("goes_on"), (heir & ~follows).alias("jumps"))
+    schema = T.StructType.fromDDL(STEP)
+    target = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = first = None
+        for batch in batches:
+            rows = []
+            if part is None and len(batch):
+                part = batch.column(PART)[0].as_py()
+            for ident, parent, goes_on, jumps in zip(*(c.to_pylist() for c in batch.columns[:4])):
+                first = first if goes_on else ident
+                rows.append((part, ident, parent, jumps, first))
+            yield _batch(rows, target)
+        if part is not None:  # where the partition ends
+            yield _batch([(part, None, None, None, first)], target)
+
+    steps = keep(_ranges(flagged, "id").select(
+        "id", "parent", "goes_on", "jumps", partition_number()).mapInArrow(run, schema))
+    ends = steps.where("id IS NULL").orderBy("part").collect()  # a row per partition
+    carried, first = [], None
+    for r in ends:
+        carried.append((r.part, first))
+        first = r.first if r.first is not None else first
+    before = steps.sparkSession.createDataFrame(carried, "part int, before long")
+    return steps.where("id IS NOT NULL").join(F.broadcast(before), "part").select(
+        "id", "parent", "jumps", F.coalesce("first", "before").alias("first"))
+
+
 def reply_order(chats: DataFrame) -> DataFrame:
     """``conv_id``, ``turn``, ``role``, ``content`` without quotes, ``n_quoted`` lines, ``n_linked``
     lines that an earlier message wrote, ``reply_to`` (turn of the message answered) and ``branch``
@@ -181,17 +224,18 @@ def reply_order(chats: DataFrame) -> DataFrame:
     votes = (linked.where("level = 1").groupBy("id", "source").count()
              .groupBy("id").agg(F.max(F.struct("count", "source"))["source"].alias("quoted_from")))
     parents = keep(_previous(found).join(votes, "id", "left").select(
-        "id", F.coalesce("quoted_from", "prev").alias("parent")))
-    heirs = parents.where("parent IS NOT NULL").groupBy("parent").agg(F.min("id").alias("heir"))
-    roots = components(heirs)
+        "id", "prev", F.coalesce("quoted_from", "prev").alias("parent")))
+    steps = keep(stretches(parents))
+    source = steps.select(F.col("id").alias("parent"), F.col("first").alias("from"))
+    roots = components(steps.where("jumps").join(source, "parent").select("from", "first"))
     turns = found.select(F.col("id").alias("other"), F.col("turn").alias("other_turn"))
 
     def turn_of(df: DataFrame, column: str, name: str) -> DataFrame:
         return (df.join(turns, df[column] == turns["other"], "left")
                 .withColumnRenamed("other_turn", name).drop("other"))
 
-    placed = parents.join(roots, parents["id"] == roots["node"], "left").select(
-        "id", "parent", F.coalesce("root", "id").alias("root"))
+    placed = steps.join(roots, steps["first"] == roots["node"], "left").select(
+        "id", "parent", F.coalesce("root", "first").alias("root"))
     placed = turn_of(turn_of(placed, "parent", "reply_to"), "root", "branch")
     hits = linked.groupBy("id").agg(F.count("*").alias("n_linked"))
     return (found.join(placed.select("id", "reply_to", "branch"), "id").join(hits, "id", "left")
