@@ -206,8 +206,9 @@ SQL["external_eslint"] = _external_sql(
 def _round_trip_json(spark, sf) -> DataFrame:
     """The documents of a report, read back."""
     found = fd.dedup_findings(v.scanner_findings(spark, sf))
-    docs = doc.report_json(found, 100, 16, per_doc=500)
-    return rp.report_findings(docs, "document").select(
+    rows = doc.entries_of(doc.report_json(found, 100, 16), 1)
+    one = rows.select(F.concat(F.lit('{"findings":['), "entry", F.lit("]}")).alias("document"))
+    return rp.report_findings(one, "document").select(
         "id", "severity", "file", "line", "column", score("ai_confidence"), score("risk_score"),
         "category")
 
@@ -223,11 +224,12 @@ SQL["report_json"] = f"""{_SCANNER} SELECT rule_id AS id, severity, file, line,
 FROM ({_dedup_sql()})"""
 
 QUERIES["report_json_summary"] = lambda spark, sf: doc.report_json(
-    v.scanner_findings(spark, sf), 100, 16, "none").select(
+    v.scanner_findings(spark, sf), 100, 16, "none").where("part = 0").select(
+    F.concat("value", F.lit("]}")).alias("document")).select(
     *[F.get_json_object("document", f"$.summary.{p}").alias(n) for p, n in [
         ("total", "total"), ("scanned_files", "files"), ("dedup_mode", "mode"),
         ("ai_estimated", "ai"), ("top_pattern", "top"), ("by_severity.high", "high"),
-        ("by_severity.info", "info")]]).distinct()
+        ("by_severity.info", "info")]])
 SQL["report_json_summary"] = f"""{_SCANNER}, c AS (SELECT rule_id, count(*) AS n FROM s GROUP BY 1)
 SELECT count(*)::VARCHAR AS total, '100' AS files, 'none' AS mode,
   (count(*) FILTER (WHERE ai_confidence >= 70))::VARCHAR AS ai,
@@ -235,8 +237,9 @@ SELECT count(*)::VARCHAR AS total, '100' AS files, 'none' AS mode,
   (count(*) FILTER (WHERE severity = 'high'))::VARCHAR AS high,
   (count(*) FILTER (WHERE severity = 'info'))::VARCHAR AS info FROM s"""
 
-QUERIES["report_sarif"] = lambda spark, sf: rp.sarif_results(doc.report_sarif(
-    fd.dedup_findings(v.scanner_findings(spark, sf)), per_doc=500).select("document"),
+QUERIES["report_sarif"] = lambda spark, sf: rp.sarif_results(doc.entries_of(doc.report_sarif(
+    fd.dedup_findings(v.scanner_findings(spark, sf))), 3).select(F.concat(
+        F.lit('{"runs":[{"results":['), "entry", F.lit("]}]}")).alias("document")),
     "document").select("id", "level", "message", "file", "line", "column", "ai_confidence",
                        "risk_score")
 SQL["report_sarif"] = f"""{_SCANNER} SELECT rule_id AS id, CASE WHEN severity IN ('critical', 'high')

@@ -79,14 +79,16 @@ def _best_first() -> list[Column]:
             F.asc("column"), F.asc("title")]
 
 
-def dedup_findings(df: DataFrame, mode: str = "normalized") -> DataFrame:
-    """The strongest finding per file, line, category and normalised snippet. The row limit per
-    key runs before the shuffle too, so a key with very many copies sends one row per task."""
+def dedup_findings(df: DataFrame, mode: str = "normalized", by: str | None = None) -> DataFrame:
+    """The strongest finding per file, line, category and normalised snippet (and per value of the
+    column ``by``, such as a target). The row limit per key runs before the shuffle too, so a key with
+    very many copies sends one row per task."""
     if mode == "none":
         return df
     keys = {"_file": ascii_lower("file"), "_category": category_key(),
             "_snippet": normalize_snippet("snippet")}
-    order = Window.partitionBy("_file", "line", "_category", "_snippet").orderBy(*_best_first())
+    order = Window.partitionBy(*([by] if by else []), "_file", "line", "_category", "_snippet"
+                               ).orderBy(*_best_first())
     return (df.withColumns(keys).withColumn("_n", F.row_number().over(order))
             .where("_n = 1").drop("_n", *keys))
 
@@ -95,10 +97,11 @@ def _baseline_keyed(df: DataFrame) -> DataFrame:
     return df.withColumns({"_file": ascii_lower("file"), "_category": category_key()})
 
 
-def minus_baseline(df: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Findings whose (file, line, category) is not in the baseline."""
-    keys = _baseline_keyed(baseline).select("_file", "line", "_category").distinct()
-    return _baseline_keyed(df).join(keys, ["_file", "line", "_category"], "left_anti").select(
+def minus_baseline(df: DataFrame, baseline: DataFrame, by: str | None = None) -> DataFrame:
+    """Findings whose (file, line, category), and value of ``by``, is not in the baseline."""
+    on = [*([by] if by else []), "_file", "line", "_category"]
+    keys = _baseline_keyed(baseline).select(*on).distinct()
+    return _baseline_keyed(df).join(keys, on, "left_anti").select(
         *df.columns)
 
 
@@ -131,9 +134,10 @@ def cap_findings(df: DataFrame, n: int) -> DataFrame:
     return top.withColumn("dropped", F.greatest(total - F.lit(n), F.lit(0).cast("bigint")))
 
 
-def summarize_findings(df: DataFrame) -> DataFrame:
-    """G1: total and one count per severity, zero-filled."""
-    return df.agg(F.count("*").alias("total"), *severity_counts())
+def summarize_findings(df: DataFrame, by: str | None = None) -> DataFrame:
+    """G1: total and one count per severity, zero-filled; a row per value of the column ``by``."""
+    counts = [F.count("*").alias("total"), *severity_counts()]
+    return df.groupBy(by).agg(*counts) if by else df.agg(*counts)
 
 
 def by_severity_map(df: DataFrame) -> DataFrame:

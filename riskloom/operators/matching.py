@@ -218,9 +218,11 @@ def match_rules(corpus: DataFrame, rules: DataFrame, marker: str = MARKER,
     return reduce(DataFrame.unionByName, parts)
 
 
-def unique_findings(df: DataFrame, *first: str) -> DataFrame:
-    """One finding per rule, file and line, that with the smallest ``first`` columns."""
-    order = Window.partitionBy("id", "file", "line").orderBy(*first, "column", "title")
+def unique_findings(df: DataFrame, *first: str, by: str | None = None) -> DataFrame:
+    """One finding per rule, file and line (and value of ``by``), that with the smallest ``first``
+    columns."""
+    keys = [*([by] if by else []), "id", "file", "line"]
+    order = Window.partitionBy(*keys).orderBy(*first, "column", "title")
     return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
@@ -229,7 +231,8 @@ def scored_findings(corpus: DataFrame, rules: DataFrame, marker: str = MARKER) -
     return with_scores(match_rules(corpus, rules, marker)).drop("path", "language", "confidence")
 
 
-def order_findings(df: DataFrame) -> DataFrame:
-    """O1: by risk, severity, file, line; column and id make the order total."""
-    return df.orderBy(F.desc("risk_score"), F.desc(rank("severity")), "file", "line", "column",
+def order_findings(df: DataFrame, by: str | None = None) -> DataFrame:
+    """O1: by risk, severity, file, line; column and id make the order total. With ``by``, target after
+    target."""
+    return df.orderBy(*([by] if by else []), F.desc("risk_score"), F.desc(rank("severity")), "file", "line", "column",
                       "id")

@@ -31,12 +31,15 @@ class ScanOptions:
     dedup: str = "none"
     marker: str = MARKER
     id_prefix: str = ""
+    by: str | None = None
 
 
 def scan(corpus: DataFrame, rules: DataFrame, options: ScanOptions = ScanOptions(),
          external: DataFrame | None = None, baseline: DataFrame | None = None,
          ordered: bool = True) -> DataFrame:
-    """Findings of a corpus of ``path, file, language, content``.
+    """Findings of a corpus of ``path, file, language, content``. With the option ``by``, a column of the
+    corpus such as its target, each value of it is a scan of its own: the findings carry it, dedup, order
+    and the baseline keep to it where the baseline has that column too.
 
     Rule subset and path exclusion come first, then matching and scoring in one narrow stage, then
     route findings. External findings are added with a normalised dedup of all. Severity and
@@ -50,35 +53,36 @@ def scan(corpus: DataFrame, rules: DataFrame, options: ScanOptions = ScanOptions
     if only:
         chosen = ai_only(chosen, 0.70 if prior is None else prior)
     files = exclude_paths(corpus, options.exclude)
-    columns = schemas.FINDING.fieldNames()
+    by = options.by
+    columns = [*schemas.FINDING.fieldNames(), *([by] if by else [])]
     hits = match_rules(files, chosen, options.marker, unique=True)
     routes = [f"{options.id_prefix}{i}" for i in ROUTE_IDS] if options.cross_file else []
     if not routes or chosen.where(F.col("id").isin(routes)).isEmpty():
         out = with_scores(hits).select(*columns)
         if options.cross_file:
             out = union_findings(
-                out, unguarded_routes(files, options.id_prefix).select(*columns))
+                out, unguarded_routes(files, options.id_prefix, by).select(*columns))
     else:  # one finding per rule id, file and line, a rule's before a route check's
         out = with_scores(hits).select(*columns, F.lit(0).alias("_source"))
         if options.cross_file:
-            found = unguarded_routes(files, options.id_prefix)
+            found = unguarded_routes(files, options.id_prefix, by)
             out = union_findings(out, found.select(*columns, F.lit(1).alias("_source")))
-        out = unique_findings(out, "_source").drop("_source")
+        out = unique_findings(out, "_source", by=by).drop("_source")
     if external is not None:
-        out = dedup_findings(union_findings(out, external.select(*columns)), "normalized")
+        out = dedup_findings(union_findings(out, external.select(*columns)), "normalized", by)
     if level:
         out = min_severity(out, level)
     if baseline is not None:
-        out = minus_baseline(out, baseline)
-    out = dedup_findings(out, options.dedup)
-    return order_findings(out) if ordered else out
+        out = minus_baseline(out, baseline, by if by and by in baseline.columns else None)
+    out = dedup_findings(out, options.dedup, by)
+    return order_findings(out, by) if ordered else out
 
 
 def scan_many(corpora: list[DataFrame], rules: DataFrame, options: ScanOptions = ScanOptions()
               ) -> DataFrame:
     """Findings of several targets, sorted once."""
     parts = [scan(c, rules, options, ordered=False) for c in corpora]
-    return order_findings(reduce(DataFrame.unionByName, parts))
+    return order_findings(reduce(DataFrame.unionByName, parts), options.by)
 
 
 def scan_summary(findings: DataFrame, corpus: DataFrame, rules: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.severity import min_severity, rank, severity_counts
 from riskloom.functions.text import escape_annotation_message, escape_annotation_property
-from riskloom.session import stored
+from riskloom.sinks.documents import with_target
 
 ANNOTATION_LIMIT = 200
 ALERT_LIMIT = 20
@@ -52,13 +52,17 @@ def annotation_trailer(findings: DataFrame, dedup_mode: str = "normalized",
 
 
 def alert_payload(findings: DataFrame, severity: str = "high", target: str = ".",
-                  timestamp: int = 0, scanned_files: int = 0, matched_rules: int = 0
-                  ) -> DataFrame:
-    """K8: one JSON payload with totals and the 20 strongest findings at or above a severity; no
-    row when there are none."""
-    findings = stored(findings)
-    loud = min_severity(findings, severity)
-    top = _strongest(loud, ALERT_LIMIT).select(F.struct(
+                  timestamp: int = 0, scanned_files: int = 0, matched_rules: int = 0,
+                  by: str | None = None) -> DataFrame:
+    """K8: one JSON payload with totals and the 20 strongest findings at or above a severity, and one for
+    each value of the column ``by`` where that is given; no row where there are none. A task sends 20
+    findings per target at most."""
+    found = with_target(findings, by)
+    loud = min_severity(found, severity)
+    place = Window.partitionBy("_target").orderBy(
+        F.desc("risk_score"), F.desc(rank("severity")), "file", "line", "column", "id")
+    best = loud.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= ALERT_LIMIT)
+    top = best.select("_target", F.struct(
         (-F.col("risk_score")).alias("o1"), (-rank("severity")).alias("o2"),
         F.col("file").alias("o3"), F.col("line").alias("o4"), F.col("column").alias("o5"),
         F.col("id").alias("o6"),
@@ -66,16 +70,17 @@ def alert_payload(findings: DataFrame, severity: str = "high", target: str = "."
                  F.round(F.col("risk_score").cast("double"), 1).alias("risk_score"),
                  F.round(F.col("ai_confidence").cast("double"), 1).alias("ai_confidence"),
                  "category").alias("f")).alias("r"))
-    listed = top.agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["f"])).scalar()
-    alerts = loud.agg(F.count("*")).scalar()
-    totals = findings.agg(F.count("*").alias("total_findings"), *severity_counts())
-    rows = totals.withColumns({"alerts": alerts, "top": listed}).where("alerts > 0")
+    listed = top.groupBy("_target").agg(  # 20 rows at most
+        F.transform(F.array_sort(F.collect_list("r")), lambda r: r["f"]).alias("top"))
+    alerts = loud.groupBy("_target").agg(F.count("*").alias("alerts"))
+    totals = found.groupBy("_target").agg(F.count("*").alias("total_findings"), *severity_counts())
+    rows = totals.join(alerts, "_target").join(listed, "_target")
     summary = F.struct("total_findings", "critical", "high", "medium", "low", "info",
                        F.lit(scanned_files).alias("scanned_files"),
                        F.lit(matched_rules).alias("matched_rules"),
                        F.col("alerts").alias("alert_findings"))
     payload = F.struct(
         F.lit("scan.completed").alias("event"), F.lit(timestamp).alias("timestamp"),
-        F.lit(target).alias("target"), F.lit(severity).alias("notify_min_severity"),
+        (F.col("_target") if by else F.lit(target)).alias("target"), F.lit(severity).alias("notify_min_severity"),
         summary.alias("summary"), F.col("top").alias("top_findings"))
     return rows.select(F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))

@@ -383,26 +383,62 @@ def test_report_summaries(spark):
     assert got == {1: (7, 1, 2, 3, 1, 0, 2, "X"), 2: (3, 0, 1, 1, 1, 0, 2, "A")}
 
 
+def texts(rows):
+    """The documents of all targets, put together in the order of the rows."""
+    out = {}
+    for r in rows.collect():
+        out[r["target"]] = out.get(r["target"], "") + r["value"]
+    return out
+
+
 def test_documents_hold_every_finding(spark):
     df = findings(spark, [{"id": f"R{i % 7}", "file": f"f{i}.py", "line": i + 1, "title": "q\"\x01",
                            "risk_score": float(i % 90)} for i in range(250)])
-    docs = doc.report_json(df, 9, 3, per_doc=40).collect()
-    assert len(docs) == 7
-    parsed = [json.loads(r["document"]) for r in docs]
-    assert sum(len(p["findings"]) for p in parsed) == 250
-    assert all(p["summary"]["total"] == 250 and p["summary"]["by_severity"]["high"] == 250
-               for p in parsed)
-    for p in parsed:
-        risks = [f["risk_score"] for f in p["findings"]]
-        assert risks == sorted(risks, reverse=True)
-    assert parsed[0]["findings"][0]["title"] == 'q" '
-    whole = json.loads(doc.report_sarif(df).first()["document"])
-    run = whole["runs"][0]
+    p = json.loads(texts(doc.report_json(df, 9, 3))[""])
+    assert len(p["findings"]) == 250
+    assert p["summary"]["total"] == 250 and p["summary"]["by_severity"]["high"] == 250
+    risks = [f["risk_score"] for f in p["findings"]]
+    assert risks == sorted(risks, reverse=True)
+    assert p["findings"][0]["title"] == 'q" '
+    run = json.loads(texts(doc.report_sarif(df))[""])["runs"][0]
     assert len(run["results"]) == 250 and len(run["tool"]["driver"]["rules"]) == 7
-    assert run["results"][0]["level"] == "error" and whole["version"] == "2.1.0"
-    empty = json.loads(doc.report_json(df.limit(0)).first()["document"])
+    assert run["results"][0]["level"] == "error"
+    empty = json.loads(texts(doc.report_json(df.limit(0)))[""])
     assert empty["findings"] == [] and empty["summary"]["top_pattern"] == "none"
-    assert json.loads(doc.report_sarif(df.limit(0)).first()["document"])["runs"][0]["results"] == []
+    assert json.loads(texts(doc.report_sarif(df.limit(0)))[""])["runs"][0]["results"] == []
+
+
+def test_documents_per_target(spark, tmp_path):
+    df = findings(spark, [{"id": f"R{i % 3}", "file": f"f{i % 4}.py", "line": 1,
+                           "risk_score": float(i % 5)} for i in range(60)]).withColumn(
+        "target", F.when(F.col("file") == "f1.py", "b").otherwise("a"))
+    asked = spark.createDataFrame([("none",), ("a",)], "target string")
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    try:
+        rows = doc.report_json(df, by="target", targets=asked)
+        found = {t: json.loads(x) for t, x in texts(rows).items()}
+        assert {t: p["summary"]["total"] for t, p in found.items()} == {"a": 45, "b": 15, "none": 0}
+        assert {f["file"] for f in found["b"]["findings"]} == {"f1.py"}
+        assert len(found["a"]["findings"]) == 45  # equal findings are all there
+        sarif = {t: json.loads(x)["runs"][0] for t, x in texts(doc.report_sarif(df, by="target")).items()}
+        assert {t: len(r["results"]) for t, r in sarif.items()} == {"a": 45, "b": 15}
+        doc.write_documents(rows, str(tmp_path / "reports"))
+        for target, p in found.items():
+            parts = sorted((tmp_path / "reports" / f"target={target}").glob("part-*"))
+            assert json.loads("".join(x.read_text() for x in parts)) == p
+        alerts = {json.loads(r[0])["target"]: json.loads(r[0])["summary"]["alert_findings"]
+                  for r in nt.alert_payload(df, "low", by="target").collect()}
+        assert alerts == {"a": 45, "b": 15}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_document_rows_are_the_array_form(spark):
+    df = findings(spark, [{"id": f"R{i}", "file": "a.py", "line": i % 4} for i in range(12)] * 2)
+    entry = doc.entries_of(doc.report_json(df), 1)
+    ordered = [r.entry for r in entry.collect()]
+    assert texts(doc.report_json(df))[""].endswith('"findings":[' + ",".join(ordered) + "]}")
+    assert len(ordered) == 24
 
 
 def test_report_files(spark, tmp_path):
