@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.severity import literal_map
 from riskloom.functions.text import ascii_lower, base_name, contains_any, lines_of
 from riskloom.sources.files import as_uri, list_files, read_texts
+from riskloom.sources.tree import BUDGET
 
 # Directory names that are not entered.
 SKIP_DIRS = (".git", "target", "node_modules", ".next", "dist")
@@ -75,10 +76,11 @@ def explode_lines(df: DataFrame, content: str = "content") -> DataFrame:
                        ascii_lower("text").alias("text_lower"))
 
 
-def read_corpus(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
-    """The scanned files of a tree as ``path, file, language, content``."""
+def read_corpus(spark: SparkSession, root: str, budget: int = BUDGET) -> DataFrame:
+    """The scanned files of a tree as ``path, file, language, content``. The listing is stored once;
+    texts are read by every action."""
     uri = as_uri(root)
-    files = with_language(list_files(spark, uri, SKIP_DIRS, partitions=partitions))
+    files = with_language(list_files(spark, uri, SKIP_DIRS, budget))
     texts = read_texts(files, uri)
     base = uri.split("://", 1)[1].rstrip("/") if uri.startswith("file://") else uri
     return with_relative_path(texts.withColumn("language", language_of(F.col("path"))), base

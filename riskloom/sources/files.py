@@ -1,8 +1,9 @@
 """Listing and reading file trees.
 
 Spark's own file sources leave out names that start with a dot or an underscore, so
-``.github/workflows`` and ``__init__.py`` would be lost. Here the tree is listed level by level in
-tasks and the files are read in tasks, so neither the list nor a text passes the driver.
+``.github/workflows`` and ``__init__.py`` would be lost. Here the tree is listed in tasks
+(:mod:`riskloom.sources.tree`) and the files are dealt evenly and read in tasks, so neither the list nor
+a text passes the driver.
 """
 
 from __future__ import annotations
@@ -13,66 +14,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ENTRY = "path string, kind string"
-
-
-def _children(fs, directory: str, skip: frozenset[str]) -> list[tuple[str, str]]:
-    from pyarrow import fs as pafs
-
-    out = []
-    for info in fs.get_file_info(pafs.FileSelector(directory, allow_not_found=True)):
-        if info.base_name.lower() in skip:
-            continue
-        kind = {pafs.FileType.File: "file", pafs.FileType.Directory: "dir"}.get(info.type)
-        if kind:
-            out.append((info.path, kind))
-    return out
-
+from riskloom.sources.tree import BUDGET, walked
 
 def list_files(spark: SparkSession, root: str, skip_names: tuple[str, ...] = (),
-               spread_levels: int = 3, partitions: int | None = None) -> DataFrame:
-    """All files below ``root`` as ``path``; directories named in ``skip_names`` are not entered.
-
-    The first levels are listed one at a time and spread over the tasks after each, so a single
-    big branch does not end in one task; what is left below is walked inside the tasks.
-    """
-    skip = frozenset(n.lower() for n in skip_names)
-    parts = partitions or spark.sparkContext.defaultParallelism
-
-    def expand(deep: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from pyarrow import fs as pafs
-
-            fs, _ = pafs.FileSystem.from_uri(root)
-            for batch in batches:
-                todo = list(batch.itertuples(index=False, name=None))
-                rows = []
-                while todo:
-                    path, kind = todo.pop()
-                    if kind == "file":
-                        rows.append((path, kind))
-                    else:
-                        found = _children(fs, path, skip)
-                        (todo if deep else rows).extend(found)
-                    if len(rows) >= 10_000:
-                        yield pd.DataFrame(rows, columns=["path", "kind"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["path", "kind"])
-        return run
-
-    from pyarrow import fs as pafs
-
-    fs, start = pafs.FileSystem.from_uri(root)
-    kind = "file" if fs.get_file_info(start).type == pafs.FileType.File else "dir"
-    entries = spark.createDataFrame([(start, kind)], _ENTRY)
-    for _ in range(spread_levels):
-        entries = entries.mapInPandas(expand(False), _ENTRY).repartition(parts, "path")
-    return entries.mapInPandas(expand(True), _ENTRY).select("path")
+               budget: int = BUDGET) -> DataFrame:
+    """All files below ``root`` as ``path``; directories named in ``skip_names`` are not entered. Branches
+    are dealt anew whenever a task has listed ``budget`` directories."""
+    return walked(spark, root, tuple(skip_names), budget).select("path")
 
 
 def read_texts(files: DataFrame, root: str, path_col: str = "path") -> DataFrame:
-    """Add ``content`` to a table of paths; unreadable files and files that are not UTF-8 are
-    dropped."""
+    """Add ``content`` to a table of paths, dealt evenly over the shuffle partitions; unreadable files and
+    files that are not UTF-8 are dropped."""
     schema = f"{path_col} string, content string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,7 +41,8 @@ def read_texts(files: DataFrame, root: str, path_col: str = "path") -> DataFrame
                     continue
                 yield pd.DataFrame({path_col: [path], "content": [text]})
 
-    return files.select(F.col(path_col)).mapInPandas(run, schema)
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select(F.col(path_col)).repartition(parts).mapInPandas(run, schema)
 
 
 def as_uri(root: str) -> str:

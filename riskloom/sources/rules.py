@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from riskloom import schemas
 from riskloom.functions.severity import RANKS
 from riskloom.functions.text import ascii_lower, ascii_upper, strip_quotes, trim_white
+from riskloom.session import stored
 from riskloom.sources.files import as_uri, list_files, read_texts
 
 _ROOT_VALUES = ["id", "title", "severity", "confidence_that_ai_generated", "ai_tendency", "category"]
@@ -114,11 +115,12 @@ def parse_rules(files: DataFrame, unescape: bool = False) -> DataFrame:
 
 def load_rules(spark: SparkSession, root: str, unescape: bool = False, strict: bool = True
                ) -> DataFrame:
-    """The rules below a folder. ``strict`` fails on the first bad file, as a scan must not
-    run with a part of its rules; otherwise bad files are left out."""
+    """The rules below a folder, parsed once and stored, as a scan asks for its rules several times.
+    ``strict`` fails on the first bad file, as a scan must not run with a part of its rules; otherwise bad
+    files are left out."""
     uri = as_uri(root)
     files = list_files(spark, uri).where(F.lower("path").rlike(r"\.ya?ml$"))
-    parsed = parse_rules(read_texts(files, uri), unescape)
+    parsed = stored(parse_rules(read_texts(files, uri), unescape))
     bad = F.size("errors") > 0
     if strict:
         first = parsed.where(bad).select("path", "errors").first()
