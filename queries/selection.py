@@ -168,8 +168,7 @@ SQL["fix_candidates"] = f"""{scored_cte(CODE, CODE_RULES)} SELECT rid AS rule_id
 
 def _fixes(spark, sf) -> DataFrame:
     corpus = v.code_corpus(spark, sf)
-    found = mt.match_rules(corpus, rules(spark, CODE_RULES))
-    return rm.apply_fixes(corpus, found)
+    return rm.fix_files(corpus, rules(spark, CODE_RULES))
 
 
 def _fold_sql() -> str:
@@ -199,7 +198,7 @@ SELECT count(*) AS files, sum(n)::BIGINT AS replacements FROM fixed WHERE n > 0"
 
 def _preview(spark, sf) -> DataFrame:
     corpus = v.code_corpus(spark, sf)
-    return rm.preview_fixes(corpus, mt.match_rules(corpus, rules(spark, CODE_RULES)))
+    return rm.preview_files(corpus, rules(spark, CODE_RULES))
 
 
 def _steps_sql() -> str:
@@ -225,8 +224,7 @@ SELECT file, id, shown::INT AS shown, line::INT AS line, before, after FROM p WH
 
 def _context(spark, sf) -> DataFrame:
     corpus = v.code_corpus(spark, sf)
-    found = mt.match_rules(corpus, rules(spark, CODE_RULES))
-    return rm.code_context(found, corpus, 2)
+    return rm.hits_in_context(corpus, rules(spark, CODE_RULES), 2)
 
 
 _CTX = f"""{hits_cte(CODE, CODE_RULES)}, x AS (SELECT h.path AS file, h.rid AS rule_id, h.line,

@@ -183,9 +183,9 @@ def _rule_hits(rule: Column) -> Column:
     return F.transform(at, hit)
 
 
-def _hits(files: DataFrame, marker: str, unique: bool) -> DataFrame:
-    """The hits of :func:`candidates`, in one array per file until they leave it. The lower-cased text is
-    split once, the original one only in files with a hit."""
+def _found(files: DataFrame, marker: str, unique: bool) -> DataFrame:
+    """The files of :func:`candidates` that are hit, with their text and their ``hits`` in one array. The
+    lower-cased text is split once."""
     kept = [c for c in files.columns if c not in ("_lower", "content", "_rules", "_twins")]
     staged = parsed_once(files, "_low", lines_of("_lower"))
     staged = parsed_once(staged, "_marks", _line_marks(F.col("_low"), marker))
@@ -200,12 +200,28 @@ def _hits(files: DataFrame, marker: str, unique: bool) -> DataFrame:
             return (i == 0) | (before["id"] != hit["id"]) | (before["line"] != hit["line"])
 
         found = F.when(F.col("_twins"), F.filter("_sorted", first)).otherwise(found)
-    lines = parsed_once(staged, "_lines", lines_of("content"))
-    hits = lines.select(*kept, "_lines", F.explode(found).alias("hit"))
+    return staged.select(*kept, "content", found.alias("hits"))
+
+
+def hit_rows(files: DataFrame, *more: str) -> DataFrame:
+    """A row per hit of files that carry their ``hits`` and their text's ``_lines``; ``more`` names columns
+    of the file that go along."""
+    kept = [c for c in files.columns if c not in ("content", "hits", "_lines", *more)]
+    carried = dict.fromkeys([*kept, *more, "_lines"])
+    hits = files.select(*carried, F.explode("hits").alias("hit"))
     return hits.select(
         *kept, "hit.id", "hit.title", "hit.severity", "hit.line", "hit.column",
         trim_white(F.get(F.col("_lines"), F.col("hit.line") - 1)).alias("snippet"),
-        *(f"hit.{f}" for f in RULE_FIELDS[1:]))
+        *(f"hit.{f}" for f in RULE_FIELDS[1:]), *more)
+
+
+def hit_files(corpus: DataFrame, rules: DataFrame, marker: str = MARKER,
+              limit: int = BROADCAST_BYTES, unique: bool = False) -> DataFrame:
+    """The files that rules hit, a row each (per rules slice) with all columns and an array ``hits``. What
+    needs a hit and its text together, such as fixes and contexts, works on this row."""
+    parts = [_found(candidates(corpus, part, marker), marker, unique)
+             for part in rule_slices(rules, limit)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def match_rules(corpus: DataFrame, rules: DataFrame, marker: str = MARKER,
@@ -213,9 +229,8 @@ def match_rules(corpus: DataFrame, rules: DataFrame, marker: str = MARKER,
     """Hits of ``rules`` in a corpus of ``path, language, content`` (and any other columns,
     which are kept). No shuffle; the corpus is read once per rules slice, that is once. With ``unique``
     (R6) equal rule ids hit a line of a file once."""
-    parts = [_hits(candidates(corpus, part, marker), marker, unique)
-             for part in rule_slices(rules, limit)]
-    return reduce(DataFrame.unionByName, parts)
+    files = hit_files(corpus, rules, marker, limit, unique)
+    return hit_rows(parsed_once(files, "_lines", lines_of("content")))
 
 
 def unique_findings(df: DataFrame, *first: str, by: str | None = None) -> DataFrame:

@@ -22,6 +22,14 @@ def write_by_date(df: DataFrame, path: str, date: str = "scan_date", mode: str =
     df.hint("rebalance", F.col(date)).write.mode(mode).partitionBy(date).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, buckets: int, by: str = "file", path: str | None = None
+                   ) -> None:
+    """A table whose rows lie in ``buckets`` files by the hash of a column, sorted by it. Corpus and findings
+    that are written with equal numbers join and group by file without moving a row."""
+    writer = df.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def write_tables(scans: DataFrame, findings: DataFrame, path: str, mode: str = "append") -> None:
     """K1: ``<path>/scans`` and ``<path>/findings`` by scan date. A finding is stored under the
     date of its own scan, so that a window of days prunes both tables alike; a finding whose scan

@@ -371,3 +371,45 @@ def test_equal_rule_ids_hit_a_line_once(spark):
     got = sorted((r.id, r.line, r.column) for r in mt.match_rules(
         files, rules_from_rows(spark, rules), unique=True).collect())
     assert got == [("R-1", 1, 3), ("R-1", 2, 2), ("R-2", 1, 5)]
+
+
+def test_fixes_and_contexts_where_the_text_lies(spark):
+    source = "import hashlib\nx = hashlib.md5(a)\ny = 1\nz = hashlib.md5(b)\n"
+    files = corpus(spark, [("a.py", "python", source), ("b.py", "python", "x = 1\n")])
+    rules = rules_from_rows(spark, [rule("PY-CRYPTO-001", pattern_any=["hashlib.md5("])])
+    found = mt.match_rules(files, rules)
+    assert [tuple(r) for r in rm.fix_files(files, rules).collect()] == [
+        tuple(r) for r in rm.apply_fixes(files, found).collect()] != []
+    assert sorted(map(tuple, rm.preview_files(files, rules).collect())) == sorted(
+        map(tuple, rm.preview_fixes(files, found).collect())) != []
+    near = rm.hits_in_context(files, rules, 1)
+    want = rm.code_context(found, files, 1).select(*near.columns)
+    assert sorted(map(str, near.collect())) == sorted(map(str, want.collect()))
+    for df in (rm.fix_files(files, rules), rm.preview_files(files, rules), near):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Exchange" in line and "content" in line]
+
+
+def test_bucketed_texts_do_not_move(spark, tmp_path):
+    from riskloom.sinks.tables import write_bucketed
+
+    files = corpus(spark, [(f"f{i}.py", "python", f"a = hashlib.md5({i})\n") for i in range(20)])
+    rules = rules_from_rows(spark, [rule("PY-CRYPTO-001", pattern_any=["hashlib.md5("])])
+    write_bucketed(files, "texts_by_file", 4, path=str(tmp_path / "texts"))
+    write_bucketed(mt.match_rules(files, rules).drop("content"), "hits_by_file", 4,
+                   path=str(tmp_path / "hits"))
+    texts, hits = spark.table("texts_by_file"), spark.table("hits_by_file")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fixed = rm.apply_fixes(texts, hits, co_located=True)
+        seen = rm.code_context(hits, texts, co_located=True)
+        for df in (fixed, rm.preview_fixes(texts, hits, co_located=True)):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Exchange" in line and "content" in line]
+        assert fixed.count() == 20 and seen.count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql("DROP TABLE texts_by_file")
+        spark.sql("DROP TABLE hits_by_file")
