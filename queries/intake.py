@@ -19,6 +19,7 @@ from riskloom.session import shared_dir
 from riskloom.sinks.tables import write_tables
 from riskloom.sources.reports import parse_ingest
 from riskloom.streaming import streams as st
+from riskloom.streaming.files import last_findings, start_files
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -280,6 +281,32 @@ SQL["stream_scan"] = f"""{scored_cte(DOC, TEXT_RULES)}, u AS (SELECT {FLAT_COLS}
   WHERE {rank('severity')} >= 2)
 {dedup_sql('u')}"""
 
+def _stream_files(spark, sf) -> DataFrame:
+    """Three waves of changes: every third text arrives first as a draft, every second one a second time
+    unchanged, then the drafts in their last form beside late rows of an older time."""
+    corpus = v.doc_corpus(spark, sf)
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-files-{uuid.uuid4().hex}"
+    third = F.crc32(F.col("path").cast("binary")) % 3 == 0
+    draft = corpus.withColumn("content", F.when(third, F.concat(
+        F.lit("draft eval( todo the\n"), "content")).otherwise(F.col("content")))
+    waves = [draft, draft.where(F.crc32(F.col("path").cast("binary")) % 2 == 0),
+             corpus.where(third).withColumn("changed", F.lit(3)).unionByName(corpus.where(third).withColumns(
+                 {"content": F.lit("late todo the"), "changed": F.lit(0)}))]
+    for i, wave in enumerate(waves, 1):
+        if "changed" not in wave.columns:
+            wave = wave.withColumn("changed", F.lit(i))
+        wave.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option(
+        "maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    options = ScanOptions(dedup="normalized", severity="low")
+    start_files(stream, rules(spark, [*TEXT_RULES, TEXT_RULES[0]]), f"{folder}/out", options,
+                f"files-{uuid.uuid4().hex}", availableNow=True).awaitTermination()
+    return flat(last_findings(spark, f"{folder}/out"))
+
+
+QUERIES["stream_files"] = _stream_files
+SQL["stream_files"] = SQL["stream_scan"]
+
 _STREAM_SCANS = """SELECT CAST(event_id % 4000 AS STRING) AS scan_id,
   CAST(ts AS TIMESTAMP) AS timestamp, event_type AS org_id, CAST(user_id % 50 AS INT) AS total_findings,
   CAST(user_id % 3 AS INT) AS critical_count, CAST(user_id % 7 AS INT) AS high_count,

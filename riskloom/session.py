@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -33,8 +34,16 @@ def build_session(app: str = "riskloom", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+#: Where the workers of a local session find this package; a cluster gets it with ``--py-files``.
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Pin the run-time settings on a session somebody else made."""
+    """Pin the run-time settings on a session somebody else made, and let its Python workers find this
+    package."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
