@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from queries.rulebook import TEXT_RULES, rules
 from riskloom.operators import model as md
 from riskloom.plans.scan import ScanOptions, scan
+from riskloom.sources.rules import rules_from_rows
 from riskloom.streaming.files import changed_files, last_findings, start_files, PROVIDER, STORE
 
 
@@ -73,7 +73,8 @@ def test_changed_content_alone_is_scanned(spark, tmp_path):
     _wave(spark, tmp_path / "in", [("a.py", "the todo\n", 2), ("a.py", text, 3), ("a.py", "old", 0)])
     _wave(spark, tmp_path / "in", [("b.py", text, 4), ("c.py", None, 5), ("a.py", text, 6)])
     stream = spark.readStream.schema(FILE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    needles = rules(spark, TEXT_RULES).withColumn("languages", F.array(F.lit("python")))
+    needles = rules_from_rows(spark, [
+        {"id": f"T-{w}", "title": w, "languages": ["python"], "pattern_any": [w]} for w in ("todo", "lorem")])
     out = str(tmp_path / "out")
     start_files(stream, needles, out, ScanOptions(dedup="normalized"), "per-file",
                 availableNow=True).awaitTermination()
@@ -92,16 +93,20 @@ def test_a_file_waits_for_quiet(spark, tmp_path):
         folder = tmp_path / "in"
         _wave(spark, folder, [("a.py", "one", 1), ("b.py", "b", 1)])
         stream = spark.readStream.schema(FILE).parquet(str(folder))
-        query = (changed_files(stream, 4000).writeStream.format("memory").queryName("quiet")
+        query = (changed_files(stream, 15_000).writeStream.format("memory").queryName("quiet")
                  .outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
                  .trigger(processingTime="500 milliseconds").start())
-        query.processAllAvailable()
+        def until(done):
+            end = time.time() + 40
+            while not done() and time.time() < end:
+                time.sleep(0.3)
+
+        # a stream with timers is never idle, so its progress is asked instead
+        read = lambda: sum(p.numInputRows for p in query.recentProgress)
+        until(lambda: read() >= 2)
         assert spark.table("quiet").count() == 0
         _wave(spark, folder, [("a.py", "two", 2)])
-        query.processAllAvailable()
-        end = time.time() + 60
-        while spark.table("quiet").count() < 2 and time.time() < end:
-            time.sleep(0.5)
+        until(lambda: spark.table("quiet").count() >= 2)
         query.stop()
         assert sorted((r.path, r.content) for r in spark.table("quiet").collect()) == [
             ("a.py", "two"), ("b.py", "b")]
