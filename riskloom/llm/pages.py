@@ -1,10 +1,11 @@
 """Operator 5, main text of web pages with site templates removed.
 
-Every page is parsed once. What its markup itself names as menu, header, footer, sidebar, notice,
-advert, form, script, style or reader comments goes; where the page has an ``article`` or ``main``
-element, the text inside it is the candidate, otherwise the whole body. What is left is checked for
-site templates: element subtrees (tag, class, text and child hashes) are hashed, the different pages
-of a host that hold a subtree are counted in Spark, and subtrees on a share of them are deleted.
+Every page is parsed once. Where it has an ``article`` or ``main`` element, the text inside it is the
+candidate, otherwise the whole body. All element subtrees (tag, text and child hashes) are hashed, menus
+and adverts among them, the different pages of a host that hold a subtree are counted in Spark, and subtrees
+on a share of them are deleted. What differs from page to page cannot be found by counting: of that, elements
+which the markup itself names as menu, header, footer, sidebar, notice, advert, form or reader comments go
+too (``use_names``). ``n_template`` and ``n_named`` say how many characters each of the two took away.
 
 Copies of one article on a host are not a template: pages are told apart by what they hold besides the
 subtree, so a subtree counts once per remaining content, and subtrees that hold half of a page's text or
@@ -59,9 +60,10 @@ SAME_LEVEL = {
     "thead": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
     "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
 # What is not the article, by element, by role and by a word of class or id.
-NOT_TEXT = frozenset(
-    "head nav header footer aside form script style noscript template iframe svg math button select "
-    "textarea dialog menu object canvas audio video title".split())
+HIDDEN = frozenset(
+    "head script style noscript template iframe svg math button select textarea object canvas audio "
+    "video title".split())
+NOT_TEXT = frozenset("nav header footer aside form dialog menu".split())
 NOT_TEXT_ROLE = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 NOT_TEXT_NAME = frozenset(
@@ -74,10 +76,11 @@ TEXT_BLOCKS = frozenset(
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "region", "number", "items", "size", "holds")
+    __slots__ = ("tag", "hidden", "named", "region", "number", "items", "size", "holds")
 
-    def __init__(self, tag: str, dropped: bool, region: bool, number: int):
-        self.tag, self.dropped, self.region, self.number = tag, dropped, region, number
+    def __init__(self, tag: str, hidden: bool, named: bool, region: bool, number: int):
+        self.tag, self.hidden, self.named = tag, hidden, named
+        self.region, self.number = region, number
         self.items: list[str] = []  # texts and child hashes, for the subtree's hash
         self.size = 0  # characters of text
         self.holds = False  # a region below
@@ -98,9 +101,9 @@ class Page:
         from xxhash import xxh64_intdigest
 
         self.hash = xxh64_intdigest
-        self.stack: list[Element] = [Element("", False, False, 0)]
-        self.done: dict[int, tuple] = {}  # number -> hash, size, tag, holds a region, in a region
-        self.texts: list[list] = []  # pieces of text, innermost element, in a region
+        self.stack: list[Element] = [Element("", False, False, False, 0)]
+        self.done: dict[int, tuple] = {}  # number -> hash, size, tag, holds a region, in a region, named
+        self.texts: list[list] = []  # pieces of text, innermost element, in a region, named
         self.open: Counter[str] = Counter()
         self.parent = [0]  # of each element's number
         self.regions = 0
@@ -139,17 +142,17 @@ class Page:
         if tag in VOID:
             return
         top = self.stack[-1]
-        dropped = top.dropped
-        if not dropped and tag not in ("html", "body"):
+        named = top.named
+        if not named and tag not in ("html", "body"):
             cls, ident, role = names(attrs) if attrs else ("", "", "")
             inside = self.open["article"] > 0
-            dropped = (tag in NOT_TEXT and not (tag == "header" and inside)) \
+            named = (tag in NOT_TEXT and not (tag == "header" and inside)) \
                 or role in NOT_TEXT_ROLE \
                 or any(p.lower() in NOT_TEXT_NAME
                        and not (inside and p.lower() == "header")
                        for p in NAME_PARTS(f"{cls} {ident}"))
-        region = top.region or (tag in REGION and not dropped)
-        element = Element(tag, dropped, region, len(self.parent))
+        region = top.region or (tag in REGION and not named)
+        element = Element(tag, top.hidden or tag in HIDDEN, named, region, len(self.parent))
         self.parent.append(top.number)
         self.open[tag] += 1
         if region and not top.region:
@@ -180,13 +183,14 @@ class Page:
     def close(self) -> None:
         e = self.stack.pop()
         self.open[e.tag] -= 1
-        if e.dropped:
+        if e.hidden:
             return
         parent = self.stack[-1]
         value = self.hash("\x1f".join([e.tag, *e.items]))
-        parent.items.append(f"{value:x}")
-        parent.size += e.size
-        self.done[e.number] = (value, e.size, e.tag, e.holds, parent.region)
+        if parent.named or not e.named:  # what surrounds an advert is the same with any
+            parent.items.append(f"{value:x}")
+            parent.size += e.size
+        self.done[e.number] = (value, e.size, e.tag, e.holds, parent.region, e.named)
 
     def space(self) -> None:
         if self.texts:
@@ -194,50 +198,53 @@ class Page:
 
     def text(self, text: str) -> None:
         top = self.stack[-1]
-        if not text or top.dropped:
+        if not text or top.hidden:
             return
         if "&" in text:
             text = unescape(text)
         if self.texts and self.texts[-1][1] == top.number:
             self.texts[-1][0].append(text)
         else:
-            self.texts.append([[text], top.number, top.region])
+            self.texts.append([[text], top.number, top.region, top.named])
         flat = " ".join(text.split())
         if flat:
             top.items.append(flat)
             top.size += len(flat)
 
-    def result(self) -> tuple[list[str], list[list[int]], dict[int, tuple[int, bool]], int]:
-        """Texts in page order, the hashes of the possible templates around each, for each of these
-        the hash of the page's texts outside it and whether it is a text block, and the hash of all
-        texts."""
-        texts = [("".join(t), n) for t, n, region in self.texts if region or not self.regions]
-        total = sum(len(" ".join(t.split())) for t, _ in texts)
+    def result(self) -> tuple[list[str], list[list[int]], list[bool], dict[int, tuple[int, bool]], int]:
+        """Texts in page order, the hashes of the possible templates around each, whether its element is
+        named, for each possible template of the page the hash of the page's texts outside it and whether
+        it is a text block, and the hash of all texts that are not named."""
+        texts = [("".join(t), n, named) for t, n, region, named in self.texts
+                 if region or not self.regions]
+        total = sum(len(" ".join(t.split())) for t, _, named in texts if not named)
         possible = {
             number: value - (1 << 64) if value >> 63 else value
-            for number, (value, size, tag, holds, region) in self.done.items()
-            if size and 2 * size < total and not holds and tag not in INLINE
-            and tag not in ("html", "body") and not (region and tag in TEXT_BLOCKS)}
+            for number, (value, size, tag, holds, region, named) in self.done.items()
+            if size and not holds and tag not in INLINE and tag not in ("html", "body")
+            and (named or 2 * size < total or (self.regions and not region))
+            and not (region and not named and tag in TEXT_BLOCKS)}
         chain: dict[int, list[int]] = {0: []}
         for number, up in enumerate(self.parent[1:], 1):  # parents come first
             chain[number] = chain[up] + [possible[number]] if number in possible else chain[up]
-        out: list[tuple[list[str], list[int]]] = []
-        for text, number in texts:
-            if out and out[-1][1] == chain[number]:
+        out: list[tuple[list[str], list[int], bool]] = []
+        for text, number, named in texts:
+            if out and out[-1][1:] == (chain[number], named):
                 out[-1][0].append(text)
             else:
-                out.append(([text], chain[number]))
+                out.append(([text], chain[number], named))
         whole, inside = 0, dict.fromkeys(possible.values(), 0)
-        for text, around in out:
+        for text, around, named in out:
             flat = " ".join("".join(text).split())
-            if flat:
+            if flat and not named:
                 value = self.hash(flat)
                 whole += value
                 for h in set(around):
                     inside[h] += value
         block = {possible[n]: self.done[n][2] in TEXT_BLOCKS for n in possible}
         rest = {h: (signed(whole - v), block[h]) for h, v in inside.items()}
-        return ["".join(t) for t, _ in out], [a for _, a in out], rest, signed(whole)
+        return ["".join(t) for t, *_ in out], [a for _, a, _ in out], [n for *_, n in out], rest, \
+            signed(whole)
 
 
 def signed(value: int) -> int:
@@ -246,12 +253,13 @@ def signed(value: int) -> int:
 
 
 PARSED = ("page_id long, url string, host string, whole long, texts array<string>, "
-          "around array<array<bigint>>, "
+          "around array<array<bigint>>, named array<boolean>, "
           "possible array<struct<subtree: bigint, rest: bigint, block: boolean>>, row long")
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """Candidate texts of every page; ``possible`` are the distinct subtrees that may be templates."""
+    """Candidate texts of every page; ``possible`` are the distinct subtrees of the page that may be
+    templates, outside its article too."""
     schema = T.StructType.fromDDL(PARSED)
     target = arrow_schema(schema)
 
@@ -259,10 +267,9 @@ def parse(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for page_id, url, html, row in zip(*(c.to_pylist() for c in batch.columns)):
-                texts, around, rest, whole = Page(html or "").result()
-                held = sorted({h for a in around for h in a})
-                rows.append((page_id, url, host_of(url), whole, texts, around, [
-                    {"subtree": h, "rest": rest[h][0], "block": rest[h][1]} for h in held], row))
+                texts, around, named, rest, whole = Page(html or "").result()
+                rows.append((page_id, url, host_of(url), whole, texts, around, named, [
+                    {"subtree": h, "rest": r, "block": b} for h, (r, b) in sorted(rest.items())], row))
             columns = list(zip(*rows)) if rows else [[]] * len(target)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
@@ -293,31 +300,43 @@ def _joined(texts: list[str]) -> str:
     return " ".join(w for t in texts for w in t.split())
 
 
-def main_text(pages: DataFrame, template_pages: int = PAGES) -> DataFrame:
-    """``page_id``, ``url``, ``text`` and ``n_chars`` of every page."""
-    schema = T.StructType.fromDDL("page_id long, url string, text string, n_chars long")
+def main_text(pages: DataFrame, template_pages: int = PAGES, use_names: bool = True) -> DataFrame:
+    """``page_id``, ``url``, ``text`` and ``n_chars`` of every page, and the characters that templates
+    (``n_template``) and names alone (``n_named``) took from its article."""
+    schema = T.StructType.fromDDL("page_id long, url string, text string, n_chars long, "
+                                  "n_template long, n_named long")
     target = arrow_schema(schema)
 
+    def size(texts: list[str]) -> int:
+        return sum(len(" ".join(t.split())) for t in texts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page_id, url, texts, around, gone in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, texts, around, named, gone in zip(
+                    *(c.to_pylist() for c in batch.columns)):
                 gone = set(gone or ())
-                left = [t for t, a in zip(texts, around) if gone.isdisjoint(a)] if gone else texts
-                text = " ".join("".join(left).split()) if not gone else _joined(left)
-                rows.append((page_id, url, text, len(text)))
+                stays = [gone.isdisjoint(a) for a in around]
+                drop = [use_names and n for n in named]
+                left = [t for t, s, d in zip(texts, stays, drop) if s and not d]
+                text = _joined(left) if gone else " ".join("".join(left).split())
+                rows.append((page_id, url, text, len(text),
+                             size([t for t, s in zip(texts, stays) if not s]),
+                             size([t for t, s, d in zip(texts, stays, drop) if s and d])))
             columns = list(zip(*rows)) if rows else [[]] * len(target)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
 
     parsed = keep(parse(pages))
-    checked = parsed.where(F.size("possible") > 0)
+    inner = F.exists("around", lambda a: F.size(a) > 0)  # a subtree of the article may be one
+    checked = parsed.where(inner)
     templates = template_subtrees(parsed, template_pages)
-    gone = (checked.select("row", "host", F.explode("possible.subtree").alias("subtree"))
+    gone = (checked.select("row", "host", F.explode(F.array_distinct(F.flatten("around")))
+                           .alias("subtree"))
             .join(templates, ["host", "subtree"], "left_semi")
             .groupBy("row").agg(F.collect_set("subtree").alias("gone")))
-    columns = ["page_id", "url", "texts", "around"]
-    free = parsed.where(F.size("possible") == 0).select(
+    columns = ["page_id", "url", "texts", "around", "named"]
+    free = parsed.where(~inner).select(
         *columns, F.lit(None).cast("array<bigint>").alias("gone"))
     return (checked.join(gone, "row", "left").select(*columns, "gone").unionByName(free)
             .mapInArrow(run, schema))

@@ -5,11 +5,12 @@ from html import unescape
 
 import pytest
 
-from riskloom.llm.pages import Page, host_of, main_text
+from riskloom.llm.pages import Page, host_of, main_text, parse
 
 
 def text_of(html):
-    return " ".join("".join(Page(html).result()[0]).split())
+    texts, _, named, *_ = Page(html).result()
+    return " ".join("".join(t for t, n in zip(texts, named) if not n).split())
 
 
 def test_driver_pages(spark, sf):
@@ -109,6 +110,28 @@ def test_templates_hold_a_share_of_the_host(spark):
     assert texts[90] == "Part 90 " + " ".join(["left90"] * 40) + " He agreed to it."
 
 
+def test_counts_decide_without_names(spark, sf):
+    """Menus whose class says nothing, beside named ones, with the names switched off."""
+    rows = []
+    for i in range(40):
+        menu = "<div class=x1><ul><li>Home</li><li>About us</li><li>All our pages</li></ul></div>"
+        nav = "<nav><a>Start</a> <a>Contact</a></nav>"
+        advert = f"<div class=ad>buy number {i}</div>"  # another one on every page
+        rows.append((i, "http://menu.example/",
+                     f"{nav}{menu}<div class=x2><p>{f'left{i} ' * 30}</p></div>{advert}"
+                     "<div class=x3><div>Imprint</div><div>Terms of use</div></div>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    body = {i: " ".join([f"left{i}"] * 30) for i in range(40)}
+    bare = {r.page_id: r for r in main_text(pages, use_names=False).collect()}
+    assert all(bare[i].text == f"{body[i]} buy number {i}" for i in body)
+    assert all(r.n_template == len("Start Contact Home About us All our pages Imprint Terms of use")
+               or r.n_template > 50 for r in bare.values())
+    both = {r.page_id: r for r in main_text(pages).collect()}
+    assert all(both[i].text == body[i] and both[i].n_named > 0 for i in body)
+    parsed = parse(spark.read.parquet(f"{sf}/pages.parquet"))
+    assert parsed.where("size(possible) > 0").count() > 0
+
+
 def pages_text():
     from pyspark.sql import functions as F
 
