@@ -83,4 +83,31 @@ def test_every_chunk_counts():
     for text, share in ((prose[:8000], 0), (prose[:4096] + noise[:3000], 3000 / 7096),
                         (noise[:4096] + prose[:3000], 4096 / 7096)):
         found = judge([text], Bands())[0]
-        assert found[6] == (share == 0) and found[-1] == pytest.approx(share)
+        assert found[6] == (share == 0) and found[8] == pytest.approx(share)
+
+
+def test_rows_that_only_the_bands_reject(spark):
+    """Texts strewn with symbols are no repetition for the base rules; no text of good quality is lost."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    rows = quality(docs).collect()
+    rejected = [r for r in rows if not r.base_failed and not r.kept]
+    assert len(rejected) >= 10 and not good & {r.doc_id for r in rejected}
+    assert all(r.n_symbols > 0.05 * r.word_chars for r in rejected)
+    assert sorted(r.doc_id for r in keep_good(docs).select("doc_id").collect()) == sorted(
+        r.doc_id for r in rows if r.kept)
+
+
+def test_limits_of_a_corpus(spark):
+    from riskloom.llm.quality import corpus_limits, size_class, weighted_median
+
+    assert weighted_median([(3.0, 1), (1.0, 1), (2.0, 5)]) == 2.0 and weighted_median([(1.0, 4)]) == 1.0
+    assert size_class(199) == -1 and size_class(1024) == 40
+    rows = [(1024 + i, 512 + i // 3, 40) for i in range(60)]
+    rows += [(1100, 110, 40)] * 500  # copies of one text that repeats itself
+    rows += [(4096, 2048, 48), (0, 9, -1)]
+    limits = corpus_limits(spark.createDataFrame(rows, "n_bytes long, packed long, size_class int"))
+    assert set(limits) == {40}
+    low, high = limits[40]
+    assert low < 2.0 < high < 2.4
