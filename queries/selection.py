@@ -15,6 +15,8 @@ from riskloom.operators import matching as mt
 from riskloom.operators import remediation as rm
 from riskloom.operators.compliance import BY_CATEGORY, BY_SEGMENT, BY_TAG, enrich_compliance
 from riskloom.operators.routes import unguarded_routes
+from riskloom.operators.searchindex import indexed_search, write_searchable
+from riskloom.session import scratch
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -42,6 +44,17 @@ SQL["search"] = f"""{_SCANNER}, h AS (SELECT *, lower(concat_ws(' ', rule_id, ti
 SELECT rule_id AS id, file, line, "column" FROM h WHERE contains(text, 'brand#1')
   AND contains(text, 'mod_9') AND contains(text, 'critical') AND contains(text, ':2:')"""
 
+def _indexed(spark, sf) -> DataFrame:
+    """The same words over stored findings, through their trigram index."""
+    folder = scratch(spark)
+    write_searchable(v.scanner_findings(spark, sf).drop("tags_text"), folder, 24)
+    return indexed_search(spark, folder, "brand#1 MOD_9 critical :2:").select(
+        "id", "file", "line", "column")
+
+
+QUERIES["indexed_search"] = _indexed
+SQL["indexed_search"] = SQL["search"]
+
 # Dedup and picks -----------------------------------------------------------------------------
 
 

@@ -62,10 +62,15 @@ def at_location(df: DataFrame, spec: str) -> DataFrame:
     return out
 
 
-def search(df: DataFrame, query: str) -> DataFrame:
-    """Every word of the query occurs in id, title, file, position or severity."""
+def search_text() -> Column:
+    """What a search looks at: id, title, file, position and severity, A-Z in lower case."""
     place = F.concat_ws(":", "file", F.col("line").cast("string"), F.col("column").cast("string"))
-    text = ascii_lower(F.concat_ws(" ", "id", "title", "file", place, "severity"))
+    return ascii_lower(F.concat_ws(" ", "id", "title", "file", place, "severity"))
+
+
+def search(df: DataFrame, query: str) -> DataFrame:
+    """Every word of the query occurs in the searched text."""
+    text = search_text()
     return df.where(reduce(lambda a, b: a & b,
                            [text.contains(t) for t in query.lower().split()], F.lit(True)))
 
