@@ -33,7 +33,7 @@ from riskloom.llm.words import arrow_schema, lower_words
 #: Bytes of text that are spelled at once.
 SLICE = 1 << 20
 #: Bytes of text of a block: its distinct contexts are sorted in memory.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK = "block long, ids array<bigint>, bytes array<bigint>, ends array<bigint>, data binary"
 
 
