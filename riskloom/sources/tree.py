@@ -37,6 +37,13 @@ class Directory(InputPartition):
         self.path, self.deep = path, deep
 
 
+class Single(InputPartition):
+    """The root itself, where that is a file."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+
 class Listed(InputPartition):
     """A file of a stored table of directories."""
 
@@ -77,20 +84,19 @@ class TreeReader(DataSourceReader):
         return pafs.FileSystem.from_uri(uri)
 
     def _entries(self, fs, directory: str) -> tuple[list[tuple], list[str]]:
-        """Files and directories of a directory; what may not be read holds nothing."""
+        """Files and directories of a directory; one that is gone meanwhile holds nothing."""
         from pyarrow import fs as pafs
 
-        files, below = [], []
-        for info in fs.get_file_info(pafs.FileSelector(directory, allow_not_found=True)):
-            if info.base_name.lower() in self.skip:
-                continue
-            if info.type == pafs.FileType.Directory:
-                below.append(info.path)
-            elif info.type == pafs.FileType.File and all(
-                    TESTS[kind](info.path if column == "path" else info.base_name, want)
-                    for kind, column, want in self.pushed):
-                files.append((info.path, info.base_name, "file", info.size))
-        return files, sorted(below)
+        found = [i for i in fs.get_file_info(pafs.FileSelector(directory, allow_not_found=True))
+                 if i.base_name.lower() not in self.skip]
+        below = sorted(i.path for i in found if i.type == pafs.FileType.Directory)
+        return self._files([i for i in found if i.type == pafs.FileType.File]), below
+
+    def _files(self, infos: list) -> list[tuple]:
+        """Rows of the files that pass the pushed filters."""
+        return [(i.path, i.base_name, "file", i.size) for i in infos if all(
+            TESTS[kind](i.path if column == "path" else i.base_name, want)
+            for kind, column, want in self.pushed)]
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs as pafs
@@ -101,7 +107,7 @@ class TreeReader(DataSourceReader):
                     if i.base_name.startswith("part-")]
         fs, path = self._system(self.root)
         if fs.get_file_info(path).type == pafs.FileType.File:
-            return [Directory(path, False)]
+            return [Single(path)]
         shallow: list[str] = []
         level = [path]
         for _ in range(PLAN_LEVELS):
@@ -113,7 +119,7 @@ class TreeReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         fs, _ = self._system(self.root)
-        deep, todo = True, []
+        deep, todo, rows = True, [], []
         if isinstance(partition, Listed):
             import pyarrow.parquet as pq
 
@@ -121,13 +127,13 @@ class TreeReader(DataSourceReader):
             todo = pq.read_table(partition.path, columns=["path"], filesystem=store)["path"].to_pylist()
         elif isinstance(partition, Directory):
             deep, todo = partition.deep, [partition.path]
-        rows: list[tuple] = []
+        elif isinstance(partition, Single):
+            info = fs.get_file_info(partition.path)
+            rows = self._files([info])
         listed = 0
         while todo and (self.budget is None or listed < self.budget):
             path = todo.pop()
             found, below = self._entries(fs, path)
-            if not found and not below and not deep:
-                found = self._single(fs, path)
             rows += found
             todo += below if deep else []
             listed += 1
@@ -137,13 +143,6 @@ class TreeReader(DataSourceReader):
         rows += [(d, d.rstrip("/").rsplit("/", 1)[-1], "dir", None) for d in todo]
         yield _batch(rows)
 
-    def _single(self, fs, path: str) -> list[tuple]:
-        """The root itself where it is a file."""
-        from pyarrow import fs as pafs
-
-        info = fs.get_file_info(path)
-        return [(path, info.base_name, "file", info.size)] if info.type == pafs.FileType.File else []
-
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[]] * 4
