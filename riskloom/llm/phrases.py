@@ -40,7 +40,7 @@ from riskloom.llm.words import LOWER, UPPER
 
 LONGEST, LEAST, INSIDE, TOP = 4, 30, 80, 2000
 #: Bytes of text of a block, and of the part of it that is cut into words at once.
-BLOCK_BYTES, SLICE = 16 << 20, 1 << 20
+BLOCK_BYTES, SLICE = 5 << 20, 1 << 20
 #: The sieve has between 2**20 and 2**29 buckets, one for every SPARE bytes of text where that lies between.
 SPAN_BITS, SIEVE_BITS, SPARE = 20, 29, 8
 #: Groups that a share of the word counts goes to.
