@@ -313,20 +313,24 @@ def confidence_bands(findings: DataFrame, scans: DataFrame, as_of: str, days: in
 # Rollups (G15-G18, G38) ----------------------------------------------------------------------
 
 def top_rules_daily(findings: DataFrame, scans: DataFrame) -> DataFrame:
-    """Per organisation, team, day and rule. Findings are reduced to one row per (scan, rule,
-    file) before they meet the scans, and distinct scans and files are counted from those."""
+    """Per organisation, team, day and rule. Each distinct count is a reduction of its own, to a row
+    per scan and to a row per file, and both are added up together; rows are never expanded."""
     group = ["org_id", "team_id", "day", "rule_id", "rule_title", "severity"]
-    per_file = findings.groupBy(*_scan_key(findings, scans), "rule_id", "rule_title", "severity",
-                                "file_path").agg(
-        F.count("*").alias("n"), F.sum(F.col("ai_confidence").cast("double")).alias("c"),
-        F.count("ai_confidence").alias("k"))
-    rows = _joined(per_file, scans, "org_id", "team_id", "timestamp").withColumn(
+    rows = _joined(findings, scans, "org_id", "team_id", "timestamp").withColumn(
         "day", F.date_trunc("day", "timestamp"))
-    return rows.groupBy(*group).agg(
-        F.countDistinct("scan_id").alias("scans_with_rule"),
-        F.sum("n").alias("total_occurrences"),
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    per_scan = rows.groupBy(*group, "scan_id").agg(
+        F.count("*").alias("n"), F.sum(F.col("ai_confidence").cast("double")).alias("c"),
+        F.count("ai_confidence").alias("k")).select(
+        *group, "n", "c", "k", F.col("scan_id").isNotNull().cast("bigint").alias("scans"),
+        zero.alias("files"))
+    per_file = rows.where(F.col("file_path").isNotNull()).select(*group, "file_path").distinct().select(
+        *group, zero.alias("n"), F.lit(None).cast("double").alias("c"), zero.alias("k"),
+        zero.alias("scans"), one.alias("files"))
+    return per_scan.unionByName(per_file).groupBy(*group).agg(
+        F.sum("scans").alias("scans_with_rule"), F.sum("n").alias("total_occurrences"),
         (F.sum("c") / F.nullif(F.sum("k"), F.lit(0))).alias("avg_ai_confidence"),
-        F.countDistinct("file_path").alias("unique_files_affected"))
+        F.sum("files").alias("unique_files_affected"))
 
 
 def repo_health_daily(scans: DataFrame) -> DataFrame:
