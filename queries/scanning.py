@@ -74,8 +74,15 @@ SQL["summarize_findings"] = (f"{hits_cte(CODE, CODE_RULES)} SELECT count(*) AS t
 
 # Paths and lines -----------------------------------------------------------------------------
 
-_LANG = " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in x)}) THEN '{n}'"
-                 for n, x in cp.EXTENSIONS.items())
+# Fixed values, stated here again so that the twin does not follow a wrong list of the library.
+_LANG = """WHEN ext IN ('py') THEN 'python'
+  WHEN ext IN ('js', 'jsx', 'ts', 'tsx', 'mjs', 'cjs') THEN 'javascript' WHEN ext = 'go' THEN 'go'
+  WHEN ext = 'rs' THEN 'rust' WHEN ext = 'java' THEN 'java' WHEN ext = 'cs' THEN 'csharp'
+  WHEN ext = 'rb' THEN 'ruby' WHEN ext IN ('php', 'phtml') THEN 'php' WHEN ext IN ('kt', 'kts') THEN 'kotlin'
+  WHEN ext = 'swift' THEN 'swift' WHEN ext IN ('tf', 'hcl') THEN 'terraform'"""
+_WORKFLOWS = [".github/workflows", ".github\\workflows"]
+_CLUSTER = ["k8s", "kube", "kubernetes", "deployment", "daemonset", "statefulset", "service", "ingress",
+            "pod", "cronjob", "helm", "manifest"]
 
 
 def _paths(spark, sf) -> DataFrame:
@@ -89,8 +96,8 @@ n AS (SELECT *, {lower('path')} AS low, {lower("list_extract(string_split(path,
 e AS (SELECT *, regexp_extract(name, '^.+\\.([^.]*)$', 1) AS ext FROM n)
 SELECT c_custkey, path, language FROM (SELECT c_custkey, path, CASE
   WHEN name = 'dockerfile' OR starts_with(name, 'dockerfile.') THEN 'dockerfile' {_LANG}
-  WHEN ext IN ('yaml', 'yml') AND {q.any_in('low', cp.WORKFLOW_HINTS)} THEN 'github-actions'
-  WHEN ext IN ('yaml', 'yml') AND {q.any_in('low', cp.K8S_HINTS)} THEN 'kubernetes' END AS language
+  WHEN ext IN ('yaml', 'yml') AND {q.any_in('low', _WORKFLOWS)} THEN 'github-actions'
+  WHEN ext IN ('yaml', 'yml') AND {q.any_in('low', _CLUSTER)} THEN 'kubernetes' END AS language
   FROM e) WHERE language IS NOT NULL"""
 
 QUERIES["relative_path"] = lambda spark, sf: cp.with_relative_path(
@@ -346,7 +353,8 @@ QUERIES["code_features"] = lambda spark, sf: ts.code_features(
     "doc_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in
                 ("comment_density", "mean_line_length", "keyword_score")])
 _TEXTS = "SELECT doc_id AS path, 'x' AS language, text AS content FROM documents"
-_WORDS = " + ".join(f"contains(lower(text), '{k}')::INT" for k in ts.KEYWORDS)
+_WORDS = " + ".join(f"contains(lower(text), '{k}')::INT" for k in (
+    "generated by", "openai", "chatgpt", "copilot", "anthropic", "claude", "here is the code", "sure,"))
 SQL["code_features"] = f"""WITH {lines_cte(_TEXTS)}, a AS (SELECT path, count(*) AS n,
   count(*) FILTER (WHERE {_COMMENT.format(q.trim('text'))}) AS c, sum(strlen(text)) AS b
   FROM numbered GROUP BY 1)
@@ -370,7 +378,8 @@ def _paste(spark, sf) -> DataFrame:
 
 
 QUERIES["paste_signal"] = _paste
-_NAMES = " + ".join(f"contains(t, '{p}')::INT" for p in ts.PLACEHOLDERS)
+_NAMES = " + ".join(f"contains(t, '{p}')::INT" for p in (
+    "foo", "bar", "baz", "example", "myFunction", "doSomething"))
 _TRIMMED = _COMMENT.format(f"trim(z, {q.JS_WS})")
 SQL["paste_signal"] = f"""WITH r AS (SELECT conv_id, turn, {_PASTE} AS t FROM conversations),
 x AS (SELECT *, string_split(t, chr(10)) AS ls FROM r),
