@@ -189,8 +189,8 @@ def marked(docs: DataFrame, group: str | None, numbers: dict[str, int]) -> DataF
 
 def in_buckets(found: DataFrame, depth: int) -> DataFrame:
     """``key`` and training count ``c`` of every symbol in its context, and a ``bucket`` of branches:
-    as many as shuffle partitions, so that a bucket is a fair share of any vocabulary."""
-    buckets = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    eight for each shuffle partition, as a bucket is weighed in memory, some 500 bytes for a key."""
+    buckets = 8 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     branch = F.shiftright("key", 8 * depth)
     return keep(found.groupBy("key").agg(F.sum("c").alias("c")).withColumn(
         "bucket", F.pmod(F.xxhash64(branch), F.lit(buckets)).cast("int")))
