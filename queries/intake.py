@@ -261,7 +261,8 @@ def _stream_of(spark, sf, sql: str) -> DataFrame:
     v.apply_settings(spark)
     for name in sorted(set(re.findall(r"\{(\w+)\}", sql))):
         schema = v.load(spark, sf, name).schema
-        (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+        # A table is one file or a folder of files; a pattern takes either, a stream's plain path only folders.
+        (spark.readStream.schema(schema).parquet(f"{sf}/{{{name}}}.parquet")
          .createOrReplaceTempView(f"{name}_stream"))
     return spark.sql(re.sub(r"\{(\w+)\}", r"\1_stream", sql))
 
