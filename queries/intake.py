@@ -293,15 +293,14 @@ def _stream_files(spark, sf) -> DataFrame:
     waves = [draft, draft.where(F.crc32(F.col("path").cast("binary")) % 2 == 0),
              corpus.where(third).withColumn("changed", F.lit(3)).unionByName(corpus.where(third).withColumns(
                  {"content": F.lit("late todo the"), "changed": F.lit(0)}))]
-    for i, wave in enumerate(waves, 1):
+    options = ScanOptions(dedup="normalized", severity="low")
+    for i, wave in enumerate(waves, 1):  # a wave has any number of files and is one run of the stream
         if "changed" not in wave.columns:
             wave = wave.withColumn("changed", F.lit(i))
-        wave.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option(
-        "maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    options = ScanOptions(dedup="normalized", severity="low")
-    start_files(stream, rules(spark, [*TEXT_RULES, TEXT_RULES[0]]), f"{folder}/out", options,
-                f"files-{uuid.uuid4().hex}", availableNow=True).awaitTermination()
+        wave.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(wave.schema).parquet(f"{folder}/in")
+        start_files(stream, rules(spark, [*TEXT_RULES, TEXT_RULES[0]]), f"{folder}/out", options,
+                    f"files-{uuid.uuid4().hex}", availableNow=True).awaitTermination()
     return flat(last_findings(spark, f"{folder}/out"))
 
 
