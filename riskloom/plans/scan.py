@@ -16,6 +16,7 @@ from riskloom.operators.findings import (
 from riskloom.operators.matching import (
     MARKER, ai_only, filter_rules, match_rules, order_findings, unique_findings)
 from riskloom.operators.routes import ROUTE_IDS, unguarded_routes
+from riskloom.session import stored
 from riskloom.sources.corpus import exclude_paths
 
 
@@ -80,9 +81,10 @@ def scan(corpus: DataFrame, rules: DataFrame, options: ScanOptions = ScanOptions
 
 def scan_many(corpora: list[DataFrame], rules: DataFrame, options: ScanOptions = ScanOptions()
               ) -> DataFrame:
-    """Findings of several targets, sorted once."""
+    """Findings of several targets, sorted once. A sort reads its rows twice, first for a sample of
+    their order, so they are stored before it and no file is scanned twice."""
     parts = [scan(c, rules, options, ordered=False) for c in corpora]
-    return order_findings(reduce(DataFrame.unionByName, parts), options.by)
+    return order_findings(stored(reduce(DataFrame.unionByName, parts)), options.by)
 
 
 def scan_summary(findings: DataFrame, corpus: DataFrame, rules: DataFrame) -> DataFrame:
