@@ -8,21 +8,31 @@ are laid out by rule and file, so that a rare word lies in few files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import ascii_lower
 from riskloom.operators.findings import search, search_text
 
 GRAM = 3
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct runs of three characters of a lower-cased text."""
-    n = F.char_length(text)
-    return F.when(n >= GRAM, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(text, i, GRAM)))).otherwise(
-            F.array().cast("array<string>"))
+def trigrams(rows: DataFrame) -> DataFrame:
+    """The runs of three characters of ``part, text`` rows as ``part, gram``, distinct within a batch of rows, so
+    that what leaves a batch does not grow with the number of its characters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, set[str]] = {}
+            for part, text in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(part, set()).update(
+                    map("".join, zip(*(text[i:] for i in range(GRAM)))))
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([p for p, grams in held.items() for _ in grams], pa.string()),
+                "gram": pa.array([g for grams in held.values() for g in grams], pa.string())})
+
+    return rows.mapInArrow(run, "part string, gram string")
 
 
 def write_searchable(findings: DataFrame, path: str, files: int) -> None:
@@ -36,8 +46,8 @@ def index_findings(spark: SparkSession, path: str) -> None:
     """Write the index of the findings below ``path`` anew."""
     rows = spark.read.parquet(f"{path}/findings").select(
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("part"),
-        F.explode(trigrams(search_text())).alias("gram"))
-    held = rows.distinct()
+        search_text().alias("text"))
+    held = trigrams(rows).distinct()
     (held.repartitionByRange("gram", "part").sortWithinPartitions("gram", "part")
      .write.mode("overwrite").parquet(f"{path}/trigrams"))
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.findings import search
-from riskloom.operators.searchindex import files_of, indexed_search, write_searchable
+from riskloom.operators.searchindex import files_of, indexed_search, trigrams, write_searchable
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,11 @@ def test_rare_words_leave_few_files(spark, stored):
     assert 0 < len(files_of(spark, stored, "rule-39")) <= 3
     assert files_of(spark, stored, "nowhere") == [] and files_of(spark, stored, "ab c") is None
     assert len(files_of(spark, stored, "critical")) == every
+
+
+def test_a_batch_leaves_each_trigram_once(spark):
+    texts = ["abcd", "ab", "", "Überlog ", "abcab", "😀ab"] * 400
+    rows = spark.createDataFrame([(f"p{i % 2}", t) for i, t in enumerate(texts)], "part string, text string")
+    got = [tuple(r) for r in trigrams(rows.coalesce(1)).collect()]
+    assert set(got) == {(f"p{i % 2}", t[j:j + 3]) for i, t in enumerate(texts) for j in range(len(t) - 2)}
+    assert len(got) <= 2 * len(set(got))
