@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.sources.corpus import read_corpus
+from riskloom.sources.files import read_texts
 from riskloom.sources.rules import load_rules
 from riskloom.sources.tree import tree, walked
 
@@ -59,3 +60,23 @@ def test_rules_are_parsed_once(spark, tmp_path):
     assert rules.count() == 3
     plan = rules._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan and "BatchScan" not in plan
+
+
+def test_small_texts_leave_a_task_together(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"f{i}").write_bytes(b"\xff" if i == 7 else f"Text {i} é".encode())
+    paths = spark.createDataFrame([(str(tmp_path / f"f{i}"),) for i in range(61)], "path string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        texts = read_texts(paths, f"file://{tmp_path}")
+
+        def sizes(batches):
+            for batch in batches:
+                yield batch.from_pydict({"n": [batch.num_rows]})
+
+        assert [r.n for r in texts.mapInArrow(sizes, "n long").collect()] == [59]
+        got = {r.path.rsplit("/f")[-1]: r.content for r in texts.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {str(i): f"Text {i} é" for i in range(60) if i != 7}
