@@ -119,16 +119,23 @@ def scan_tables(findings: DataFrame, heads: DataFrame) -> Ingested:
 
 def upsert_findings(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = (
         "scan_id", "finding_hash")) -> DataFrame:
-    """One row per key; the first row's values stay, last_seen and times_seen move on. It is
-    one aggregate, so copies of a key are folded in the tasks before the shuffle."""
+    """One row per key; the first row's values stay, last_seen and times_seen move on. Both sides are
+    folded by key before they meet, so copies of a key are folded in the tasks before the shuffle and
+    rows that already lie by key, such as those of an upsert before, are not moved again."""
     cols = [c for c in old.columns if c not in (*keys, "first_seen", "last_seen", "times_seen")]
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)),
-                                                        allowMissingColumns=True)
-    first = F.min(F.struct("_new", "first_seen", F.struct(*cols).alias("v")))["v"]
-    folded = both.groupBy(*keys).agg(
-        first.alias("v"), F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"), F.sum("times_seen").alias("times_seen"))
-    return folded.select(*keys, "v.*", "first_seen", "last_seen", "times_seen").select(
+
+    def marked(df: DataFrame, new: int) -> DataFrame:
+        return df.select(*keys, F.struct(F.lit(new).alias("new"), "first_seen", F.struct(*cols).alias("v"))
+                         .alias("_first"), "first_seen", "last_seen", "times_seen")
+
+    def folded(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys).agg(
+            F.min("_first").alias("_first"), F.min("first_seen").alias("first_seen"),
+            F.max("last_seen").alias("last_seen"), F.sum("times_seen").alias("times_seen"))
+
+    lacking = {c: F.lit(None).cast(old.schema[c].dataType) for c in old.columns if c not in new.columns}
+    both = folded(marked(old, 0)).unionByName(folded(marked(new.withColumns(lacking), 1)))
+    return folded(both).select(*keys, "_first.v.*", "first_seen", "last_seen", "times_seen").select(
         *old.columns)
 
 

@@ -210,6 +210,25 @@ def test_ingest_upsert_and_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t" / "findings")).count() == 2
 
 
+def test_an_upsert_moves_folded_rows_once(spark):
+    rows = spark.range(400).select(
+        F.when(F.col("id") % 20 > 0, (F.col("id") % 20).cast("string")).alias("scan_id"),
+        (F.col("id") % 7).cast("string").alias("finding_hash"), F.col("id").cast("string").alias("rule_id"),
+        F.timestamp_seconds(F.col("id")).alias("first_seen"), F.timestamp_seconds(F.col("id")).alias("last_seen"),
+        F.lit(1).cast("bigint").alias("times_seen"))
+    old, new = rows.where("rule_id % 3 > 0"), rows.where("rule_id % 3 = 0").drop("rule_id")
+    out = ig.upsert_findings(ig.upsert_findings(old.limit(0), old), new)
+    got = {(r["scan_id"], r["finding_hash"]): (r["rule_id"], r["times_seen"]) for r in out.collect()}
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (int(r["rule_id"]) % 3 == 0, int(r["rule_id"]))):
+        key = r["scan_id"], r["finding_hash"]
+        held = r["rule_id"] if int(r["rule_id"]) % 3 else None
+        want[key] = (want[key][0], want[key][1] + 1) if key in want else (held, 1)
+    assert got == want and any(k[0] is None for k in got)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Union")]
+
+
 def test_validation(spark):
     seeded = seed.seed_findings(seed.seed_scans(spark, 20))
     ok, bad = ig.validate(ig.check_findings(seeded.dropDuplicates(["scan_id", "finding_hash"])))
