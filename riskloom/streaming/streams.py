@@ -98,8 +98,12 @@ def current_findings(spark: SparkSession, path: str) -> DataFrame:
         return upsert_findings(rows.limit(0), rows)
     base = f"{path}/compact/{bases[-1]}"
     held = spark.read.parquet(f"{base}/batches")
+    folded = spark.read.parquet(f"{base}/findings")
+    since = rows.select("run", "batch").distinct().join(F.broadcast(held), ["run", "batch"], "left_anti")
+    if since.isEmpty():  # a compaction has one row per key
+        return folded
     rows = rows.join(F.broadcast(held), ["run", "batch"], "left_anti")  # a row per batch
-    return upsert_findings(spark.read.parquet(f"{base}/findings"), rows.drop("run", "batch"))
+    return upsert_findings(folded, rows.drop("run", "batch"))
 
 
 def compact_findings(spark: SparkSession, path: str) -> None:

@@ -568,6 +568,21 @@ def test_ingest_starts_again_and_compacts(spark, tmp_path):
     assert run(one) == [4 * n for n in first]
 
 
+def test_a_compaction_is_read_as_it_is(spark, tmp_path):
+    df = spark.createDataFrame([(payload(),)], "payload string").withColumn(
+        "received_at", F.lit("2025-01-02").cast("timestamp"))
+    path = str(tmp_path / "t")
+    write = sm.ingest_writer(path)
+    write(df, 0)
+    want = sm.current_findings(spark, path).collect()
+    sm.compact_findings(spark, path)
+    now = sm.current_findings(spark, path)
+    assert [r.asDict() for r in now.collect()] == [r.asDict() for r in want]
+    assert "Aggregate" not in now._jdf.queryExecution().executedPlan().toString()
+    write(df, 1)
+    assert [r["times_seen"] for r in sm.current_findings(spark, path).collect()] == [4]
+
+
 def test_stream_scan_with_every_option(spark, sf):
     from queries.rulebook import TEXT_RULES, rules
     from queries.scanning import flat
