@@ -229,6 +229,14 @@ def test_an_upsert_moves_folded_rows_once(spark):
     assert "Exchange" not in plan[:plan.index("Union")]
 
 
+def test_reports_are_parsed_once(spark):
+    rows = spark.createDataFrame([('{"findings": [{"id": "A"}], "runs": []}', 1), ("{bad", 1), (None, 1)],
+                                 "payload string, k int").withColumn("payload", F.upper("payload")).where("k > 0")
+    for found in (rp.report_findings(rows), rp.sarif_results(rows),
+                  *(rp.external_findings(rows, e) for e in ("semgrep", "bandit", "eslint"))):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_validation(spark):
     seeded = seed.seed_findings(seed.seed_scans(spark, 20))
     ok, bad = ig.validate(ig.check_findings(seeded.dropDuplicates(["scan_id", "finding_hash"])))
