@@ -7,8 +7,9 @@ does: a node's weighted probability is half its own estimate's and half the prod
 so the share of each depth follows from how well it described the training text. A context that training
 never saw adds nothing: the estimate of the longest one that it saw stands.
 
-The tree is cut by the last two bytes of the context: below, branches are weighted on their own where
-their counts meet; of the two depths above only 256 * 255 nodes can exist, which the driver weighs.
+The tree is cut by the last two bytes of the context: below, whole branches are weighted on their own where
+their counts meet, and these parts answer the blocks that asked; of the two depths above only 256 * 255 nodes
+can exist, which the driver weighs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.tables import keep
+from riskloom.llm.tables import release_shuffles
 from riskloom.llm.words import whole_number
 
 DEPTH = 6
@@ -68,6 +69,21 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
         - _looked_up(zeros + ones, WHOLES, 1.0) - np.log(np.pi)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Eight-byte values, compressed by byte planes."""
+    import zstandard
+
+    planes = np.ascontiguousarray(values.view("u1").reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def spell(terms: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(term number, key) of every symbol of the terms (a group's byte and a word): the key holds the
     ``depth`` bytes before the symbol, the latest first, the group, and the symbol itself. Before the
@@ -80,63 +96,73 @@ def spell(terms: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(sizes + depth + 1) - sizes
     term = np.repeat(np.arange(len(terms)), sizes)
     at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    key = np.zeros(len(at), np.int64)
+    context = np.zeros(len(data) - depth if len(data) else 0, np.int64)
     for back in range(1, depth + 1):
-        key = (key << 8) | data[at - back]
-    return term, (((key << 8) | groups[term]) << 8) | data[at]
+        context <<= 8
+        context |= data[depth - back:len(data) - back]
+    return term, (((context[at - depth] << 8) | groups[term]) << 8) | data[at]
 
 
 class Branches:
     """The nodes at depth 2 and below of whole branches (contexts that end in the same two bytes, the
-    first two of the key), weighted. ``depth`` counts the bytes of the key before the symbol."""
+    first two of the key), weighted. ``depth`` counts the bytes of the key before the symbol; keys are
+    distinct and ascending.
+
+    At every depth the keys fall into pairs of a context and a symbol, fewer the shallower. Where pairs
+    are in order, the pairs of a node stand side by side, so nodes are runs of pairs and need no sort.
+    """
 
     def __init__(self, key: np.ndarray, count: np.ndarray, depth: int):
-        order = np.argsort(key)
-        self.key, weight = key[order], count[order].astype(float)
-        self.depth = depth
-        self.last = (self.key >> 8 * depth) & 255
-        symbol = self.key & 255
-        level = np.arange(8)[:, None]
-        # node of each decision inside the byte's binary tree, and the decision
-        self.node = (1 << level) | (symbol >> (8 - level))
-        self.bit = (symbol >> (7 - level)) & 1
-        ones = (self.bit * weight).ravel()
-        total = np.broadcast_to(weight, self.node.shape).ravel()
-        self.at: dict[int, np.ndarray] = {}  # depth -> number of each decision's node
+        self.key, self.depth = key, depth
+        self.pairs: dict[int, np.ndarray] = {}  # depth -> number of each key's pair
+        self.at: dict[int, np.ndarray] = {}  # depth -> number of the node of each pair's decisions
         self.zeros: dict[int, np.ndarray] = {}
         self.ones: dict[int, np.ndarray] = {}
         self.own: dict[int, np.ndarray] = {}  # share of the node's own estimate
-        weighted = deeper = None
+        level = np.arange(8)[:, None]
+        pair, weight = key, count.astype(float)
+        weighted = starts = None
         for d in range(depth, 1, -1):
-            context = self.key >> 8 * (1 + depth - d)
-            new = np.append(True, context[1:] != context[:-1])
-            row = np.cumsum(new) - 1
-            cells, at = np.unique(row * 256 + self.node, return_inverse=True)
-            self.at[d] = at = at.reshape(self.node.shape)
-            self.ones[d] = np.bincount(at.ravel(), ones, len(cells))
-            self.zeros[d] = np.bincount(at.ravel(), total, len(cells)) - self.ones[d]
+            if d == depth:
+                up = self.pairs[d] = np.arange(len(key))
+            else:
+                pair, up = np.unique(((pair >> 16) << 8) | (pair & 255), return_inverse=True)
+                weight = np.bincount(up, weight, len(pair))
+                self.pairs[d] = up[self.pairs[d + 1]]
+            symbol, context = pair & 255, pair >> 8
+            node = (1 << level) | (symbol >> (8 - level))
+            new = np.ones(node.shape, bool)
+            new[:, 1:] = (node[:, 1:] != node[:, :-1]) | (context[1:] != context[:-1])
+            first = np.flatnonzero(new)
+            at = self.at[d] = (np.cumsum(new) - 1).reshape(node.shape)
+            self.ones[d] = np.add.reduceat((((symbol >> (7 - level)) & 1) * weight).ravel(), first)
+            self.zeros[d] = np.add.reduceat(np.tile(weight, 8), first) - self.ones[d]
             own = log_kt(self.zeros[d], self.ones[d])
             if weighted is None:
-                weighted, self.own[d] = own, np.ones(len(cells))
+                weighted, self.own[d] = own, np.ones(len(own))
             else:
-                child, first = deeper
-                parent = np.searchsorted(cells, row[first[child >> 8]] * 256 + (child & 255))
-                below = np.bincount(parent, weighted, len(cells))
+                above = at[starts // len(up), up[starts % len(up)]]
+                below = np.bincount(above, weighted, len(own))
                 weighted = np.logaddexp(own, below) + HALF
                 self.own[d] = np.exp(own + HALF - weighted)
-            deeper = cells, np.flatnonzero(new)  # nodes, and a key of each context
+            starts = first  # the first pair of each node, counted on from level to level
         self.top = pd.DataFrame({
-            "last": self.last[deeper[1][cells >> 8]], "node": cells & 255, "zeros": self.zeros[2],
-            "ones": self.ones[2], "weighted": weighted}).groupby(["last", "node"], as_index=False).sum()
-
-    def predictions(self) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each decision of each key (8 rows), depths 2 and up mixed, and whether the
-        node at depth 2 was seen."""
+            "last": (context[first % len(pair)] >> 8) & 255, "node": node.ravel()[first],
+            "zeros": self.zeros[2], "ones": self.ones[2], "weighted": weighted,
+        }).groupby(["last", "node"], as_index=False).sum()
+
+    def predictions(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the keys from ``a`` to ``b``: the node of each decision inside the byte's binary tree (8
+        rows), the decision, its probability, depths 2 and up mixed, and whether the node at depth 2
+        was seen."""
+        symbol, level = self.key[a:b] & 255, np.arange(8)[:, None]
+        node, bit = (1 << level) | (symbol >> (8 - level)), (symbol >> (7 - level)) & 1
         mixed = seen = None
         for d in range(self.depth, 1, -1):
-            zeros, ones, own = (t[d][self.at[d]] for t in (self.zeros, self.ones, self.own))
-            mixed, seen = mix(mixed, seen, zeros, ones, own, self.bit)
-        return mixed, seen
+            at = self.at[d][:, self.pairs[d][a:b]]
+            zeros, ones, own = (t[d][at] for t in (self.zeros, self.ones, self.own))
+            mixed, seen = mix(mixed, seen, zeros, ones, own, bit)
+        return node, bit, mixed, seen
 
 
 def mix(deeper, deeper_seen, zeros, ones, own, bit):
@@ -187,33 +213,52 @@ def marked(docs: DataFrame, group: str | None, numbers: dict[str, int]) -> DataF
         mark, F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text"))
 
 
-def in_buckets(found: DataFrame, depth: int) -> DataFrame:
-    """``key`` and training count ``c`` of every symbol in its context, and a ``bucket`` of branches:
-    eight for each shuffle partition, as a bucket is weighed in memory, some 500 bytes for a key."""
-    buckets = 8 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    branch = F.shiftright("key", 8 * depth)
-    return keep(found.groupBy("key").agg(F.sum("c").alias("c")).withColumn(
-        "bucket", F.pmod(F.xxhash64(branch), F.lit(buckets)).cast("int")))
+def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a part's blocks, ascending, and their training counts."""
+    key = np.concatenate([unpack(k) for k in table["keys"].to_pylist()])
+    count = np.concatenate([unpack(c) for c in table["counts"].to_pylist()])
+    order = np.argsort(key)
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(count, first)
+
 
+#: Keys whose probabilities are mixed at once.
+AT_ONCE = 1 << 13
 
-def code_lengths(counted: DataFrame, depth: int) -> DataFrame:
-    """``key`` and ``log10p``, the log10 probability of every symbol in its context."""
+
+def above(found: DataFrame, depth: int) -> pd.DataFrame:
+    """The sums over the branches for the nodes of depth 1, at most 256 * 255 rows."""
     def stats(part: pa.Table) -> pa.Table:
-        top = Branches(part["key"].to_numpy(), part["c"].to_numpy(), depth + 1).top
-        return pa.Table.from_pandas(top, preserve_index=False)
+        return pa.Table.from_pandas(Branches(*merged(part), depth + 1).top, preserve_index=False)
 
-    by_bucket = counted.groupBy("bucket")
-    above = (by_bucket.applyInArrow(
+    return (found.select("part", "keys", "counts").groupBy("part").applyInArrow(
         stats, "last long, node long, zeros double, ones double, weighted double")
-        .groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))))
-    zeros, ones, own_1, own_0 = top_tables(above.toPandas())  # at most 256 * 255 rows
+        .groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")))
+        .toPandas())
+
+
+def code_lengths(found: DataFrame, depth: int) -> DataFrame:
+    """``found`` has a row per block and part, a part being whole branches: ``keys``, ascending, and
+    ``counts``. Returns ``block``, ``part`` and ``values``, the log10 probabilities of its keys, the
+    symbols in their contexts."""
+    zeros, ones, own_1, own_0 = top_tables(above(found, depth))
+    release_shuffles(found)
+    zeros_0, ones_0 = zeros.sum(axis=0), ones.sum(axis=0)
 
     def lengths(part: pa.Table) -> pa.Table:
-        found = Branches(part["key"].to_numpy(), part["c"].to_numpy(), depth + 1)
-        mixed, seen = found.predictions()
-        node, bit, one = found.node, found.bit, (found.last, found.node)
-        mixed, seen = mix(mixed, seen, zeros[one], ones[one], own_1[one], bit)
-        mixed, _ = mix(mixed, seen, zeros.sum(axis=0)[node], ones.sum(axis=0)[node], own_0[node], bit)
-        return pa.table({"key": found.key, "log10p": np.log10(mixed).sum(axis=0)})
-
-    return by_bucket.applyInArrow(lengths, "key long, log10p double")
+        key, count = merged(part)
+        branches = Branches(key, count, depth + 1)
+        log10p = np.empty(len(key))
+        for a in range(0, len(key), AT_ONCE):
+            b = min(a + AT_ONCE, len(key))
+            node, bit, mixed, seen = branches.predictions(a, b)
+            one = ((key[a:b] >> 8 * (depth + 1)) & 255, node)
+            mixed, seen = mix(mixed, seen, zeros[one], ones[one], own_1[one], bit)
+            mixed, _ = mix(mixed, seen, zeros_0[node], ones_0[node], own_0[node], bit)
+            log10p[a:b] = np.log10(mixed).sum(axis=0)
+        values = [pack(log10p[np.searchsorted(key, unpack(k))]) for k in part["keys"].to_pylist()]
+        return pa.table({"block": part["block"], "part": part["part"],
+                         "values": pa.array(values, pa.binary())})
+
+    return found.groupBy("part").applyInArrow(lengths, "block long, part long, values binary")

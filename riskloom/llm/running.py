@@ -3,8 +3,9 @@
 A document is its words in lower case with single spaces, a line end as its end, and a space after that;
 the context of a byte are the bytes before it up to the model's depth, reset only where a document starts.
 Texts are cut into blocks that are kept; a block sends each distinct symbol in its context once, with its
-training count, packed by shares of all keys, and gets the code lengths back in the same order, so what is moved
-follows the distinct contexts of a block and not its bytes.
+training count, packed by parts of all keys, and gets the code lengths back in the same order, so what is moved
+follows the distinct contexts of a block and not its bytes. A part holds whole branches of the context trees,
+which are weighted where its keys meet. The distinct words of a block travel in the same way for their counts.
 
 Defined cases: a null, empty or blank text is its end alone; a null ``doc_id`` is held out (crc32 of the
 empty text), as all documents whose crc32 leaves 0; with no training document every probability is the
@@ -16,7 +17,8 @@ empty table gives no rows. Without a ``group`` column all documents are one grou
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.ctw import (DEPTH, END, _held, code_lengths, group_numbers, held_out, in_buckets,
-                              marked, spell)
+from riskloom.llm.ctw import (DEPTH, END, _held, code_lengths, group_numbers, held_out, marked, pack,
+                              spell, unpack)
 from riskloom.llm.frequencies import blocks
-from riskloom.llm.tables import drop, keep, partition_number
+from riskloom.llm.tables import keep, partition_number
 from riskloom.llm.words import arrow_schema, lower_words
 
 #: Bytes of text that are spelled at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Bytes of text of a block: its distinct contexts are sorted in memory.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 14 << 20
+#: ``data`` is compressed here: the codecs of files and shuffles keep half as much again.
 BLOCK = "block long, ids array<bigint>, bytes array<bigint>, ends array<bigint>, data binary"
 
 
@@ -47,10 +50,13 @@ def block_table(texts: DataFrame) -> DataFrame:
     target = arrow_schema(T.StructType.fromDDL(BLOCK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        shrink = zstandard.ZstdCompressor(level=3).compress
         for number, ids, found in blocks(batches, BLOCK_BYTES):
             spelled = [running(t) for t in found]
             ends = np.cumsum([len(t) for t in spelled]).tolist()
-            row = [[number], [ids], [[len(t) for t in found]], [ends], [b"".join(spelled)]]
+            row = [[number], [ids], [[len(t) for t in found]], [ends], [shrink(b"".join(spelled))]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(row, target)], schema=target)
 
@@ -58,6 +64,9 @@ def block_table(texts: DataFrame) -> DataFrame:
 
 
 def documents(ends: list[int], data: bytes) -> list[bytes]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -73,154 +82,164 @@ def slices(found: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(found)
 
 
-def distinct_keys(found: list[bytes], learned: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct symbols in context of a block, sorted, and their training counts."""
-    keys, counts = [], []
+def all_keys(found: list[bytes], depth: int) -> np.ndarray:
+    """Every symbol in its context, in order."""
+    key, done = np.empty(sum(len(t) for t in found), np.int64), 0
     for a, b in slices(found):
-        place, key = spell(found[a:b], depth)
-        one, at = np.unique(key, return_inverse=True)
-        keys.append(one)
-        counts.append(np.bincount(at, learned[a:b][place], len(one)))
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    del keys, counts
-    order = np.argsort(key)
-    key, count = key[order], count[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key[first], np.add.reduceat(count, first).astype(np.int64)
-
-
-def pack(values: np.ndarray) -> bytes:
-    """Eight-byte values, compressed by byte planes."""
-    import zstandard
-
-    planes = np.ascontiguousarray(values.view("u1").reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+        _, one = spell(found[a:b], depth)
+        key[done:done + len(one)] = one
+        done += len(one)
+    return key
 
 
-def unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and how often each occurs; ``key`` is sorted in place."""
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(np.append(first, len(key)))
 
-def part_of(key: np.ndarray, parts: int) -> np.ndarray:
-    """An even share of all keys."""
-    mixed = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
-
-def by_part(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts keys by part and inside a part as they are, and where parts begin."""
-    part = part_of(key, parts)
+def distinct_keys(found: list[bytes], learned: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct symbols in context of a block, sorted, and their training counts."""
+    known, times = distinct(all_keys([t for t, yes in zip(found, learned) if yes], depth))
+    other, _ = distinct(all_keys([t for t, yes in zip(found, learned) if not yes], depth))
+    key, _ = distinct(np.concatenate([known, other]))
+    count = np.zeros(len(key), np.int64)
+    count[np.searchsorted(key, known)] = times
+    return key, count
+
+
+def by_part(key: np.ndarray, depth: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts keys by part and inside a part as they are, and where parts begin. A part is a
+    share of the branches, contexts that end in the same two bytes."""
+    mixed = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    of_branch = ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.min_scalar_type(parts))
+    part = of_branch[(key >> 8 * depth) & 0xFFFF]
     order = np.argsort(part, kind="stable")
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
+def packed(number: int, parts: Iterable[int], first: list[bytes], counts: list[bytes], name: str
+           ) -> pa.RecordBatch:
+    parts = list(parts)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(parts), number)), pa.array(parts, pa.int64()),
+         pa.array(first, pa.binary()), pa.array(counts, pa.binary())],
+        names=["block", "part", name, "counts"])
+
+
 def block_keys(stored: DataFrame, depth: int, parts: int) -> DataFrame:
     """A row per block and part: the distinct symbols in context, sorted, and their training counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 number, ids, ends, data = (c[i].as_py() for c in batch.columns)
-                learned = ~np.array([held_out(d) for d in ids], bool)
-                key, c = distinct_keys(documents(ends, data), learned, depth)
-                order, edges = by_part(key, parts)
+                key, c = distinct_keys(documents(ends, data), [not held_out(d) for d in ids], depth)
+                order, edges = by_part(key, depth, parts)
                 key, c = key[order], c[order]
-                spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(parts, number)), pa.array(np.arange(parts)),
-                     pa.array([pack(key[a:b]) for a, b in spans], pa.binary()),
-                     pa.array([pack(c[a:b]) for a, b in spans], pa.binary())],
-                    names=["block", "part", "keys", "counts"])
+                spans = [(p, slice(a, b)) for p, (a, b) in enumerate(
+                    zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
+                yield packed(number, [p for p, _ in spans], [pack(key[s]) for _, s in spans],
+                             [pack(c[s]) for _, s in spans], "keys")
 
     return keep(stored.select("block", "ids", "ends", "data").mapInArrow(
         run, "block long, part long, keys binary, counts binary"))
 
 
-def counted(found: DataFrame) -> DataFrame:
-    """``key`` and training count ``c`` of all blocks."""
-    def run(table: pa.Table) -> pa.Table:
-        key = np.concatenate([unpack(k) for k in table["keys"].to_pylist()])
-        c = np.concatenate([unpack(x) for x in table["counts"].to_pylist()])
-        order = np.argsort(key)
-        key, c = key[order], c[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
-        return pa.table({"key": key[first], "c": np.add.reduceat(c, first)}) if len(key) else \
-            pa.table({"key": key, "c": c})
-
-    return found.select("part", "keys", "counts").groupBy("part").applyInArrow(run, "key long, c long")
-
-
-def block_lengths(found: DataFrame, lengths: DataFrame, parts: int) -> DataFrame:
-    """``found`` with the code lengths of its keys as ``values``."""
-    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        key, log10p = known["key"].to_numpy(), known["log10p"].to_numpy()
-        order = np.argsort(key)
-        key, log10p = key[order], log10p[order]
-        values = [pack(log10p[np.searchsorted(key, unpack(k))]) if len(key) else pack(log10p)
-                  for k in asked["keys"].to_pylist()]
-        return pa.table({"block": asked["block"], "part": asked["part"],
-                         "values": pa.array(values, pa.binary())})
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part_of(batch.column(0).to_numpy(), parts)), *batch.columns],
-                names=["part", "key", "log10p"])
-
-    dealt = lengths.select("key", "log10p").mapInArrow(number, "part long, key long, log10p double")
-    return (found.select("block", "part", "keys").groupBy("part").cogroup(dealt.groupBy("part"))
-            .applyInArrow(run, "block long, part long, values binary"))
+def words_by_part(found: Iterable[bytes], parts: int) -> dict[int, list[bytes]]:
+    """Distinct words, sorted, by part."""
+    out: dict[int, list[bytes]] = {}
+    for w in sorted(found):
+        out.setdefault(crc32(w) % parts, []).append(w)
+    return out
 
 
-def block_words(stored: DataFrame) -> DataFrame:
-    """``block``, ``word`` and training count ``c``, a row per block and distinct word."""
+def block_words(stored: DataFrame, parts: int) -> DataFrame:
+    """A row per block and part: the distinct words, sorted, and their training counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        shrink = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for i in range(len(batch)):
                 number, ids, ends, data = (c[i].as_py() for c in batch.columns)
                 counted: Counter[bytes] = Counter()
+                other: set[bytes] = set()
                 for ident, t in zip(ids, documents(ends, data)):
-                    words = t[1:].split(b" ")
-                    if held_out(ident):
-                        words = dict.fromkeys(words, 0)
-                    counted.update(words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(counted), number)), pa.array(list(counted), pa.binary()),
-                     pa.array(list(counted.values()), pa.int64())], names=["block", "word", "c"])
+                    (other if held_out(ident) else counted).update(t[1:].split(b" "))
+                for w in other:
+                    counted.setdefault(w, 0)
+                dealt = words_by_part(counted, parts)
+                yield packed(number, dealt, [shrink(b" ".join(ws)) for ws in dealt.values()],
+                             [pack(np.array([counted[w] for w in ws], np.int64))
+                              for ws in dealt.values()], "words")
 
     return stored.select("block", "ids", "ends", "data").mapInArrow(
-        run, "block long, word binary, c long")
+        run, "block long, part long, words binary, counts binary")
+
+
+def word_counts(found: DataFrame) -> DataFrame:
+    """``found`` with the training counts in all blocks as ``values``; one row of each part has the
+    number of its words with a count and the sum of these counts, the others zeros."""
+    def run(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        grow = zstandard.ZstdDecompressor().decompress
+        asked = [grow(w).split(b" ") for w in table["words"].to_pylist()]
+        every: Counter[bytes] = Counter()
+        for words, counts in zip(asked, table["counts"].to_pylist()):
+            for w, c in zip(words, unpack(counts).tolist()):
+                every[w] += c
+        values = [pack(np.array([every[w] for w in words], np.int64)) for words in asked]
+        rest = [0] * (len(values) - 1)
+        return pa.table({"block": table["block"], "part": table["part"],
+                         "values": pa.array(values, pa.binary()),
+                         "known": pa.array([sum(c > 0 for c in every.values()), *rest], pa.int64()),
+                         "total": pa.array([sum(every.values()), *rest], pa.int64())})
+
+    return keep(found.groupBy("part").applyInArrow(
+        run, "block long, part long, values binary, known long, total long"))
 
 
 SUMS = ("doc_id long, number int, n_bytes long, n long, known long, base double, score double")
 
 
-def added(stored: DataFrame, values: DataFrame, depth: int, parts: int) -> DataFrame:
-    """The sums of every document over its words and its symbols."""
+def added(stored: DataFrame, values: DataFrame, depth: int, parts: int, known: int, total: int
+          ) -> DataFrame:
+    """The sums of every document over its words and its symbols. ``values`` has both for each block, those
+    of words under the part less ``parts``."""
     target = arrow_schema(T.StructType.fromDDL(SUMS))
 
+    def base_of(docs: list[bytes], count: dict[int, bytes]) -> tuple[dict[bytes, float], float]:
+        every: set[bytes] = set()
+        for t in docs:
+            every.update(t[1:].split(b" "))
+        smoothed = total + 0.1 * (known + 1)
+        out: dict[bytes, float] = {}
+        for p, words in words_by_part(every, parts).items():
+            out.update(zip(words, np.log10((unpack(count[p]) + 0.1) / smoothed).tolist()))
+        return out, float(np.log10((np.zeros(1) + 0.1) / smoothed)[0])
+
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        symbol = found.filter(found["part"].is_valid()).select(["part", "values"])
-        log10p = {p: unpack(v, np.float64) for p, v in zip(*(c.to_pylist() for c in symbol.columns))}
-        word = found.filter(found["word"].is_valid())
-        base = dict(zip(word["word"].to_pylist(), zip(word["value"].to_pylist(),
-                                                       word["known"].to_pylist())))
+        given = dict(zip(found["part"].to_pylist(), found["values"].to_pylist()))
         out = []
         for row in texts.to_pylist():
             docs = documents(row["ends"], row["data"])
-            key, _ = distinct_keys(docs, np.ones(len(docs), bool), depth)
+            key, _ = distinct(all_keys(docs, depth))
             length = np.empty(len(key))
-            length[by_part(key, parts)[0]] = np.concatenate([log10p[p] for p in range(parts)])
+            length[by_part(key, depth, parts)[0]] = np.concatenate(
+                [unpack(given[p], np.float64) for p in range(parts) if p in given])
             score = np.zeros(len(docs))
             for a, b in slices(docs):
                 place, asked = spell(docs[a:b], depth)
-                score[a:b] = np.bincount(place, length[np.searchsorted(key, asked)], b - a)
+                order = np.argsort(asked)  # a search for sorted keys stays near the last one found
+                score[a:b] = np.bincount(
+                    place[order], length[np.searchsorted(key, asked[order])], b - a)
+            base, unknown = base_of(docs, {p + parts: v for p, v in given.items() if p < 0})
             for ident, size, t, s in zip(row["ids"], row["bytes"], docs, score.tolist()):
                 each = [base[w] for w in t[1:].split(b" ")]
-                out.append((ident, t[0], size, len(each), sum(k for _, k in each),
-                            sum(v for v, _ in each), s))
+                out.append((ident, t[0], size, len(each), len(each) - each.count(unknown),
+                            sum(each), s))
         columns = list(zip(*out)) if out else [[]] * len(target)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
 
@@ -236,26 +255,15 @@ def running_scores(docs: DataFrame, depth: int = DEPTH, group: str | None = None
     numbers = group_numbers(docs, group)
     texts = marked(docs, group, numbers)
     stored = block_table(texts)
-    words = keep(block_words(stored).groupBy("word").agg(F.sum("c").alias("all")))
-    known, total = words.agg(F.count_if(F.col("all") > 0),
-                             F.coalesce(F.sum("all"), F.lit(0))).first()
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the nodes of a part are weighted in memory, some 500 bytes for a key
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = word_counts(block_words(stored, parts))
+    known, total = words.agg(F.coalesce(F.sum("known"), F.lit(0)),
+                             F.coalesce(F.sum("total"), F.lit(0))).first()
     keys = block_keys(stored, depth, parts)
-    every = in_buckets(counted(keys), depth)
-    lengths = keep(code_lengths(every, depth))
-    drop(every)
-    found = keep(block_lengths(keys, lengths, parts))
-    drop(keys)
-    drop(lengths)
-    nothing = F.lit(None)
-    of_keys = found.select(
-        "block", "part", "values", nothing.cast("binary").alias("word"),
-        nothing.cast("double").alias("value"), nothing.cast("long").alias("known"))
-    of_words = block_words(stored).select("block", "word").join(words, "word").select(
-        "block", nothing.cast("long").alias("part"), nothing.cast("binary").alias("values"), "word",
-        F.log10((F.col("all") + 0.1) / (total + 0.1 * (known + 1))).alias("value"),
-        (F.col("all") > 0).cast("long").alias("known"))
-    found = added(stored, of_keys.unionByName(of_words), depth, parts)
+    values = code_lengths(keys, depth).unionByName(
+        words.select("block", (F.col("part") - parts).alias("part"), "values"))
+    found = added(stored, values, depth, parts, known, total)
     return found.select(
         "doc_id", _held(found).alias("held_out"), F.col("n").alias("n_tokens"),
         F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

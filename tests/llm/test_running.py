@@ -6,8 +6,8 @@ from collections import Counter
 
 import pytest
 
-from riskloom.llm.ctw import END
-from riskloom.llm.running import running_scores
+from riskloom.llm.ctw import DEPTH, END, marked
+from riskloom.llm.running import block_keys, block_table, block_words, running_scores, word_counts
 from test_ctw import Plain, compare, is_held
 
 
@@ -69,5 +69,22 @@ def test_order_of_words_counts(spark):
     assert got[1000] < got[1] - 5
 
 
+def test_words_and_contexts_travel_packed(documents):
+    """A row per block and part, no row per word or context, and far fewer bytes than the texts have."""
+    texts = marked(documents, None, {})
+    stored, parts = block_table(texts), 3
+    blocks = stored.count()
+    words, keys = block_words(stored, parts), block_keys(stored, DEPTH, parts)
+    assert words.count() <= blocks * parts and keys.count() <= blocks * parts
+    size = sum(len(r.text) for r in texts.collect())
+    assert sum(len(r.words) + len(r.counts) for r in words.collect()) < size / 4
+    assert sum(len(r.keys) + len(r.counts) for r in keys.collect()) < size * 1.5
+    assert sum(len(r.data) for r in stored.collect()) < size / 1.5
+    train = Counter(t for r in documents.collect() if not is_held(r.doc_id)
+                    for t in (r.text or "").encode().lower().split() + [END])
+    got = word_counts(words).collect()
+    assert sum(r.known for r in got) == len(train) and sum(r.total for r in got) == train.total()
+
+
 def test_no_document(nothing):
     assert running_scores(nothing).count() == 0
