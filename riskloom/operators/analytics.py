@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.numbers import percent_change, ratio, round_exact
 from riskloom.functions.scoring import compliance_score, heat_level, security_score
+from riskloom.session import stored
 
 SEVERITY_SUMS = {"critical": "critical_count", "high": "high_count", "medium": "medium_count",
                  "low": "low_count", "info": "info_count"}
@@ -314,10 +315,12 @@ def confidence_bands(findings: DataFrame, scans: DataFrame, as_of: str, days: in
 
 def top_rules_daily(findings: DataFrame, scans: DataFrame) -> DataFrame:
     """Per organisation, team, day and rule. Each distinct count is a reduction of its own, to a row
-    per scan and to a row per file, and both are added up together; rows are never expanded."""
+    per scan and to a row per file, and both are added up together; rows are never expanded. The joined
+    rows are stored, as both reductions read them."""
     group = ["org_id", "team_id", "day", "rule_id", "rule_title", "severity"]
-    rows = _joined(findings, scans, "org_id", "team_id", "timestamp").withColumn(
-        "day", F.date_trunc("day", "timestamp"))
+    rows = stored(_joined(findings, scans, "org_id", "team_id", "timestamp").select(
+        *group[:2], F.date_trunc("day", "timestamp").alias("day"), *group[3:], "scan_id", "file_path",
+        "ai_confidence"))
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     per_scan = rows.groupBy(*group, "scan_id").agg(
         F.count("*").alias("n"), F.sum(F.col("ai_confidence").cast("double")).alias("c"),
@@ -358,6 +361,14 @@ def team_leaderboard_weekly(scans: DataFrame) -> DataFrame:
                              ).drop("_c", "_h")
 
 
+def hourly_window(scans: DataFrame, as_of: str, days: int = 7) -> Column:
+    """Whether a scan is one of :func:`trend_hourly`; a condition on its day lets folders be skipped."""
+    recent = F.col("timestamp") > _back(as_of, days)
+    if "scan_date" in scans.columns:
+        recent = recent & (F.col("scan_date") >= F.to_date(_back(as_of, days)))
+    return recent
+
+
 def trend_hourly(scans: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """Per organisation and hour, last seven days."""
     return since_days(scans, as_of, days).groupBy(

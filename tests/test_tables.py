@@ -291,6 +291,26 @@ def test_a_partial_refresh_keeps_every_other_row(spark, tmp_path):
     assert partial == state() and partial != whole
 
 
+def test_a_refresh_computes_its_scans_once(spark, tmp_path):
+    from datetime import date
+
+    scans = seed.seed_scans(spark, 60)
+    found = seed.seed_findings(scans)
+    rows = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(n):
+        rows.add(1)
+        return n
+
+    counted_scans = scans.withColumn("total_findings", counted("total_findings"))
+    refresh_rollups(found, counted_scans, "2025-02-01", str(tmp_path / "roll"))
+    assert rows.value == 60
+    refresh_rollups(found, counted_scans, "2025-02-01", str(tmp_path / "roll"), date(2000, 1, 1),
+                    date(2030, 1, 1))
+    assert rows.value == 120
+
+
 def test_windows_prune_both_tables(spark, tmp_path):
     scans = seed.seed_scans(spark, 60)
     scans = scans.withColumn("scan_date", F.to_date("timestamp"))
