@@ -21,6 +21,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = r".,!?;:|&$#%*"
 VISIBLE = "!-~À-ÿ"
 SIMPLE = re.compile(rf" ?[{LETTERS}]+[{MARKS}]*(?:\n[{LETTERS}]+[{MARKS}]*)*").fullmatch
+WORD = re.compile(rf"([{LETTERS}]+)([{MARKS}]*)").fullmatch
 PIECES = re.compile(rf" ?[{LETTERS}]+|[{MARKS}]+|\n").findall
 PLAIN_EDGES = re.compile(rf"[{VISIBLE}](?:.*[{VISIBLE}])?", re.S).fullmatch
 SAFE_SPACES = re.compile(rf"(?<=[{VISIBLE}])(?= [{VISIBLE}])").split
@@ -62,9 +63,10 @@ class Coder:
         if got is None:
             if len(self.pieces) >= CACHED:
                 self.pieces.clear()
-            text = piece.lower() if self.kind == "plain" else piece
-            letters = self.letters
-            shown = "".join([letters[b] for b in text.encode()])
+            plain, letters = self.kind == "plain", self.letters
+            shown = piece.lower() if plain else piece
+            if not (plain and shown.isascii()):  # visible ASCII stands for itself
+                shown = "".join([letters[b] for b in shown.encode()])
             got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             self.pieces[piece] = got
         return got
@@ -85,13 +87,17 @@ class Coder:
             return self.library(text)
         chunks = text.split(" ")
         known = self.chunks
+        if self.kind == "plain":
+            try:
+                return b"".join(map(known.__getitem__, chunks))
+            except KeyError:
+                self.learn(chunks)
+                return b"".join(map(known.__getitem__, chunks))
         try:
             found = [known[c] for c in chunks[1:]]
         except KeyError:
             self.learn(chunks)
             found = [known[c] for c in chunks[1:]]
-        if self.kind == "plain":
-            return self.chunk(chunks[0]) + b"".join(found)
         if None in found or not PLAIN_EDGES(chunks[0]):
             return b"".join([self.chunk(c) for c in SAFE_SPACES(text)])
         return self.chunk(chunks[0]) + b"".join(found)
@@ -100,12 +106,24 @@ class Coder:
         known = self.chunks
         if len(known) >= CACHED:
             known.clear()
-        for c in chunks:
-            if c not in known:
-                if self.kind == "plain":
-                    known[c] = self.chunk(c) if c else b""
-                else:
+        if self.kind != "plain":
+            for c in chunks:
+                if c not in known:
                     known[c] = self.chunk(" " + c) if PLAIN_EDGES(c) else None
+            return
+        pieces, piece = self.pieces, self.piece
+        for c in chunks:
+            if c in known:
+                continue
+            if found := WORD(c):  # most chunks by far; a word's case makes no difference
+                word, marks = found.groups()
+                word = word.lower()
+                ids = pieces.get(word)
+                if ids is None:
+                    ids = piece(word)
+                known[c] = ids + piece(marks) if marks else ids
+            else:
+                known[c] = self.chunk(c) if c else b""
 
 
 def kind_of(config: dict) -> str:

@@ -27,6 +27,21 @@ def test_coder_equals_library(path, documents, edges):
         assert np.frombuffer(coder.ids(text or ""), "<u4").tolist() == want, text
 
 
+def test_a_word_is_encoded_once_whatever_its_case_and_marks():
+    class Counting:
+        def __init__(self, model):
+            self.model, self.asked = model, []
+
+        def tokenize(self, text):
+            self.asked.append(text)
+            return self.model.tokenize(text)
+
+    coder, text = Coder(WORD), "Straw straw STRAW, straw. Straw!! Écru écru"
+    coder.model = Counting(coder.model)
+    assert np.frombuffer(coder.ids(text), "<u4").tolist() == whole(WORD, [text])[0]
+    assert coder.model.asked.count("straw") == 1 and len(coder.model.asked) == 5
+
+
 def test_cuts_cover_and_fit():
     for total in [*range(0, 3000, 7), 2048, 4096, 1023, 1, 128]:
         got = list(cuts(total, 2048, 16, 64))
