@@ -14,6 +14,7 @@ from queries.scanning import CODE, DOC, FLAT_COLS, dedup_sql, flat
 from queries.sqlparts import rank, scored_cte, severity_counts
 from riskloom.functions import text as tx
 from riskloom.operators import ingest as ig
+from riskloom.operators.statistics import count_different
 from riskloom.plans.scan import ScanOptions, scan
 from riskloom.session import shared_dir
 from riskloom.sinks.tables import write_tables
@@ -110,10 +111,10 @@ def _scan_to_tables(spark, sf) -> DataFrame:
         F.col("r_name").alias("org_id"), F.lit("app").alias("repo_name"), F.lit(".").alias("target_path"))
     done = ig.scan_tables(found, heads)
     path = f"{shared_dir(spark).rstrip('/')}/scan-{uuid.uuid4().hex}"
-    write_tables(done.scans, done.findings, path)
+    write_tables(done.scans, done.findings, path, moved=False)
     scans, stored = (spark.read.parquet(f"{path}/{t}") for t in ("scans", "findings"))
-    hits = stored.groupBy("scan_id", "scan_date").agg(
-        F.countDistinct("finding_hash").alias("hashes"), F.count("*").alias("stored"))
+    hits = count_different(stored, ["scan_id", "scan_date"], "finding_hash").select(
+        "scan_id", "scan_date", F.col("different").alias("hashes"), F.col("n").alias("stored"))
     return scans.join(hits, ["scan_id", "scan_date"], "left").select(
         "scan_id", "scan_date", "org_id", "total_findings", "critical_count", "high_count",
         "medium_count", "low_count", "info_count", "ai_estimated_count",
